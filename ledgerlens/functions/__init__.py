@@ -96,14 +96,20 @@ def currency_label(c: str | Column, decimals: int = 0) -> Column:
     return F.concat(F.lit("£"), F.format_number(col_(c).cast("double"), decimals))
 
 
+def plain_number(c: str | Column, decimals: int = 0) -> Column:
+    """``1234.5`` -> ``1234`` (half-even on the exact value, no separators)."""
+    return F.regexp_replace(F.format_number(col_(c).cast("double"), decimals), ",", "")
+
+
 def signed_pct_label(c: str | Column) -> Column:
-    """``+12.3%``."""
-    return F.format_string("%+.1f%%", col_(c).cast("double"))
+    """``+12.3%`` / ``-4.0%``."""
+    c = col_(c).cast("double")
+    return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), plain_number(c, 1), F.lit("%"))
 
 
 def pct_label(c: str | Column) -> Column:
     """``12.3%`` from a fraction 0.123."""
-    return F.format_string("%.1f%%", col_(c).cast("double") * 100.0)
+    return F.concat(plain_number(col_(c).cast("double") * 100.0, 1), F.lit("%"))
 
 
 def title_label(c: str | Column) -> Column:

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from .. import sources
 from ..operators import kpis as K
+from ..operators import forecast_linear as FL
 from ..operators import reports as R
+from ..operators import series as S
 from ..operators.filters import SalesFilter
 from ..sources import storage
 from ..sources.fixtures import product_codes
@@ -92,6 +94,32 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimals_to_double(storage.export_roundtrip(spark, sources.sales_lines(spark, sf_dir)))
 
 
+# Fixed parameters of the registered forecast queries (the source's defaults).
+HORIZON = 6
+TOP_N = 5
+
+
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+def _series_out(df: DataFrame) -> DataFrame:
+    return df.drop("y_dec")
+
+
+def _revenue_forecast(sales: DataFrame) -> DataFrame:
+    return FL.revenue_forecast(S.revenue_series(sales), HORIZON)
+
+
+def _demand_forecast(sales: DataFrame) -> DataFrame:
+    return FL.demand_forecast(S.demand_series(sales, TOP_N), HORIZON)
+
+
+def _demand_summary(sales: DataFrame) -> DataFrame:
+    series = S.demand_series(sales, TOP_N).checkpoint(eager=True)
+    return FL.demand_summary(series, FL.demand_forecast(series, HORIZON), "Seasonal Linear")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources
     "load_sales": load_sales,
@@ -131,4 +159,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # geographic
     "top_towns": _on_sales(R.top_towns),
     "revenue_by_payment": _on_sales(R.revenue_by_payment),
+    # series
+    "top_demand_products": _on_sales(lambda s: S.top_demand_products(s, TOP_N)),
+    "demand_monthly": _on_sales(lambda s: _series_out(S.demand_series(s, TOP_N))),
+    "month_features": _on_sales(
+        lambda s: _long(S.month_features(S.revenue_series(s)), "months_since_start")),
+    "demand_features": _on_sales(
+        lambda s: _long(S.demand_features(S.demand_series(s, TOP_N)), "months_since_start")),
+    "train_test_split": _on_sales(lambda s: S.train_test_split(S.revenue_series(s))),
+    "trend_direction": _on_sales(lambda s: S.trend_direction(S.revenue_series(s))),
+    "seasonal_index": _on_sales(lambda s: FL.seasonal_index(S.revenue_series(s))),
+    # linear forecasts
+    "revenue_forecast_linear": _on_sales(_revenue_forecast),
+    "linear_fit_metrics": _on_sales(lambda s: FL.revenue_fit_metrics(S.revenue_series(s))),
+    "forecast_table": _on_sales(lambda s: FL.forecast_table(_revenue_forecast(s))),
+    "forecast_totals": _on_sales(lambda s: FL.forecast_totals(_revenue_forecast(s))),
+    "demand_forecast_linear": _on_sales(_demand_forecast),
+    "demand_summary": _on_sales(_demand_summary),
 }

@@ -248,3 +248,254 @@ ORDER BY sum(total_price) DESC, delivery_town ASC LIMIT 15"""),
     "revenue_by_payment": _q("""SELECT payment_method, CAST(sum(total_price) AS DOUBLE) AS total_price
 FROM sales WHERE payment_method IS NOT NULL GROUP BY 1 ORDER BY 1"""),
 }
+
+
+# --- series and linear forecasts ---------------------------------------------
+
+def _os(value: str, order: str = "x") -> str:
+    """Ordered left fold from 0.0 (twin of ``series.ordered_sum``)."""
+    return (f"list_reduce(list(CAST({value} AS DOUBLE) ORDER BY {order}), "
+            f"lambda a, b: a + b, CAST(0.0 AS DOUBLE))")
+
+
+_REV_SERIES = """, rs0 AS (
+  SELECT 'revenue' AS series_id, date_trunc('month', invoice_date) AS month_start,
+         CAST(sum(total_price) AS DECIMAL(38,4)) AS y_dec, count(*) AS lines
+  FROM sales WHERE invoice_date IS NOT NULL GROUP BY 2),
+rs AS (
+  SELECT series_id, month_start, y_dec, CAST(y_dec AS DOUBLE) AS y
+  FROM (SELECT *, sum(lines) OVER (PARTITION BY series_id) AS al,
+               count(*) OVER (PARTITION BY series_id) AS nm FROM rs0)
+  WHERE al >= 12 AND nm >= 12)
+"""
+
+_DEMAND_SERIES = """, pm AS (
+  SELECT short_description AS series_id, date_trunc('month', invoice_date) AS month_start,
+         CAST(sum(CAST(qty AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS y_dec, count(*) AS lines
+  FROM sales WHERE short_description IS NOT NULL AND invoice_date IS NOT NULL GROUP BY 1, 2),
+totals AS (SELECT series_id, sum(y_dec) AS total, sum(lines) AS lines FROM pm GROUP BY 1),
+top AS (SELECT series_id, total FROM totals WHERE (SELECT sum(lines) FROM totals) >= 30
+        ORDER BY total DESC, series_id ASC LIMIT 5),
+rs AS (
+  SELECT series_id, month_start, y_dec, CAST(y_dec AS DOUBLE) AS y
+  FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS nm
+        FROM pm WHERE series_id IN (SELECT series_id FROM top))
+  WHERE nm >= 6)
+"""
+
+_W = "(PARTITION BY series_id ORDER BY month_start)"
+_WALL = "(PARTITION BY series_id)"
+_WMOY = "(PARTITION BY series_id, month(month_start))"
+
+
+def _lag(k: int) -> str:
+    return f"lag(y, {k}) OVER {_W}"
+
+
+def _rolling_mean(k: int) -> str:
+    total = "y"
+    for i in range(1, k):
+        total = f"({total} + coalesce({_lag(i)}, CAST(0.0 AS DOUBLE)))"
+    return f"({total} / CAST(least(row_number() OVER {_W}, {k}) AS DOUBLE))"
+
+
+def _rolling_std3() -> str:
+    n = f"CAST(least(row_number() OVER {_W}, 3) AS DOUBLE)"
+    m = _rolling_mean(3)
+    dev = f"((y - {m}) * (y - {m}))"
+    for i in (1, 2):
+        d = f"({_lag(i)} - {m})"
+        dev = f"({dev} + coalesce({d} * {d}, CAST(0.0 AS DOUBLE)))"
+    return f"CASE WHEN {n} > 1 THEN sqrt({dev} / ({n} - 1)) ELSE CAST(0.0 AS DOUBLE) END"
+
+
+def _backfilled_lag(k: int) -> str:
+    first = f"first_value(y) OVER (PARTITION BY series_id ORDER BY month_start ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return (f"CASE WHEN count(*) OVER {_WALL} > {k} THEN coalesce({_lag(k)}, {first}) "
+            f"ELSE CAST(0.0 AS DOUBLE) END")
+
+
+_SEASONAL_FEATURE = (
+    f"CASE WHEN CAST(sum(y_dec) OVER {_WALL} AS DOUBLE) / count(*) OVER {_WALL} > 0 "
+    f"THEN (CAST(sum(y_dec) OVER {_WMOY} AS DOUBLE) / count(*) OVER {_WMOY}) "
+    f"/ (CAST(sum(y_dec) OVER {_WALL} AS DOUBLE) / count(*) OVER {_WALL}) "
+    f"ELSE CAST(1.0 AS DOUBLE) END")
+
+_MONTH_FEATURES = f"""SELECT series_id, month_start, y,
+  CAST(month(month_start) AS INTEGER) AS month,
+  CAST(quarter(month_start) AS INTEGER) AS quarter,
+  CAST(row_number() OVER {_W} - 1 AS BIGINT) AS months_since_start,
+  {_backfilled_lag(1)} AS lag_1, {_backfilled_lag(2)} AS lag_2,
+  {_backfilled_lag(3)} AS lag_3, {_backfilled_lag(12)} AS lag_12,
+  {_rolling_mean(3)} AS rolling_mean_3, {_rolling_mean(6)} AS rolling_mean_6,
+  {_rolling_std3()} AS rolling_std_3,
+  CASE WHEN {_lag(12)} IS NOT NULL AND {_lag(12)} <> 0 THEN y / {_lag(12)} - 1.0
+       ELSE CAST(0.0 AS DOUBLE) END AS yoy_growth,
+  {_SEASONAL_FEATURE} AS seasonal_index
+FROM rs"""
+
+_DEMAND_FEATURES = f"""SELECT series_id, month_start, y,
+  CAST(month(month_start) AS INTEGER) AS month,
+  CAST(row_number() OVER {_W} - 1 AS BIGINT) AS months_since_start,
+  coalesce({_lag(1)}, first_value(y) OVER (PARTITION BY series_id ORDER BY month_start
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lag_1,
+  {_rolling_mean(3)} AS rolling_mean_3,
+  {_SEASONAL_FEATURE} AS seasonal_index
+FROM rs"""
+
+_SEASONAL_INDEX = f""", moy AS (
+  SELECT series_id, CAST(month(month_start) AS INTEGER) AS moy,
+         CAST(sum(y_dec) AS DOUBLE) / count(*) AS moy_mean
+  FROM rs GROUP BY 1, 2),
+ov AS (SELECT series_id, {_os('moy_mean', 'moy')} / count(*) AS overall FROM moy GROUP BY 1),
+si AS (
+  SELECT m.series_id, m.moy, m.moy_mean,
+         CASE WHEN ov.overall > 0 THEN m.moy_mean / ov.overall ELSE CAST(1.0 AS DOUBLE) END
+           AS seasonal_index
+  FROM moy m JOIN ov USING (series_id))
+"""
+
+
+def _fit(target: str) -> str:
+    return f""", s AS (
+  SELECT series_id, month_start, y_dec, y,
+         CAST(row_number() OVER {_W} - 1 AS DOUBLE) AS x,
+         count(*) OVER {_WALL} AS n, CAST(month(month_start) AS INTEGER) AS moy
+  FROM rs),
+s2 AS (SELECT s.*, si.seasonal_index, s.y / si.seasonal_index AS yd
+       FROM s LEFT JOIN si USING (series_id, moy)),
+fit0 AS (
+  SELECT series_id, CAST(count(*) AS DOUBLE) AS n_, {_os('x')} AS sx, {_os(target)} AS sy,
+         {_os('x * ' + target)} AS sxy, {_os('x * x')} AS sxx,
+         CAST(sum(y_dec) AS DOUBLE) / count(*) AS mean_y, max(month_start) AS last_month
+  FROM s2 GROUP BY 1),
+fit1 AS (SELECT *, (n_ * sxy - sx * sy) / (n_ * sxx - sx * sx) AS slope FROM fit0),
+fit2 AS (SELECT *, (sy - slope * sx) / n_ AS intercept FROM fit1)
+"""
+
+
+_METRICS = f""", fitted AS (
+  SELECT s2.*, f.slope, f.intercept, f.mean_y,
+         (f.slope * s2.x + f.intercept) * s2.seasonal_index AS y_pred
+  FROM s2 JOIN fit2 f USING (series_id)),
+fitted2 AS (SELECT *, (n > 6 AND x >= n - 3) AS is_test, y - y_pred AS r FROM fitted),
+met0 AS (
+  SELECT series_id,
+         {_os('CASE WHEN is_test THEN abs(r) ELSE 0.0 END')} AS abs_,
+         {_os('CASE WHEN is_test THEN r * r ELSE 0.0 END')} AS sq,
+         CAST(sum(CASE WHEN is_test THEN y_dec END) AS DOUBLE) / 3 AS tmean,
+         {_os('r * r')} AS ss_res,
+         {_os('(y - mean_y) * (y - mean_y)')} AS ss_tot,
+         max(n) AS nn
+  FROM fitted2 GROUP BY 1),
+tss AS (
+  SELECT f.series_id,
+         {_os('CASE WHEN f.is_test THEN (f.y - m.tmean) * (f.y - m.tmean) ELSE 0.0 END', 'f.x')} AS tss
+  FROM fitted2 f JOIN met0 m USING (series_id) GROUP BY 1),
+met AS (
+  SELECT series_id,
+         CASE WHEN nn > 6 THEN abs_ / 3 ELSE CAST(0.0 AS DOUBLE) END AS mae,
+         CASE WHEN nn > 6 THEN sqrt(sq / 3) ELSE CAST(0.0 AS DOUBLE) END AS rmse,
+         CASE WHEN ss_tot > 0 THEN 1.0 - ss_res / ss_tot ELSE CAST(0.0 AS DOUBLE) END AS r2_train,
+         CASE WHEN nn > 6 AND tss > 0 THEN 1.0 - sq / tss ELSE CAST(0.0 AS DOUBLE) END AS r2_test,
+         sqrt(ss_tot / nn) AS pop_std
+  FROM met0 JOIN tss USING (series_id))
+"""
+
+
+def _future(horizon: int = 6) -> str:
+    return f""", fut0 AS (
+  SELECT f.*, h.horizon, f.last_month + to_months(h.horizon) AS month_start
+  FROM fit2 f CROSS JOIN (SELECT CAST(range AS INTEGER) AS horizon FROM range(1, {horizon + 1})) h),
+fut AS (
+  SELECT fut0.*, greatest((slope * (n_ - 1.0 + horizon) + intercept)
+                          * coalesce(si.seasonal_index, CAST(1.0 AS DOUBLE)), 0.0) AS forecast
+  FROM fut0 LEFT JOIN si ON fut0.series_id = si.series_id
+                        AND CAST(month(fut0.month_start) AS INTEGER) = si.moy)
+"""
+
+
+_REV_FORECAST = (_REV_SERIES + _SEASONAL_INDEX + _fit("yd") + _METRICS + _future() + """,
+band AS (
+  SELECT fut.series_id, fut.month_start, fut.horizon, fut.forecast,
+         1.96 * CASE WHEN met.rmse > 0 THEN met.rmse ELSE met.pop_std * 0.15 END
+              * CAST(fut.horizon AS DOUBLE) * 0.2 AS half
+  FROM fut JOIN met USING (series_id)),
+rf AS (
+  SELECT series_id, month_start, horizon, forecast,
+         greatest(forecast - half, 0.0) AS lower_ci, forecast + half AS upper_ci
+  FROM band)
+""")
+
+_DEMAND_FORECAST = _DEMAND_SERIES + _SEASONAL_INDEX + _fit("y") + _future() + """,
+rf AS (SELECT series_id, month_start, horizon, forecast FROM fut)
+"""
+
+_TOTALS = f""", tot AS (
+  SELECT series_id, {_os('forecast', 'horizon')} AS total_forecast, count(*) AS months
+  FROM rf GROUP BY 1)
+"""
+
+
+def _plain(x: str, d: int) -> str:
+    return f"replace(format('{{:,.{d}f}}', {x}), ',', '')"
+
+
+ORACLE.update({
+    "top_demand_products": _q(_DEMAND_SERIES + """
+SELECT series_id AS product, CAST(total AS DOUBLE) AS total_qty FROM top"""),
+    "demand_monthly": _q(_DEMAND_SERIES + "SELECT series_id, month_start, y FROM rs"),
+    "month_features": _q(_REV_SERIES + _MONTH_FEATURES),
+    "demand_features": _q(_DEMAND_SERIES + _DEMAND_FEATURES),
+    "train_test_split": _q(_REV_SERIES + f"""SELECT series_id, month_start,
+  (row_number() OVER {_W} - 1) < greatest(CAST(floor(count(*) OVER {_WALL} * 0.8) AS BIGINT),
+                                          count(*) OVER {_WALL} - 6) AS is_train
+FROM rs"""),
+    "trend_direction": _q(_REV_SERIES + """, td AS (
+  SELECT series_id, y_dec, y,
+         row_number() OVER (PARTITION BY series_id ORDER BY month_start DESC) AS rd,
+         count(*) OVER (PARTITION BY series_id) AS nn FROM rs),
+g AS (
+  SELECT series_id,
+         CAST(count(CASE WHEN rd <= 6 THEN 1 END) AS DECIMAL(10,0)) AS k,
+         sum(CASE WHEN rd <= 6 THEN CAST(least(nn, 6) - rd AS DECIMAL(10,0)) END) AS sx,
+         sum(CASE WHEN rd <= 6 THEN y_dec END) AS sy,
+         sum(CASE WHEN rd <= 6 THEN CAST(least(nn, 6) - rd AS DECIMAL(10,0)) * y_dec END) AS sxy,
+         max(CASE WHEN rd = 1 THEN y END) AS last_y, max(CASE WHEN rd = 12 THEN y END) AS back12,
+         max(CASE WHEN rd = nn THEN y END) AS first_y, max(nn) AS nn
+  FROM td GROUP BY 1)
+SELECT series_id,
+  CASE WHEN k * sxy - sx * sy > 0 THEN 'up' ELSE 'down' END AS trend_direction,
+  CASE WHEN nn >= 12 THEN CASE WHEN back12 > 0 THEN (last_y / back12 - 1.0) * 100.0 ELSE 0.0 END
+       ELSE CASE WHEN first_y > 0 THEN (pow(last_y / first_y, 12.0 / nn) - 1.0) * 100.0 ELSE 0.0 END
+  END AS growth_vs_12th_last_pct
+FROM g"""),
+    "seasonal_index": _q(_REV_SERIES + _SEASONAL_INDEX
+                         + "SELECT series_id, moy, moy_mean, seasonal_index FROM si"),
+    "revenue_forecast_linear": _q(_REV_FORECAST + "SELECT * FROM rf"),
+    "linear_fit_metrics": _q(_REV_SERIES + _SEASONAL_INDEX + _fit("yd") + _METRICS + """
+SELECT series_id, 'Seasonal Linear Regression' AS model_type, mae, rmse, r2_train, r2_test FROM met"""),
+    "forecast_table": _q(_REV_FORECAST + """SELECT series_id, month_start,
+  strftime(month_start, '%B %Y') AS month,
+  '£' || format('{:,.0f}', forecast) AS predicted_revenue,
+  '£' || format('{:,.0f}', lower_ci) || ' - £' || format('{:,.0f}', upper_ci) AS confidence_range
+FROM rf"""),
+    "forecast_totals": _q(_REV_FORECAST + _TOTALS
+                          + "SELECT series_id, total_forecast, total_forecast / months AS avg_monthly, months FROM tot"),
+    "demand_forecast_linear": _q(_DEMAND_FORECAST + "SELECT * FROM rf"),
+    "demand_summary": _q(_DEMAND_FORECAST + _TOTALS + f""", hist AS (
+  SELECT series_id, CAST(sum(y_dec) AS DOUBLE) / count(*) AS hist_avg FROM rs GROUP BY 1),
+j AS (
+  SELECT h.series_id, h.hist_avg, t.total_forecast, t.total_forecast / t.months AS forecast_avg
+  FROM hist h JOIN tot t USING (series_id)),
+j2 AS (SELECT *, CASE WHEN hist_avg > 0 THEN (forecast_avg / hist_avg - 1.0) * 100.0 ELSE 0.0 END
+               AS expected_change_pct FROM j)
+SELECT series_id AS product, 'Seasonal Linear' AS model, hist_avg, forecast_avg, expected_change_pct,
+  total_forecast,
+  {_plain('hist_avg', 0)} AS hist_avg_label,
+  {_plain('forecast_avg', 0)} AS forecast_avg_label,
+  CASE WHEN expected_change_pct >= 0 THEN '+' ELSE '' END || {_plain('expected_change_pct', 1)} || '%'
+    AS expected_change_label,
+  {_plain('total_forecast', 0)} AS total_label
+FROM j2"""),
+})

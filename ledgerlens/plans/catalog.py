@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import sources
 from ..operators import kpis as K
+from ..operators import forecast_gbt as FG
 from ..operators import forecast_linear as FL
 from ..operators import reports as R
 from ..operators import series as S
@@ -176,4 +177,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_totals": _on_sales(lambda s: FL.forecast_totals(_revenue_forecast(s))),
     "demand_forecast_linear": _on_sales(_demand_forecast),
     "demand_summary": _on_sales(_demand_summary),
+    # boosted trees (MLlib; rows-only check)
+    "revenue_forecast_gbt": _on_sales(lambda s: FG.revenue_forecast(S.revenue_series(s), HORIZON)),
+    "gbt_fit_metrics": _on_sales(lambda s: FG.gbt_fit_metrics(S.revenue_series(s))),
+    "feature_importance": _on_sales(lambda s: FG.feature_importance(S.revenue_series(s))),
+    "demand_forecast_gbt": _on_sales(
+        lambda s: FG.demand_forecast(S.demand_series(s, TOP_N), HORIZON)),
 }

@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..session import configure, shared_root
+from ..schema import DERIVED_COLUMNS, SALES_SCHEMA
 from .fixtures import PRODUCT_SOURCE_TABLES, SALES_SOURCE_TABLES, table_paths
 
 # Bump when the cleaned table's definition changes, so old snapshots are ignored.
 SNAPSHOT_VERSION = 1
 
+# Column order of the cleaned, enriched table (``year`` is the partition column).
+SNAPSHOT_COLUMNS = [f.name for f in SALES_SCHEMA.fields] + DERIVED_COLUMNS + ["product_category"]
+
 
 def snapshot_path(spark: SparkSession, sf_dir: str) -> str:
     key = hashlib.sha1(f"{sf_dir.rstrip('/')}|v{SNAPSHOT_VERSION}".encode()).hexdigest()[:16]
@@ -82,19 +86,27 @@ def build_snapshot(spark: SparkSession, sf_dir: str) -> str:
 
 
 def fresh_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """The stored table if it is fresh, else None (caller builds from sources)."""
+    """The stored table if it is fresh, else None (caller builds from sources).
+
+    One listing job covers the snapshot and every source file: the snapshot
+    is used only when its newest file is strictly newer than all of them.
+    """
     path = snapshot_path(spark, sf_dir)
+    sources = table_paths(sf_dir, SALES_SOURCE_TABLES + PRODUCT_SOURCE_TABLES)
     try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load([path] + sources))
+    except AnalysisException:  # no snapshot yet
         return None
-    sources = table_paths(sf_dir, SALES_SOURCE_TABLES)
-    if not is_fresh(spark, path, sources, table_paths(sf_dir, PRODUCT_SOURCE_TABLES)):
+    key = path.rsplit("/", 2)[-2] + "/" + path.rsplit("/", 1)[-1]
+    in_snap = F.col("path").contains(key)
+    t = F.unix_micros(F.col("modificationTime"))
+    row = files.agg(F.max(F.when(in_snap, t)).alias("snap"),
+                    F.max(F.when(~in_snap, t)).alias("src")).first()
+    if row is None or row["snap"] is None or row["src"] is None or row["snap"] <= row["src"]:
         return None
-    from . import sales_lines  # column order of the cleaned table
-    from .load import clean_sales
-    cols = clean_sales(sales_lines(spark, sf_dir)).columns + ["product_category"]
-    return read_snapshot(spark, path, cols)
+    df = spark.read.parquet(path)
+    return df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns])
 
 
 def snapshot_roundtrip(spark: SparkSession, df: DataFrame) -> DataFrame:

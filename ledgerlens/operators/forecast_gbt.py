@@ -250,3 +250,25 @@ def demand_forecast(series: DataFrame, horizon: int = 6) -> DataFrame:
         (F.col("i") + 1).alias("horizon"),
         (F.col("p") * F.col("_scale")).alias("forecast"),
     )
+
+
+# --- M10: model choice ----------------------------------------------------------
+
+def forecast_revenue(series: DataFrame, horizon: int = 6, method: str = "gbt") -> DataFrame:
+    """Revenue forecast with boosted trees (default) or the seasonal-linear method."""
+    from . import forecast_linear
+    if method == "linear":
+        return forecast_linear.revenue_forecast(series, horizon)
+    if method == "gbt":
+        return revenue_forecast(series, horizon)
+    raise ValueError(f"unknown method {method!r}: use 'gbt' or 'linear'")
+
+
+def forecast_demand(series: DataFrame, horizon: int = 6, method: str = "gbt") -> DataFrame:
+    """Product demand forecast with boosted trees (default) or the seasonal-linear method."""
+    from . import forecast_linear
+    if method == "linear":
+        return forecast_linear.demand_forecast(series, horizon)
+    if method == "gbt":
+        return demand_forecast(series, horizon)
+    raise ValueError(f"unknown method {method!r}: use 'gbt' or 'linear'")

@@ -121,12 +121,30 @@ def _demand_summary(sales: DataFrame) -> DataFrame:
     return FL.demand_summary(series, FL.demand_forecast(series, HORIZON), "Seasonal Linear")
 
 
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 as a stream: export the lines, pick the files up incrementally, read the snapshot."""
+    import uuid
+
+    from ..session import shared_root
+    from ..streaming.refresh import refresh_snapshot
+    configure(spark)
+    base = f"{shared_root(spark)}/ledgerlens-incremental/{uuid.uuid4().hex}"
+    lines = sources.sales_lines(spark, sf_dir)
+    storage.export_csv(lines, f"{base}/incoming/batch-1")
+    refresh_snapshot(spark, f"{base}/incoming", f"{base}/snapshot", f"{base}/checkpoint")
+    snap = spark.read.parquet(f"{base}/snapshot")
+    cols = sources.clean_sales(lines.select(*[F.col(c).cast("string") for c in lines.columns])).columns
+    return decimals_to_double(snap.select(*cols))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources
     "load_sales": load_sales,
     "product_categories": product_category_map,
     "snapshot_roundtrip": snapshot_roundtrip,
     "export_roundtrip": export_roundtrip,
+    "incremental_refresh": incremental_refresh,
+    "snapshot_freshness": lambda spark, sf_dir: storage.freshness_report(spark, sf_dir),
     # J1
     "sales_by_category": _on_sales(sales_by_category),
     # filters

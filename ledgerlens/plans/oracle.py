@@ -145,6 +145,11 @@ ORACLE: dict[str, str] = {
 SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBLE) AS price,
                   CAST(discount AS DOUBLE) AS discount, CAST(total_price AS DOUBLE) AS total_price),
   {_DERIVED}
+FROM s""",
+    "incremental_refresh": f"""WITH s AS ({SALES_SQL})
+SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBLE) AS price,
+                  CAST(discount AS DOUBLE) AS discount, CAST(total_price AS DOUBLE) AS total_price),
+  {_DERIVED}
 FROM s""",
     "sales_by_category": _q("""SELECT product_category, count(*) AS lines,
   CAST(sum(total_price) AS DOUBLE) AS revenue FROM sales GROUP BY product_category"""),

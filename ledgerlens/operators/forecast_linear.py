@@ -1,9 +1,10 @@
 """Seasonal-linear forecasts.
 
-Pure DataFrame aggregates, one row per series for the fit, no driver loop:
-the same plan forecasts one series or every product. Per-series sums are
-ordered folds (``ordered_sum``) so the numbers do not depend on
-partitioning.
+One ``groupBy(series_id)`` per fit, no driver loop: the same plan forecasts
+one series or every product. Each series' months (bounded by the calendar)
+are gathered in month order and the index, the line, the metrics and the
+future months are array expressions on that one row. Sums are ordered
+folds, so the numbers do not depend on partitioning.
 
 Revenue (M5): seasonal index = month-of-year mean / mean of those means;
 the series is deseasonalised, a least-squares line is fitted on the row
@@ -14,11 +15,11 @@ series and multiplies by the same kind of index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as LF
-from .series import ordered_sum
+from .series import SERIES_DEC, ordered_sum
 
 DEFAULT_HORIZON = 6
 
@@ -46,96 +47,103 @@ def seasonal_index(series: DataFrame) -> DataFrame:
          .otherwise(F.lit(1.0)).alias("seasonal_index"))
 
 
-def _indexed(series: DataFrame, idx: DataFrame) -> DataFrame:
-    w = Window.partitionBy("series_id").orderBy("month_start")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    s = series.select("series_id", "month_start", "y_dec", "y",
-                      (F.row_number().over(w) - 1).cast("double").alias("x"),
-                      n.alias("n"), F.month("month_start").alias("moy"))
-    return s.join(idx.select("series_id", "moy", "seasonal_index"), ["series_id", "moy"], "left")
-
-
-def _fit_line(s: DataFrame, target: str) -> DataFrame:
-    """Least squares ``target ~ m*x + b`` per series (closed form on ordered sums)."""
-    g = s.groupBy("series_id").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"),
-        ordered_sum(F.col("x"), F.col("x")).alias("_sx"),
-        ordered_sum(F.col(target), F.col("x")).alias("_sy"),
-        ordered_sum(F.col("x") * F.col(target), F.col("x")).alias("_sxy"),
-        ordered_sum(F.col("x") * F.col("x"), F.col("x")).alias("_sxx"),
-        (F.sum("y_dec").cast("double") / F.count(F.lit(1))).alias("_mean_y"),
-        F.max("month_start").alias("_last_month"),
-    )
-    m = ((F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy"))
-         / (F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")))
-    g = g.withColumn("slope", m)
-    return g.withColumn("intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("_n"))
+def _dsum(arr, value) -> "F.Column":
+    """Exact decimal sum of ``value(e)`` over an array (a fold with a decimal zero)."""
+    return F.aggregate(arr, F.lit(0).cast(SERIES_DEC), lambda a, e: (a + value(e)).cast(SERIES_DEC))
 
 
-def _future(fit: DataFrame, idx: DataFrame, horizon: int) -> DataFrame:
-    """P15 + J2: ``horizon`` month starts after the last month, with their index (default 1)."""
-    f = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
-    f = f.withColumn("month_start",
-                     F.add_months(F.to_date("_last_month"), F.col("horizon")).cast("timestamp"))
-    f = f.withColumn("moy", F.month("month_start"))
-    f = f.join(idx.select("series_id", "moy", F.col("seasonal_index").alias("_fidx")),
-               ["series_id", "moy"], "left")
-    fx = F.col("_n") - 1.0 + F.col("horizon")
-    trend = F.col("slope") * fx + F.col("intercept")
-    return f.withColumn("forecast", LF.clip0(trend * F.coalesce(F.col("_fidx"), F.lit(1.0))))
-
-
-def _revenue_fit(series: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fit plus per-series metrics; returns (fit_with_metrics, index, fitted rows)."""
-    series = series.checkpoint(eager=True)  # small monthly table; reused by every step below
-    idx = seasonal_index(series)
-    s = _indexed(series, idx).withColumn("yd", F.col("y") / F.col("seasonal_index"))
-    fit = _fit_line(s, "yd")
-    fitted = s.join(fit.select("series_id", "slope", "intercept", "_mean_y"), "series_id")
-    fitted = fitted.withColumn(
-        "y_pred", (F.col("slope") * F.col("x") + F.col("intercept")) * F.col("seasonal_index"))
-    is_test = (F.col("n") > MIN_POINTS_FOR_TEST) & (F.col("x") >= F.col("n") - TEST_POINTS)
-    r = F.col("y") - F.col("y_pred")
-    test_mean = F.sum(F.when(is_test, F.col("y_dec"))).cast("double") / TEST_POINTS
-    met = fitted.groupBy("series_id").agg(
-        ordered_sum(F.when(is_test, F.abs(r)).otherwise(0.0), F.col("x")).alias("_abs"),
-        ordered_sum(F.when(is_test, r * r).otherwise(0.0), F.col("x")).alias("_sq"),
-        test_mean.alias("_tmean"),
-        ordered_sum(r * r, F.col("x")).alias("_ss_res"),
-        ordered_sum((F.col("y") - F.col("_mean_y")) * (F.col("y") - F.col("_mean_y")),
-                    F.col("x")).alias("_ss_tot"),
-        F.max("n").alias("_nn"),
-    )
-    tdev = F.col("y") - F.col("_tmean")
-    tss = (fitted.join(met.select("series_id", "_tmean"), "series_id")
-           .groupBy("series_id").agg(
-               ordered_sum(F.when(is_test, tdev * tdev).otherwise(0.0), F.col("x")).alias("_tss")))
-    met = met.join(tss, "series_id")
-    has_test = F.col("_nn") > MIN_POINTS_FOR_TEST
-    met = met.select(
-        "series_id",
+def _fold(arr, value) -> "F.Column":
+    """Double sum of ``value(e)`` added in array (month) order - the twin of ``ordered_sum``."""
+    return F.aggregate(arr, F.lit(0.0), lambda a, e: a + value(e))
+
+
+def _fit_series(series: DataFrame, deseasonalise: bool) -> DataFrame:
+    """One row per series: seasonal index map, line, and in-sample metrics.
+
+    A single ``groupBy(series_id)`` gathers the series' months (bounded by the
+    calendar) in month order; the index, the least-squares line on the row
+    index and the metrics are array expressions on that row, so the whole
+    fit is one shuffle of the monthly table whatever the number of series.
+    """
+    h = F.array_sort(F.collect_list(F.struct("month_start", "y_dec", "y")))
+    g = series.groupBy("series_id").agg(h.alias("_h"))
+    n = F.size("_h")
+    # month-of-year means (exact decimal sums / counts), months present only
+    moy = F.filter(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(
+        m.alias("moy"),
+        _dsum(F.filter("_h", lambda e: F.month(e["month_start"]) == m), lambda e: e["y_dec"]).alias("s"),
+        F.size(F.filter("_h", lambda e: F.month(e["month_start"]) == m)).alias("c"))),
+        lambda r: r["c"] > 0)
+    g = g.select("series_id", "_h", n.alias("_ni"), moy.alias("_moy"))
+    moy_mean = lambda r: r["s"].cast("double") / r["c"]
+    overall = _fold("_moy", moy_mean) / F.size("_moy")
+    g = g.withColumn("_overall", overall)
+    idx_map = F.map_from_entries(F.transform("_moy", lambda r: F.struct(
+        r["moy"], F.when(F.col("_overall") > 0, moy_mean(r) / F.col("_overall"))
+                   .otherwise(F.lit(1.0)))))
+    g = g.withColumn("idx_map", idx_map)
+    pts = F.transform("_h", lambda e, i: F.struct(
+        i.cast("double").alias("x"), e["y"].alias("y"), e["y_dec"].alias("y_dec"),
+        F.element_at(F.col("idx_map"), F.month(e["month_start"])).alias("idx")))
+    g = g.withColumn("_pts", pts)
+    target = (lambda p: p["y"] / p["idx"]) if deseasonalise else (lambda p: p["y"])
+    g = g.select(
+        "series_id", "idx_map", "_pts",
+        F.col("_ni").cast("double").alias("_n"),
+        F.element_at("_h", -1)["month_start"].alias("_last_month"),
+        _fold("_pts", lambda p: p["x"]).alias("_sx"),
+        _fold("_pts", target).alias("_sy"),
+        _fold("_pts", lambda p: p["x"] * target(p)).alias("_sxy"),
+        _fold("_pts", lambda p: p["x"] * p["x"]).alias("_sxx"),
+        (_dsum("_pts", lambda p: p["y_dec"]).cast("double") / F.col("_ni")).alias("_mean_y"))
+    g = g.withColumn("slope", (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy"))
+                     / (F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")))
+    g = g.withColumn("intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("_n"))
+    # residuals of the re-seasonalised line, and the last-3 test window
+    is_test = lambda p: (F.col("_n") > MIN_POINTS_FOR_TEST) & (p["x"] >= F.col("_n") - TEST_POINTS)
+    resid = lambda p: p["y"] - (F.col("slope") * p["x"] + F.col("intercept")) * p["idx"]
+    g = g.withColumns({
+        "_abs": _fold("_pts", lambda p: F.when(is_test(p), F.abs(resid(p))).otherwise(0.0)),
+        "_sq": _fold("_pts", lambda p: F.when(is_test(p), resid(p) * resid(p)).otherwise(0.0)),
+        "_tmean": _dsum(F.filter("_pts", is_test), lambda p: p["y_dec"]).cast("double") / TEST_POINTS,
+        "_ss_res": _fold("_pts", lambda p: resid(p) * resid(p)),
+        "_ss_tot": _fold("_pts", lambda p: (p["y"] - F.col("_mean_y")) * (p["y"] - F.col("_mean_y"))),
+    })
+    g = g.withColumn("_tss", _fold("_pts", lambda p: F.when(
+        is_test(p), (p["y"] - F.col("_tmean")) * (p["y"] - F.col("_tmean"))).otherwise(0.0)))
+    has_test = F.col("_n") > MIN_POINTS_FOR_TEST
+    return g.select(
+        "series_id", "idx_map", "_n", "_last_month", "slope", "intercept",
         F.when(has_test, F.col("_abs") / TEST_POINTS).otherwise(0.0).alias("mae"),
         F.when(has_test, F.sqrt(F.col("_sq") / TEST_POINTS)).otherwise(0.0).alias("rmse"),
         F.when(F.col("_ss_tot") > 0, 1.0 - F.col("_ss_res") / F.col("_ss_tot"))
          .otherwise(0.0).alias("r2_train"),
         F.when(has_test & (F.col("_tss") > 0), 1.0 - F.col("_sq") / F.col("_tss"))
          .otherwise(0.0).alias("r2_test"),
-        F.sqrt(F.col("_ss_tot") / F.col("_nn")).alias("_pop_std"),
+        F.sqrt(F.col("_ss_tot") / F.col("_n")).alias("_pop_std"),
     )
-    return fit.join(met, "series_id"), idx, fitted
+
+
+def _future(fit: DataFrame, horizon: int) -> DataFrame:
+    """P15 + J2: ``horizon`` month starts after the last month, index from the map (default 1)."""
+    f = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
+    f = f.withColumn("month_start",
+                     F.add_months(F.to_date("_last_month"), F.col("horizon")).cast("timestamp"))
+    fidx = F.coalesce(F.element_at(F.col("idx_map"), F.month("month_start")), F.lit(1.0))
+    trend = F.col("slope") * (F.col("_n") - 1.0 + F.col("horizon")) + F.col("intercept")
+    return f.withColumn("forecast", LF.clip0(trend * fidx))
 
 
 def revenue_fit_metrics(series: DataFrame) -> DataFrame:
     """A25 (linear path): MAE, RMSE and R² on the last 3 points (in-sample), R² on all."""
-    fit, _, _ = _revenue_fit(series)
+    fit = _fit_series(series, deseasonalise=True)
     return fit.select("series_id", F.lit("Seasonal Linear Regression").alias("model_type"),
                       "mae", "rmse", "r2_train", "r2_test")
 
 
 def revenue_forecast(series: DataFrame, horizon: int = DEFAULT_HORIZON) -> DataFrame:
     """M5 + M6: forecast with a band ``± 1.96·σ·0.2·i`` (σ = RMSE, else 0.15·pop-std)."""
-    fit, idx, _ = _revenue_fit(series)
-    f = _future(fit, idx, horizon)
+    f = _future(_fit_series(series, deseasonalise=True), horizon)
     se = F.when(F.col("rmse") > 0, F.col("rmse")).otherwise(F.col("_pop_std") * FALLBACK_STD_FACTOR)
     half = Z_95 * se * F.col("horizon").cast("double") * BAND_GROWTH_PER_STEP
     return f.select(
@@ -147,11 +155,7 @@ def revenue_forecast(series: DataFrame, horizon: int = DEFAULT_HORIZON) -> DataF
 
 def demand_forecast(series: DataFrame, horizon: int = DEFAULT_HORIZON) -> DataFrame:
     """M9: per product, line on the raw monthly units times the month-of-year index."""
-    series = series.checkpoint(eager=True)
-    idx = seasonal_index(series)
-    s = _indexed(series, idx)
-    fit = _fit_line(s, "y")
-    f = _future(fit, idx, horizon)
+    f = _future(_fit_series(series, deseasonalise=False), horizon)
     return f.select("series_id", "month_start", "horizon", "forecast")
 
 

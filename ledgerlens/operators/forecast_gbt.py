@@ -19,6 +19,8 @@ them.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -76,7 +78,23 @@ def _fit(train: DataFrame, features: list[str], **params):
 
 # --- revenue ------------------------------------------------------------------
 
+# Fitted revenue models, reused by the forecast, metrics and importance reports for
+# the same series plan within one application (the source caches forecasts 900 s).
+MODEL_TTL_SECONDS = 900
+_MODELS: dict = {}
+
+
 def _revenue_model(series: DataFrame):
+    key = (series.sparkSession.sparkContext.applicationId, series.semanticHash())
+    hit = _MODELS.get(key)
+    if hit is not None and time.monotonic() - hit[0] < MODEL_TTL_SECONDS:
+        return hit[1]
+    fitted = _fit_revenue_model(series)
+    _MODELS[key] = (time.monotonic(), fitted)
+    return fitted
+
+
+def _fit_revenue_model(series: DataFrame):
     feats = month_features(series)
     split = train_test_split(series)
     tbl = feats.join(split, ["series_id", "month_start"])

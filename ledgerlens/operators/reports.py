@@ -8,7 +8,7 @@ ranking are broken by the key ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as LF
@@ -73,18 +73,18 @@ def customer_value(sales: DataFrame) -> DataFrame:
     """Per customer - days since last purchase, distinct invoices, revenue.
 
     Lines without customer or date are dropped. Recency is whole days from
-    the customer's last invoice to the latest invoice of all kept lines; the
-    latest invoice is a one-row aggregate over the per-customer result, so
-    the line table is scanned once. The distinct-invoice count is planned as
-    a (customer, invoice) de-duplication first, which spreads a customer with
-    very many lines over all partitions.
+    the customer's last invoice to the latest invoice of all kept lines. That
+    anchor is a global max over the lines (a two-column scan, one row per
+    task, no shuffle), broadcast as one row. The distinct-invoice count is
+    planned as a (customer, invoice) de-duplication first, which spreads a
+    customer with very many lines over all partitions.
     """
-    per = (sales.where(F.col("company").isNotNull() & F.col("invoice_date").isNotNull())
-           .groupBy(F.col("company").alias("customer"))
+    kept = sales.where(F.col("company").isNotNull() & F.col("invoice_date").isNotNull())
+    per = (kept.groupBy(F.col("company").alias("customer"))
            .agg(F.max("invoice_date").alias("_last"),
                 F.count_distinct("invoice_no").alias("order_count"),
                 F.sum("total_price").alias("total_revenue")))
-    anchor = per.agg(F.max("_last").alias("_anchor"))
+    anchor = kept.agg(F.max("invoice_date").alias("_anchor"))
     x = attach_scalar_row(per, anchor)
     return x.select(
         "customer",
@@ -107,7 +107,9 @@ def recency_histogram(sales: DataFrame, bins: int = RECENCY_BINS) -> DataFrame:
 
     width = ceil((max - min + 1) / bins); bin = floor((days - min) / width).
     """
-    cv = customer_value(sales).select("days_since_last_purchase")
+    # one number per customer, checkpointed so the span and the binning read it
+    # once instead of re-aggregating the lines twice
+    cv = customer_value(sales).select("days_since_last_purchase").checkpoint(eager=True)
     span = cv.agg(F.min("days_since_last_purchase").alias("_lo"),
                   F.max("days_since_last_purchase").alias("_hi"))
     span = span.select("_lo", F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(bins)),
@@ -193,24 +195,26 @@ def _colour_stats(df: DataFrame, keys: list) -> DataFrame:
 def colour_breakdown_all(sales: DataFrame) -> DataFrame:
     """A15/A16 for every multi-colour product at once: (product, colour) rows.
 
-    The per-product table of the source is a filter of this one; computing
-    all products in one grouped pass avoids a job per selected product.
+    Lines are aggregated per (product, colour) first; a product is kept when
+    it has more than one colour group, counted with a window over that small
+    aggregate (a product has at most one row per colour), so the line table
+    is never joined. The source's per-product table is a filter of this one.
     """
     coloured = has_colour(sales).where(F.col("short_description").isNotNull())
-    multi = multi_colour_products(sales).select(F.col("product").alias("short_description"))
-    sel = coloured.join(multi, "short_description", "left_semi")
-    return _colour_stats(sel, [F.col("short_description").alias("product"), "colour"])
+    stats = _colour_stats(coloured, [F.col("short_description").alias("product"), "colour"])
+    n_colours = F.count(F.lit(1)).over(Window.partitionBy("product"))
+    return stats.withColumn("_colours", n_colours).where(F.col("_colours") > 1).drop("_colours")
 
 
 def colour_breakdown(sales: DataFrame, product: str | None = None) -> DataFrame:
     """Colour table for one product (default: the first multi-colour product)."""
-    coloured = has_colour(sales)
     if product is None:
-        first = multi_colour_products(sales).agg(F.min("product").alias("_p"))
-        sel = attach_scalar_row(coloured, first).where(F.col("short_description") == F.col("_p"))
+        every = colour_breakdown_all(sales)
+        first = every.agg(F.min("product").alias("_p"))
+        out = attach_scalar_row(every, first).where(F.col("product") == F.col("_p")).drop("product", "_p")
     else:
-        sel = coloured.where(F.col("short_description") == F.lit(product))
-    out = _colour_stats(sel, ["colour"])
+        out = _colour_stats(has_colour(sales).where(F.col("short_description") == F.lit(product)),
+                            ["colour"])
     return out.orderBy(F.col("revenue").desc(), F.col("colour"))
 
 

@@ -45,3 +45,23 @@ def test_forecast_bounds(sales):
         assert 0 <= r["lower_ci"] <= r["forecast"] <= r["upper_ci"]
     for r in FL.demand_forecast(S.demand_series(sales, 10), 12).collect():
         assert r["forecast"] >= 0
+
+
+def test_hot_customer_holding_a_third_of_lines(sales):
+    """Skew: one customer gets a third of all lines; per-customer results stay exact."""
+    hot = sales.withColumn("company", F.when(F.col("invoice_no") % 3 == 0, F.lit("HOT"))
+                           .otherwise(F.col("company")))
+    cv = R.customer_value(hot)
+    kept = hot.where(F.col("company").isNotNull() & F.col("invoice_date").isNotNull())
+    assert cv.agg(F.sum("total_revenue")).first()[0] == kept.agg(F.sum("total_price")).first()[0]
+    want = kept.where(F.col("company") == "HOT").select("invoice_no").distinct().count()
+    assert cv.where(F.col("customer") == "HOT").first()["order_count"] == want
+
+
+def test_model_choice(sales):
+    from ledgerlens.operators import forecast_gbt as FG
+    s = S.revenue_series(sales)
+    lin = FG.forecast_revenue(s, 3, method="linear").orderBy("horizon").collect()
+    assert lin == FL.revenue_forecast(s, 3).orderBy("horizon").collect()
+    with pytest.raises(ValueError):
+        FG.forecast_revenue(s, 3, method="other")

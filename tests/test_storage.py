@@ -26,3 +26,19 @@ def test_stale_when_source_is_newer(spark):
     assert storage.is_fresh(spark, src, [snap])
     assert storage.last_modified(spark, [os.path.join(d, "absent")]) == 0.0
     storage.refresh(spark, [src])
+
+
+def test_freshness_report(spark):
+    storage.build_snapshot(spark, SMALL)
+    r = storage.freshness_report(spark, SMALL).first()
+    assert r["snapshot_is_fresh"] is True
+    assert r["sales_source_files"] == 5 and r["product_list_files"] == 1 and r["snapshot_files"] > 0
+
+
+def test_missing_sales_source_raises(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from ledgerlens.sources.load import read_sales
+    with pytest.raises(AnalysisException):
+        read_sales(spark, "/nonexistent/sales.parquet")

@@ -11,6 +11,7 @@ reads file status only, never contents.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,11 @@ def is_fresh(spark: SparkSession, snapshot: str, sources: list[str],
     return snap > src and snap > prod
 
 
+def forget_freshness() -> None:
+    """Drop remembered freshness decisions (after a source is known to have changed)."""
+    _FRESH.clear()
+
+
 def write_snapshot(df: DataFrame, path: str) -> str:
     """Write the cleaned table, partitioned by year for date-range pruning.
 
@@ -86,11 +92,20 @@ def build_snapshot(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     df = with_category(clean_sales(sales_lines(spark, sf_dir)), categories(spark, sf_dir))
     path = snapshot_path(spark, sf_dir)
+    forget_freshness()  # a remembered snapshot DataFrame would point at replaced files
     write_snapshot(df, path)
+    spark.catalog.refreshByPath(path)
     return path
 
 
 
+# A positive freshness decision is reused for this long within one application,
+# as the source reuses its loaded table for 300 s; a stale or missing snapshot is
+# re-checked on every call.
+FRESH_TTL_SECONDS = 300
+_FRESH: dict[tuple[str, str], tuple[float, DataFrame]] = {}
+
+
 def fresh_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     """The stored table if it is fresh, else None (caller builds from sources).
 
@@ -98,21 +113,28 @@ def fresh_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     is used only when its newest file is strictly newer than all of them.
     """
     path = snapshot_path(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, path)
+    seen = _FRESH.get(key)
+    if seen is not None and time.monotonic() - seen[0] < FRESH_TTL_SECONDS:
+        return seen[1]
     sources = table_paths(sf_dir, SALES_SOURCE_TABLES + PRODUCT_SOURCE_TABLES)
     try:
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                  .load([path] + sources))
     except AnalysisException:  # no snapshot yet
         return None
-    key = path.rsplit("/", 2)[-2] + "/" + path.rsplit("/", 1)[-1]
-    in_snap = F.col("path").contains(key)
+    marker = path.rsplit("/", 2)[-2] + "/" + path.rsplit("/", 1)[-1]
+    in_snap = F.col("path").contains(marker)
     t = F.unix_micros(F.col("modificationTime"))
     row = files.agg(F.max(F.when(in_snap, t)).alias("snap"),
                     F.max(F.when(~in_snap, t)).alias("src")).first()
     if row is None or row["snap"] is None or row["src"] is None or row["snap"] <= row["src"]:
+        _FRESH.pop(key, None)
         return None
     df = spark.read.parquet(path)
-    return df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns])
+    df = df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns])
+    _FRESH[key] = (time.monotonic(), df)
+    return df
 
 
 def freshness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +170,8 @@ def snapshot_roundtrip(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def refresh(spark: SparkSession, paths: list[str]) -> None:
-    """Forget cached file listings and data for changed sources."""
+    """Forget cached file listings, data and freshness decisions for changed sources."""
+    forget_freshness()
     for p in paths:
         spark.catalog.refreshByPath(p)
 

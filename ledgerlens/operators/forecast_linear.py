@@ -47,14 +47,19 @@ def seasonal_index(series: DataFrame) -> DataFrame:
          .otherwise(F.lit(1.0)).alias("seasonal_index"))
 
 
-def _dsum(arr, value) -> "F.Column":
-    """Exact decimal sum of ``value(e)`` over an array (a fold with a decimal zero)."""
-    return F.aggregate(arr, F.lit(0).cast(SERIES_DEC), lambda a, e: (a + value(e)).cast(SERIES_DEC))
+# SQL fragments for the per-series fit. Higher-order functions are written as SQL
+# text: one expression crosses to the JVM per column instead of one call per node.
+_DEC0 = f"CAST(0 AS {SERIES_DEC})"
 
 
-def _fold(arr, value) -> "F.Column":
-    """Double sum of ``value(e)`` added in array (month) order - the twin of ``ordered_sum``."""
-    return F.aggregate(arr, F.lit(0.0), lambda a, e: a + value(e))
+def _dsum_sql(arr: str, var: str, value: str) -> str:
+    """Exact decimal sum of ``value`` over ``arr`` (a fold with a decimal zero)."""
+    return f"aggregate({arr}, {_DEC0}, (acc, {var}) -> CAST(acc + {value} AS {SERIES_DEC}))"
+
+
+def _fold_sql(arr: str, var: str, value: str) -> str:
+    """Double sum of ``value`` added in array (month) order - the twin of ``ordered_sum``."""
+    return f"aggregate({arr}, 0D, (acc, {var}) -> acc + {value})"
 
 
 def _fit_series(series: DataFrame, deseasonalise: bool) -> DataFrame:
@@ -65,52 +70,47 @@ def _fit_series(series: DataFrame, deseasonalise: bool) -> DataFrame:
     index and the metrics are array expressions on that row, so the whole
     fit is one shuffle of the monthly table whatever the number of series.
     """
-    h = F.array_sort(F.collect_list(F.struct("month_start", "y_dec", "y")))
-    g = series.groupBy("series_id").agg(h.alias("_h"))
-    n = F.size("_h")
-    # month-of-year means (exact decimal sums / counts), months present only
-    moy = F.filter(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(
-        m.alias("moy"),
-        _dsum(F.filter("_h", lambda e: F.month(e["month_start"]) == m), lambda e: e["y_dec"]).alias("s"),
-        F.size(F.filter("_h", lambda e: F.month(e["month_start"]) == m)).alias("c"))),
-        lambda r: r["c"] > 0)
-    g = g.select("series_id", "_h", n.alias("_ni"), moy.alias("_moy"))
-    moy_mean = lambda r: r["s"].cast("double") / r["c"]
-    overall = _fold("_moy", moy_mean) / F.size("_moy")
-    g = g.withColumn("_overall", overall)
-    idx_map = F.map_from_entries(F.transform("_moy", lambda r: F.struct(
-        r["moy"], F.when(F.col("_overall") > 0, moy_mean(r) / F.col("_overall"))
-                   .otherwise(F.lit(1.0)))))
-    g = g.withColumn("idx_map", idx_map)
-    pts = F.transform("_h", lambda e, i: F.struct(
-        i.cast("double").alias("x"), e["y"].alias("y"), e["y_dec"].alias("y_dec"),
-        F.element_at(F.col("idx_map"), F.month(e["month_start"])).alias("idx")))
-    g = g.withColumn("_pts", pts)
-    target = (lambda p: p["y"] / p["idx"]) if deseasonalise else (lambda p: p["y"])
-    g = g.select(
-        "series_id", "idx_map", "_pts",
-        F.col("_ni").cast("double").alias("_n"),
-        F.element_at("_h", -1)["month_start"].alias("_last_month"),
-        _fold("_pts", lambda p: p["x"]).alias("_sx"),
-        _fold("_pts", target).alias("_sy"),
-        _fold("_pts", lambda p: p["x"] * target(p)).alias("_sxy"),
-        _fold("_pts", lambda p: p["x"] * p["x"]).alias("_sxx"),
-        (_dsum("_pts", lambda p: p["y_dec"]).cast("double") / F.col("_ni")).alias("_mean_y"))
-    g = g.withColumn("slope", (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy"))
-                     / (F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")))
-    g = g.withColumn("intercept", (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("_n"))
+    g = series.groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct("month_start", "y_dec", "y"))).alias("_h"))
+    in_moy = "filter(_h, e -> month(e.month_start) = m)"
+    g = g.selectExpr(
+        "series_id", "_h", "size(_h) AS _ni",
+        # month-of-year sums (exact) and counts, for the months present
+        "filter(transform(sequence(1, 12), m -> named_struct('moy', m, "
+        f"'s', {_dsum_sql(in_moy, 'e', 'e.y_dec')}, 'c', size({in_moy}))), r -> r.c > 0) AS _moy")
+    moy_mean = "(CAST(r.s AS DOUBLE) / r.c)"
+    g = g.selectExpr("*", f"{_fold_sql('_moy', 'r', moy_mean)} / size(_moy) AS _overall")
+    g = g.selectExpr(
+        "*", "map_from_entries(transform(_moy, r -> struct(r.moy, "
+             f"CASE WHEN _overall > 0 THEN {moy_mean} / _overall ELSE 1D END))) AS idx_map")
+    g = g.selectExpr(
+        "*", "transform(_h, (e, i) -> named_struct('x', CAST(i AS DOUBLE), 'y', e.y, "
+             "'y_dec', e.y_dec, 'idx', element_at(idx_map, month(e.month_start)))) AS _pts")
+    target = "(p.y / p.idx)" if deseasonalise else "p.y"
+    g = g.selectExpr(
+        "series_id", "idx_map", "_pts", "CAST(_ni AS DOUBLE) AS _n",
+        "element_at(_h, -1).month_start AS _last_month",
+        f"{_fold_sql('_pts', 'p', 'p.x')} AS _sx",
+        f"{_fold_sql('_pts', 'p', target)} AS _sy",
+        f"{_fold_sql('_pts', 'p', f'p.x * {target}')} AS _sxy",
+        f"{_fold_sql('_pts', 'p', 'p.x * p.x')} AS _sxx",
+        f"CAST({_dsum_sql('_pts', 'p', 'p.y_dec')} AS DOUBLE) / _ni AS _mean_y")
+    g = g.selectExpr("*", "(_n * _sxy - _sx * _sy) / (_n * _sxx - _sx * _sx) AS slope")
+    g = g.selectExpr("*", "(_sy - slope * _sx) / _n AS intercept")
     # residuals of the re-seasonalised line, and the last-3 test window
-    is_test = lambda p: (F.col("_n") > MIN_POINTS_FOR_TEST) & (p["x"] >= F.col("_n") - TEST_POINTS)
-    resid = lambda p: p["y"] - (F.col("slope") * p["x"] + F.col("intercept")) * p["idx"]
-    g = g.withColumns({
-        "_abs": _fold("_pts", lambda p: F.when(is_test(p), F.abs(resid(p))).otherwise(0.0)),
-        "_sq": _fold("_pts", lambda p: F.when(is_test(p), resid(p) * resid(p)).otherwise(0.0)),
-        "_tmean": _dsum(F.filter("_pts", is_test), lambda p: p["y_dec"]).cast("double") / TEST_POINTS,
-        "_ss_res": _fold("_pts", lambda p: resid(p) * resid(p)),
-        "_ss_tot": _fold("_pts", lambda p: (p["y"] - F.col("_mean_y")) * (p["y"] - F.col("_mean_y"))),
-    })
-    g = g.withColumn("_tss", _fold("_pts", lambda p: F.when(
-        is_test(p), (p["y"] - F.col("_tmean")) * (p["y"] - F.col("_tmean"))).otherwise(0.0)))
+    is_test = f"(_n > {MIN_POINTS_FOR_TEST} AND p.x >= _n - {TEST_POINTS})"
+    resid = "(p.y - (slope * p.x + intercept) * p.idx)"
+    g = g.selectExpr(
+        "*",
+        f"{_fold_sql('_pts', 'p', f'CASE WHEN {is_test} THEN abs({resid}) ELSE 0D END')} AS _abs",
+        f"{_fold_sql('_pts', 'p', f'CASE WHEN {is_test} THEN {resid} * {resid} ELSE 0D END')} AS _sq",
+        f"CAST({_dsum_sql(f'filter(_pts, p -> {is_test})', 'p', 'p.y_dec')} AS DOUBLE) "
+        f"/ {TEST_POINTS} AS _tmean",
+        f"{_fold_sql('_pts', 'p', f'{resid} * {resid}')} AS _ss_res",
+        f"{_fold_sql('_pts', 'p', '(p.y - _mean_y) * (p.y - _mean_y)')} AS _ss_tot")
+    tdev = "(p.y - _tmean)"
+    g = g.selectExpr(
+        "*", f"{_fold_sql('_pts', 'p', f'CASE WHEN {is_test} THEN {tdev} * {tdev} ELSE 0D END')} AS _tss")
     has_test = F.col("_n") > MIN_POINTS_FOR_TEST
     return g.select(
         "series_id", "idx_map", "_n", "_last_month", "slope", "intercept",

@@ -82,7 +82,7 @@ def top_demand_products(sales: DataFrame, top_n: int | None = DEFAULT_TOP_N,
     Empty when fewer than ``min_lines`` lines have product and date. With
     ``top_n=None`` every product is kept.
     """
-    pm = product_month_qty(sales) if pm is None else pm
+    pm = product_month_qty(sales).checkpoint(eager=True) if pm is None else pm
     totals = pm.groupBy("series_id").agg(F.sum("y_dec").alias("_total"),
                                          F.sum("_lines").alias("_lines"))
     gate = totals.agg(F.sum("_lines").alias("_all_lines"))
@@ -101,7 +101,10 @@ def demand_series(sales: DataFrame, top_n: int | None = DEFAULT_TOP_N,
     The top-N list has at most ``top_n`` rows, so it is broadcast into the
     semi-join; without a limit the semi-join is left to the planner.
     """
-    pm = product_month_qty(sales)
+    # products x months: far smaller than the lines, and read three times below
+    # (top-N totals, the line-count gate, the selected series), so it is
+    # materialised once instead of re-aggregating the lines for each use
+    pm = product_month_qty(sales).checkpoint(eager=True)
     top = top_demand_products(sales, top_n, min_lines, pm=pm).select(
         F.col("product").alias("series_id"))
     keep = F.broadcast(top) if top_n is not None else top

@@ -56,17 +56,6 @@ def _mean_of_last(recent: Column, k: int, fallback: Column) -> Column:
     return F.when(F.size(recent) >= k, mean).otherwise(fallback)
 
 
-def _pop_std_of_last(recent: Column, k: int) -> Column:
-    part = F.slice(recent, -k, k)
-    mean = F.aggregate(part, F.lit(0.0), lambda a, b: a + b) / F.size(part)
-    var = F.aggregate(part, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / F.size(part)
-    return F.when(F.size(recent) >= k, F.sqrt(var)).otherwise(F.lit(0.0))
-
-
-def _lag_of(recent: Column, k: int, fallback: Column) -> Column:
-    return F.when(F.size(recent) >= k, F.element_at(recent, -k)).otherwise(fallback)
-
-
 def _fit(train: DataFrame, features: list[str], **params):
     """Fit on a small, cached single-partition training set (a few rows per series)."""
     data = VectorAssembler(inputCols=features, outputCol="features").transform(train)
@@ -150,6 +139,40 @@ def _seasonal_map(tbl: DataFrame) -> DataFrame:
         F.collect_list(F.struct(F.col("month"), F.col("si")))).alias("si_map"))
 
 
+def _revenue_step_features(i: int) -> list[str]:
+    """Features of forecast step ``i`` from the state row, as SQL (one JVM call each).
+
+    Lags and rolling statistics come from ``recent`` (history, then the
+    predictions so far); a value the history is too short for falls back to
+    the series mean (rolling std to 0), as in the source.
+    """
+    month = f"add_months(to_date(last_month), {i + 1})"
+
+    def lag(k: int) -> str:
+        return f"CASE WHEN size(recent) >= {k} THEN element_at(recent, -{k}) ELSE y_mean END"
+
+    def mean_of_last(k: int) -> str:
+        part = f"slice(recent, -{k}, {k})"
+        return (f"CASE WHEN size(recent) >= {k} THEN "
+                f"aggregate({part}, 0D, (a, b) -> a + b) / size({part}) ELSE y_mean END")
+
+    part3 = "slice(recent, -3, 3)"
+    mean3 = f"(aggregate({part3}, 0D, (a, b) -> a + b) / size({part3}))"
+    std3 = (f"CASE WHEN size(recent) >= 3 THEN sqrt(aggregate({part3}, 0D, "
+            f"(a, b) -> a + (b - {mean3}) * (b - {mean3})) / size({part3})) ELSE 0D END")
+    return [
+        f"CAST(month({month}) AS DOUBLE) AS month",
+        f"CAST(quarter({month}) AS DOUBLE) AS quarter",
+        f"CAST(n + {i} AS DOUBLE) AS months_since_start",
+        f"{lag(1)} AS lag_1", f"{lag(2)} AS lag_2", f"{lag(3)} AS lag_3",
+        f"{mean_of_last(3)} AS rolling_mean_3", f"{mean_of_last(6)} AS rolling_mean_6",
+        f"{std3} AS rolling_std_3",
+        f"coalesce(element_at(si_map, month({month})), 1D) AS seasonal_index",
+        f"{lag(12)} AS lag_12",
+        f"CASE WHEN {lag(12)} > 0 THEN ({lag(1)} - {lag(12)}) / {lag(12)} ELSE 0D END AS yoy_growth",
+    ]
+
+
 def revenue_forecast(series: DataFrame, horizon: int = 6) -> DataFrame:
     """M2-M4: recursive boosted-tree forecast with a band ``± 1.96·σ·(1 + 0.1·i)``."""
     model, tbl, cols = _revenue_model(series)
@@ -166,29 +189,13 @@ def revenue_forecast(series: DataFrame, horizon: int = 6) -> DataFrame:
                      .alias("recent"),
                      F.array().cast("array<double>").alias("preds")))
     va = VectorAssembler(inputCols=cols, outputCol="features")
+    keep = ["series_id", "n", "last_month", "y_mean", "y_std", "rmse", "si_map", "recent", "preds"]
     for i in range(horizon):
-        month_start = F.add_months(F.to_date("last_month"), i + 1)
-        recent, fb = F.col("recent"), F.col("y_mean")
-        lag_1, lag_12 = _lag_of(recent, 1, fb), _lag_of(recent, 12, fb)
-        step = state.withColumns({
-            "month": F.month(month_start),
-            "quarter": F.quarter(month_start),
-            "months_since_start": F.col("n") + i,
-            "lag_1": lag_1,
-            "lag_2": _lag_of(recent, 2, fb),
-            "lag_3": _lag_of(recent, 3, fb),
-            "rolling_mean_3": _mean_of_last(recent, 3, fb),
-            "rolling_mean_6": _mean_of_last(recent, 6, fb),
-            "rolling_std_3": _pop_std_of_last(recent, 3),
-            "seasonal_index": F.coalesce(F.element_at("si_map", F.month(month_start)), F.lit(1.0)),
-            "lag_12": lag_12,
-            "yoy_growth": F.when(lag_12 > 0, (lag_1 - lag_12) / lag_12).otherwise(F.lit(0.0)),
-        })
-        step = step.withColumns({c: F.col(c).cast("double") for c in cols})
+        step = state.selectExpr(*keep, *_revenue_step_features(i))
         scored = model.transform(va.transform(step))
         pred = LF.clip0(F.col("prediction"))
         state = scored.select(
-            "series_id", "n", "last_month", "y_mean", "y_std", "rmse", "si_map",
+            *keep[:-2],
             F.concat(F.col("recent"), F.array(pred)).alias("recent"),
             F.concat(F.col("preds"), F.array(pred)).alias("preds"))
     out = state.select("series_id", "last_month", "rmse", "y_std",

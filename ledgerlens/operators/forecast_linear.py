@@ -159,6 +159,21 @@ def demand_forecast(series: DataFrame, horizon: int = DEFAULT_HORIZON) -> DataFr
     return f.select("series_id", "month_start", "horizon", "forecast")
 
 
+# The source reports this pair for its seasonal-linear model.
+LINEAR_IMPORTANCE = [("trend", 0.5), ("seasonality", 0.5)]
+
+
+def linear_feature_importance(series: DataFrame) -> DataFrame:
+    """K5 (linear path): the constant trend/seasonality pair, for each series that was fitted."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(v).alias("importance"))
+                      for k, v in LINEAR_IMPORTANCE])
+    fitted = series.select("series_id").distinct()
+    return fitted.select("series_id", F.inline(pairs)).select(
+        "series_id", "feature", "importance",
+        LF.title_label("feature").alias("feature_label"),
+        LF.pct_label("importance").alias("importance_label"))
+
+
 def forecast_totals(forecast: DataFrame) -> DataFrame:
     """Total and monthly average of the forecast per series."""
     g = forecast.groupBy("series_id").agg(

@@ -195,6 +195,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_totals": _on_sales(lambda s: FL.forecast_totals(_revenue_forecast(s))),
     "demand_forecast_linear": _on_sales(_demand_forecast),
     "demand_summary": _on_sales(_demand_summary),
+    "linear_feature_importance": _on_sales(
+        lambda s: FL.linear_feature_importance(S.revenue_series(s))),
     # boosted trees (MLlib; rows-only check)
     "revenue_forecast_gbt": _on_sales(lambda s: FG.revenue_forecast(S.revenue_series(s), HORIZON)),
     "gbt_fit_metrics": _on_sales(lambda s: FG.gbt_fit_metrics(S.revenue_series(s))),

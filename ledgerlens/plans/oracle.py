@@ -488,6 +488,12 @@ FROM rf"""),
     "forecast_totals": _q(_REV_FORECAST + _TOTALS
                           + "SELECT series_id, total_forecast, total_forecast / months AS avg_monthly, months FROM tot"),
     "demand_forecast_linear": _q(_DEMAND_FORECAST + "SELECT * FROM rf"),
+    "linear_feature_importance": _q(_REV_SERIES + """SELECT s.series_id, f.feature, f.importance,
+  f.feature_label, f.importance_label
+FROM (SELECT DISTINCT series_id FROM rs) s
+CROSS JOIN (VALUES ('trend', 0.5::DOUBLE, 'Trend', '50.0%'),
+                   ('seasonality', 0.5::DOUBLE, 'Seasonality', '50.0%'))
+  f(feature, importance, feature_label, importance_label)"""),
     "demand_summary": _q(_DEMAND_FORECAST + _TOTALS + f""", hist AS (
   SELECT series_id, CAST(sum(y_dec) AS DOUBLE) / count(*) AS hist_avg FROM rs GROUP BY 1),
 j AS (

@@ -51,6 +51,18 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in dec}) if dec else df
 
 
+# Calendar parts of a line are null when its date is; as double they read the same
+# (NaN) from every engine, while a nullable integer column does not.
+DATE_PARTS = ("year", "month", "quarter")
+
+
+def row_output(df: DataFrame) -> DataFrame:
+    """Row-level results: money and nullable calendar parts as double."""
+    df = decimals_to_double(df)
+    parts = [c for c in DATE_PARTS if c in df.columns]
+    return df.withColumns({c: F.col(c).cast("double") for c in parts}) if parts else df
+
+
 def _on_sales(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return decimals_to_double(op(sources.sales(spark, sf_dir)))
@@ -61,13 +73,13 @@ def _on_sales(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, s
 
 def _filtered(flt: SalesFilter) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return decimals_to_double(flt.apply(sources.sales(spark, sf_dir)))
+        return row_output(flt.apply(sources.sales(spark, sf_dir)))
     return run
 
 
 def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + P1-P3: the all-text export coerced to the typed table."""
-    return decimals_to_double(sources.sales_from_raw(spark, sf_dir))
+    return row_output(sources.sales_from_raw(spark, sf_dir))
 
 
 def product_category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +95,7 @@ def sales_by_category(sales: DataFrame) -> DataFrame:
 
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 + S4: write the cleaned table as a year-partitioned snapshot, read it back."""
-    return decimals_to_double(storage.snapshot_roundtrip(spark, sources.sales(spark, sf_dir)))
+    return row_output(storage.snapshot_roundtrip(spark, sources.sales(spark, sf_dir)))
 
 
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +104,7 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     The CSV reader takes every column as text, so ``invoice_no`` comes back as text.
     """
     configure(spark)
-    return decimals_to_double(storage.export_roundtrip(spark, sources.sales_lines(spark, sf_dir)))
+    return row_output(storage.export_roundtrip(spark, sources.sales_lines(spark, sf_dir)))
 
 
 # Fixed parameters of the registered forecast queries (the source's defaults).
@@ -134,7 +146,7 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     refresh_snapshot(spark, f"{base}/incoming", f"{base}/snapshot", f"{base}/checkpoint")
     snap = spark.read.parquet(f"{base}/snapshot")
     cols = sources.clean_sales(lines.select(*[F.col(c).cast("string") for c in lines.columns])).columns
-    return decimals_to_double(snap.select(*cols))
+    return row_output(snap.select(*cols))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

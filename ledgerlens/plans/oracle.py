@@ -37,6 +37,14 @@ sales AS (
 
 MONEY_AS_DOUBLE = ("* REPLACE (CAST(price AS DOUBLE) AS price, CAST(discount AS DOUBLE) AS discount, "
                    "CAST(total_price AS DOUBLE) AS total_price)")
+# row-level results: money and the (nullable) calendar parts as DOUBLE
+ROW_OUT = ("* REPLACE (CAST(price AS DOUBLE) AS price, CAST(discount AS DOUBLE) AS discount, "
+           "CAST(total_price AS DOUBLE) AS total_price, CAST(year AS DOUBLE) AS year, "
+           "CAST(month AS DOUBLE) AS month, CAST(quarter AS DOUBLE) AS quarter)")
+_DERIVED_ROW = """CAST(year(invoice_date) AS DOUBLE) AS year,
+  CAST(month(invoice_date) AS DOUBLE) AS month,
+  CAST(quarter(invoice_date) AS DOUBLE) AS quarter,
+  strftime(invoice_date, '%Y-%m') AS year_month"""
 
 
 def _q(body: str) -> str:
@@ -79,7 +87,7 @@ typed AS (
     coalesce(TRY_CAST(trim(weight_kg) AS DOUBLE), 0) AS weight_kg,
     delivery_town, payment_method, production_status, furniture_group, colour
   FROM raw)
-SELECT {MONEY_AS_DOUBLE}, {_DERIVED} FROM typed"""
+SELECT {MONEY_AS_DOUBLE}, {_DERIVED_ROW} FROM typed"""
 
 _CUSTOMER_VALUE = """customer_value AS (
   SELECT customer,
@@ -140,20 +148,20 @@ _MULTI = """multi AS (
 ORACLE: dict[str, str] = {
     "load_sales": _LOAD_SALES,
     "product_categories": f"WITH {_CATS.strip()}\nSELECT description, category FROM cats",
-    "snapshot_roundtrip": _q(f"SELECT {MONEY_AS_DOUBLE} FROM sales"),
+    "snapshot_roundtrip": _q(f"SELECT {ROW_OUT} FROM sales"),
     "export_roundtrip": f"""WITH s AS ({SALES_SQL})
 SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBLE) AS price,
                   CAST(discount AS DOUBLE) AS discount, CAST(total_price AS DOUBLE) AS total_price),
-  {_DERIVED}
+  {_DERIVED_ROW}
 FROM s""",
     "incremental_refresh": f"""WITH s AS ({SALES_SQL})
 SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBLE) AS price,
                   CAST(discount AS DOUBLE) AS discount, CAST(total_price AS DOUBLE) AS total_price),
-  {_DERIVED}
+  {_DERIVED_ROW}
 FROM s""",
     "sales_by_category": _q("""SELECT product_category, count(*) AS lines,
   CAST(sum(total_price) AS DOUBLE) AS revenue FROM sales GROUP BY product_category"""),
-    **{name: _q(f"SELECT {MONEY_AS_DOUBLE} FROM sales WHERE {cond}")
+    **{name: _q(f"SELECT {ROW_OUT} FROM sales WHERE {cond}")
        for name, cond in FILTER_SQL.items()},
     "kpis": _q("""SELECT
   CAST(coalesce(sum(total_price), 0) AS DOUBLE) AS total_revenue,

@@ -19,6 +19,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Runtime options that results depend on; safe to call repeatedly."""
     # Month boundaries and day counts are computed on wall-clock time.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # lineage cuts (checkpoint) need the shared folder; a local session gets its own
+    ensure_checkpoint_dir(spark)
     return spark
 
 

@@ -56,10 +56,19 @@ def _mean_of_last(recent: Column, k: int, fallback: Column) -> Column:
     return F.when(F.size(recent) >= k, mean).otherwise(fallback)
 
 
+# Training rows per partition: a monthly panel of a few series fits in one task
+# (each boosting iteration is then one small task per stage); a panel over very
+# many products keeps one partition per this many rows.
+TRAIN_ROWS_PER_PARTITION = 200_000
+
+
 def _fit(train: DataFrame, features: list[str], **params):
-    """Fit on a small, cached single-partition training set (a few rows per series)."""
+    """Fit on a cached training set whose partition count follows its size."""
     data = VectorAssembler(inputCols=features, outputCol="features").transform(train)
-    data = data.select("features", "label").coalesce(1).cache()
+    data = data.select("features", "label")
+    rows = data.count()  # monthly rows: the table is a checkpoint, so this is a cheap read
+    parts = max(1, -(-rows // TRAIN_ROWS_PER_PARTITION))
+    data = data.coalesce(parts).cache()
     model = GBTRegressor(featuresCol="features", labelCol="label", seed=SEED, **params).fit(data)
     data.unpersist()
     return model

@@ -32,19 +32,17 @@ MIN_POINTS_FOR_TEST = 6  # metrics on the last 3 points only when n > 6
 
 
 def seasonal_index(series: DataFrame) -> DataFrame:
-    """A22 / W6 (linear path): ``(series_id, moy, seasonal_index)``.
+    """A22 / W6 (linear path): ``(series_id, moy, moy_mean, seasonal_index)``.
 
     Month-of-year mean (exact decimal sum / count) over the mean of those
-    means; 1 when that mean is not positive.
+    means; 1 when that mean is not positive. Same single grouped pass as the
+    fit (``_moy_stats``).
     """
-    moy = (series.groupBy("series_id", F.month("month_start").alias("moy"))
-           .agg((F.sum("y_dec").cast("double") / F.count(F.lit(1))).alias("moy_mean")))
-    overall = moy.groupBy("series_id").agg(
-        (ordered_sum(F.col("moy_mean"), F.col("moy")) / F.count(F.lit(1))).alias("_overall"))
-    return moy.join(overall, "series_id").select(
-        "series_id", "moy", "moy_mean",
-        F.when(F.col("_overall") > 0, F.col("moy_mean") / F.col("_overall"))
-         .otherwise(F.lit(1.0)).alias("seasonal_index"))
+    g = _moy_stats(series)
+    return g.selectExpr(
+        "series_id", "inline(transform(_moy, r -> named_struct('moy', r.moy, "
+        "'moy_mean', CAST(r.s AS DOUBLE) / r.c, 'seasonal_index', CASE WHEN _overall > 0 "
+        "THEN (CAST(r.s AS DOUBLE) / r.c) / _overall ELSE 1D END)))")
 
 
 # SQL fragments for the per-series fit. Higher-order functions are written as SQL
@@ -62,6 +60,20 @@ def _fold_sql(arr: str, var: str, value: str) -> str:
     return f"aggregate({arr}, 0D, (acc, {var}) -> acc + {value})"
 
 
+def _moy_stats(series: DataFrame) -> DataFrame:
+    """One row per series: months in order (``_h``), per month-of-year exact sums and
+    counts (``_moy``, months present only) and the mean of the month-of-year means."""
+    g = series.groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct("month_start", "y_dec", "y"))).alias("_h"))
+    in_moy = "filter(_h, e -> month(e.month_start) = m)"
+    g = g.selectExpr(
+        "series_id", "_h", "size(_h) AS _ni",
+        "filter(transform(sequence(1, 12), m -> named_struct('moy', m, "
+        f"'s', {_dsum_sql(in_moy, 'e', 'e.y_dec')}, 'c', size({in_moy}))), r -> r.c > 0) AS _moy")
+    moy_mean = "(CAST(r.s AS DOUBLE) / r.c)"
+    return g.selectExpr("*", f"{_fold_sql('_moy', 'r', moy_mean)} / size(_moy) AS _overall")
+
+
 def _fit_series(series: DataFrame, deseasonalise: bool) -> DataFrame:
     """One row per series: seasonal index map, line, and in-sample metrics.
 
@@ -70,16 +82,8 @@ def _fit_series(series: DataFrame, deseasonalise: bool) -> DataFrame:
     index and the metrics are array expressions on that row, so the whole
     fit is one shuffle of the monthly table whatever the number of series.
     """
-    g = series.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("month_start", "y_dec", "y"))).alias("_h"))
-    in_moy = "filter(_h, e -> month(e.month_start) = m)"
-    g = g.selectExpr(
-        "series_id", "_h", "size(_h) AS _ni",
-        # month-of-year sums (exact) and counts, for the months present
-        "filter(transform(sequence(1, 12), m -> named_struct('moy', m, "
-        f"'s', {_dsum_sql(in_moy, 'e', 'e.y_dec')}, 'c', size({in_moy}))), r -> r.c > 0) AS _moy")
+    g = _moy_stats(series)
     moy_mean = "(CAST(r.s AS DOUBLE) / r.c)"
-    g = g.selectExpr("*", f"{_fold_sql('_moy', 'r', moy_mean)} / size(_moy) AS _overall")
     g = g.selectExpr(
         "*", "map_from_entries(transform(_moy, r -> struct(r.moy, "
              f"CASE WHEN _overall > 0 THEN {moy_mean} / _overall ELSE 1D END))) AS idx_map")

@@ -209,7 +209,8 @@ def colour_breakdown_all(sales: DataFrame) -> DataFrame:
 def colour_breakdown(sales: DataFrame, product: str | None = None) -> DataFrame:
     """Colour table for one product (default: the first multi-colour product)."""
     if product is None:
-        every = colour_breakdown_all(sales)
+        # (product, colour) rows: small, and read twice (first product, its rows)
+        every = colour_breakdown_all(sales).checkpoint(eager=True)
         first = every.agg(F.min("product").alias("_p"))
         out = attach_scalar_row(every, first).where(F.col("product") == F.col("_p")).drop("product", "_p")
     else:

@@ -27,3 +27,17 @@ def test_demand_gbt_forecast(spark):
     f = FG.demand_forecast(ds, 3).collect()
     assert len(f) == 3 * ds.select("series_id").distinct().count()
     assert all(r["forecast"] >= 0 for r in f)
+
+
+def test_demand_gbt_is_repeatable(spark):
+    ds = S.demand_series(sources.sales(spark, SMALL), 3).checkpoint(eager=True)
+    a = FG.demand_forecast(ds, 3).orderBy("series_id", "horizon").collect()
+    b = FG.demand_forecast(ds, 3).orderBy("series_id", "horizon").collect()
+    assert a == b
+
+
+def test_revenue_model_is_reused_within_ttl(series):
+    FG._MODELS.clear()
+    m1 = FG._revenue_model(series)[0]
+    m2 = FG._revenue_model(series)[0]
+    assert m1 is m2

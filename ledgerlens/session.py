@@ -9,7 +9,6 @@ tests and the benchmark.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -77,10 +76,3 @@ def shared_root(spark: SparkSession) -> str:
         root = ensure_checkpoint_dir(spark)
     return root.rstrip("/")
 
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def env_cores(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

@@ -52,7 +52,7 @@ class SalesFilter:
             ("furniture_group", self.furniture_groups),
         ]
         for col, values in value_filters:
-            # category / furniture group only when the column exists (as the reference)
+            # category / furniture group only when the column exists (as the source does)
             if values and col in columns:
                 preds.append(keep_selected_or_null(col, values))
         return preds

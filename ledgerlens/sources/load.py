@@ -85,7 +85,7 @@ def product_categories(codes: DataFrame | None) -> DataFrame | None:
     Flags are compared after strip + upper. A description flagged both ways is
     Furniture ('Furniture' < 'Landscape', so ``min`` picks it). Blank or other
     flags and null descriptions are dropped. Returns None when there is no
-    list or no category column (the reference's empty mapping).
+    list or no category column (the source's empty mapping).
     """
     if codes is None:
         return None
@@ -106,7 +106,7 @@ def with_category(sales: DataFrame, categories: DataFrame | None) -> DataFrame:
     """Left lookup join on the exact description -> ``product_category``.
 
     Without a lookup the column is not added (the reports then skip the
-    category filter, as the reference does).
+    category filter, as the source does).
     """
     if categories is None or "short_description" not in sales.columns:
         return sales

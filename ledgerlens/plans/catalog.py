@@ -149,6 +149,11 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_output(snap.select(*cols))
 
 
+def _demand_summary_gbt(sales: DataFrame) -> DataFrame:
+    series = S.demand_series(sales, TOP_N).checkpoint(eager=True)
+    return FL.demand_summary(series, FG.demand_forecast(series, HORIZON), "Gradient Boosted Trees")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources
     "load_sales": load_sales,
@@ -215,4 +220,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_importance": _on_sales(lambda s: FG.feature_importance(S.revenue_series(s))),
     "demand_forecast_gbt": _on_sales(
         lambda s: FG.demand_forecast(S.demand_series(s, TOP_N), HORIZON)),
+    "forecast_table_gbt": _on_sales(
+        lambda s: FL.forecast_table(FG.revenue_forecast(S.revenue_series(s), HORIZON))),
+    "forecast_totals_gbt": _on_sales(
+        lambda s: FL.forecast_totals(FG.revenue_forecast(S.revenue_series(s), HORIZON))),
+    "demand_summary_gbt": _on_sales(_demand_summary_gbt),
 }

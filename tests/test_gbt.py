@@ -36,8 +36,10 @@ def test_demand_gbt_is_repeatable(spark):
     assert a == b
 
 
-def test_revenue_model_is_reused_within_ttl(series):
+def test_revenue_model_is_reused_within_ttl(spark, series):
     FG._MODELS.clear()
     m1 = FG._revenue_model(series)[0]
     m2 = FG._revenue_model(series)[0]
-    assert m1 is m2
+    rebuilt = S.revenue_series(sources.sales(spark, SMALL))  # same data, new plan
+    m3 = FG._revenue_model(rebuilt)[0]
+    assert m1 is m2 is m3

@@ -40,3 +40,12 @@ def test_lookup_side_is_broadcast_when_small(spark):
     from ledgerlens.sources.load import clean_sales, with_category
     df = with_category(clean_sales(sales_lines(spark, SMALL)), sources.categories(spark, SMALL))
     assert "BroadcastHashJoin" in plan(df)
+
+
+def test_bounded_broadcast_falls_back_above_the_bound(spark):
+    from ledgerlens.operators.joins import bounded_broadcast
+    small = spark.range(5).withColumnRenamed("id", "k")
+    hinted = bounded_broadcast(small, max_rows=10)
+    unhinted = bounded_broadcast(small, max_rows=3)
+    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in unhinted._jdf.queryExecution().logical().toString().lower()

@@ -79,6 +79,17 @@ def category_column(columns: list[str]) -> str | None:
     return None
 
 
+def read_product_codes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame | None:
+    """Read a product-code list; a missing file means no lookup (None)."""
+    from pyspark.errors import AnalysisException
+    try:
+        if fmt == "csv":
+            return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        return spark.read.format(fmt).load(path)
+    except AnalysisException:
+        return None
+
+
 def product_categories(codes: DataFrame | None) -> DataFrame | None:
     """One row per description: 'Furniture' or 'Landscape'.
 

@@ -42,3 +42,16 @@ def test_missing_sales_source_raises(spark):
     from ledgerlens.sources.load import read_sales
     with pytest.raises(AnalysisException):
         read_sales(spark, "/nonexistent/sales.parquet")
+
+
+def test_product_codes_from_file(spark):
+    from ledgerlens.sources.load import product_categories, read_product_codes
+    d = tempfile.mkdtemp(prefix="ll-codes-")
+    spark.createDataFrame([("chair", "F"), ("lamp", " l "), ("chair", "L")],
+                          "Description string, `Landscape or Furniture` string") \
+        .write.option("header", True).csv(f"{d}/codes")
+    cats = {r["description"]: r["category"]
+            for r in product_categories(read_product_codes(spark, f"{d}/codes")).collect()}
+    assert cats == {"chair": "Furniture", "lamp": "Landscape"}
+    assert read_product_codes(spark, f"{d}/absent") is None
+    assert product_categories(read_product_codes(spark, f"{d}/absent")) is None

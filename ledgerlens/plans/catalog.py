@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import sources
-from ..operators import kpis as K
 from ..operators import forecast_gbt as FG
 from ..operators import forecast_linear as FL
+from ..operators import kpis as K
 from ..operators import reports as R
 from ..operators import series as S
 from ..operators.filters import SalesFilter
@@ -26,7 +26,9 @@ from ..sources.fixtures import product_codes
 from ..sources.load import product_categories
 from ..session import configure
 
-# Fixed parameters of the registered filter queries (FIXTURES.md section 4).
+# Parameters of the registered filter queries. The date range, types and status are
+# the combined filter of FIXTURES.md section 4; item types and brands are values that
+# occur in the data.
 DATE_RANGE = ("1997-01-01", "1999-12-31")
 TYPES = ("BUILDING", "MACHINERY")
 STATUSES = ("F",)

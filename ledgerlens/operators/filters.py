@@ -72,5 +72,8 @@ def apply_filters(df: DataFrame, flt: SalesFilter | None) -> DataFrame:
 
 
 def has_colour(df: DataFrame) -> DataFrame:
-    """colour present means not null and not the empty string."""
+    """colour present means not null and not the empty string (no column: no rows)."""
+    for c in ("colour", "short_description"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
     return df.filter(F.col("colour").isNotNull() & (F.col("colour") != ""))

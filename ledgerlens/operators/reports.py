@@ -16,9 +16,21 @@ from .filters import has_colour
 from .joins import attach_scalar_row
 
 
+def with_optional(sales: DataFrame, *cols: str) -> DataFrame:
+    """Absent optional text columns as typed nulls.
+
+    The source skips a report whose column is missing; here the column reads
+    as null, null keys are dropped, and the report comes back empty with its
+    usual schema.
+    """
+    missing = {c: F.lit(None).cast("string") for c in cols if c not in sales.columns}
+    return sales.withColumns(missing) if missing else sales
+
+
 def _revenue_by(sales: DataFrame, key: str, out_key: str | None = None,
                 measure: str = "total_price", out_measure: str = "total_price") -> DataFrame:
     out_key = out_key or key
+    sales = with_optional(sales, key)
     return (sales.where(F.col(key).isNotNull())
             .groupBy(F.col(key).alias(out_key))
             .agg(F.sum(measure).alias(out_measure)))
@@ -79,7 +91,8 @@ def customer_value(sales: DataFrame) -> DataFrame:
     planned as a (customer, invoice) de-duplication first, which spreads a
     customer with very many lines over all partitions.
     """
-    kept = sales.where(F.col("company").isNotNull() & F.col("invoice_date").isNotNull())
+    kept = with_optional(sales, "company").where(
+        F.col("company").isNotNull() & F.col("invoice_date").isNotNull())
     per = (kept.groupBy(F.col("company").alias("customer"))
            .agg(F.max("invoice_date").alias("_last"),
                 F.count_distinct("invoice_no").alias("order_count"),
@@ -139,14 +152,14 @@ def top_products(sales: DataFrame, k: int = 10) -> DataFrame:
 
 def item_type_counts(sales: DataFrame) -> DataFrame:
     """A10: lines per item type, descending."""
-    c = (sales.where(F.col("item_type").isNotNull())
+    c = (with_optional(sales, "item_type").where(F.col("item_type").isNotNull())
          .groupBy("item_type").agg(F.count(F.lit(1)).alias("count")))
     return c.orderBy(F.col("count").desc(), F.col("item_type"))
 
 
 def product_table(sales: DataFrame, k: int = 20) -> DataFrame:
     """A11 + K2: top ``k`` products with revenue, units and a currency label."""
-    t = (sales.where(F.col("short_description").isNotNull())
+    t = (with_optional(sales, "short_description").where(F.col("short_description").isNotNull())
          .groupBy(F.col("short_description").alias("product"))
          .agg(F.sum("total_price").alias("revenue"), F.sum("qty").alias("units_sold")))
     t = top_k(t, "revenue", "product", k)

@@ -187,3 +187,15 @@ def test_linear_forecast_recovers_a_seasonal_trend(spark):
     icept = (yd.sum() - slope * x.sum()) / 36
     want = [(slope * (36 + i) + icept) * idx[i + 1] for i in range(3)]
     assert [r["forecast"] for r in f] == pytest.approx(want, rel=1e-12)
+
+
+def test_reports_without_optional_columns_are_empty(spark):
+    df = make(spark, [dict(invoice_date=ts("2020-01-01"), company="a", short_description="p",
+                           colour="red", delivery_town="t", status="F", item_type="x")])
+    bare = df.drop("colour", "delivery_town", "status", "item_type", "short_description", "company")
+    assert R.colour_summary(bare).count() == 0 and R.colour_revenue(bare).count() == 0
+    assert R.colour_breakdown_all(bare).count() == 0 and R.multi_colour_products(bare).count() == 0
+    assert R.top_towns(bare).count() == 0 and R.revenue_by_status(bare).count() == 0
+    assert R.item_type_counts(bare).count() == 0 and R.product_table(bare).count() == 0
+    assert R.customer_value(bare).count() == 0 and R.top_products(bare).count() == 0
+    assert R.colour_summary(df).count() == 1  # and with the columns, rows as usual

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as LF
-from ..schema import DERIVED_COLUMNS, EXPECTED_COLUMNS, FILTER_VALUE_COLUMNS
+from ..schema import EXPECTED_COLUMNS, FILTER_VALUE_COLUMNS
 from .joins import attach_scalar_row
 
 
@@ -125,5 +125,3 @@ def filter_values(sales: DataFrame) -> DataFrame:
             .distinct()
             .orderBy("filter_column", "value"))
 
-
-__all__ = ["kpis", "growth", "data_profile", "filter_values", "DERIVED_COLUMNS"]

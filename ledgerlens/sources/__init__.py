@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from .fixtures import product_codes, sales_lines, sales_lines_raw
-from .load import clean_sales, product_categories, with_category
+from .load import clean_sales, join_category, prepare_lookup, product_categories, with_category
+
+# The source keeps its product list for an hour; the prepared lookup (materialised,
+# size-checked) is reused for that long within one application.
+LOOKUP_TTL_SECONDS = 3600
+_LOOKUPS: dict[tuple[str, str], tuple[float, DataFrame | None]] = {}
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     return product_categories(product_codes(spark, sf_dir))
 
 
+def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The prepared category lookup for a data folder (reused for the TTL)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    hit = _LOOKUPS.get(key)
+    if hit is not None and time.monotonic() - hit[0] < LOOKUP_TTL_SECONDS:
+        return hit[1]
+    lookup = prepare_lookup(categories(spark, sf_dir))
+    _LOOKUPS[key] = (time.monotonic(), lookup)
+    return lookup
+
+
+def forget_lookups() -> None:
+    _LOOKUPS.clear()
+
+
 def sales(spark: SparkSession, sf_dir: str, enrich: bool = True) -> DataFrame:
     """The analysis table for a data folder.
 
@@ -25,7 +47,7 @@ def sales(spark: SparkSession, sf_dir: str, enrich: bool = True) -> DataFrame:
     if snap is not None:
         return snap
     typed = clean_sales(sales_lines(spark, sf_dir))
-    return with_category(typed, categories(spark, sf_dir)) if enrich else typed
+    return join_category(typed, category_lookup(spark, sf_dir)) if enrich else typed
 
 
 def sales_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,16 +113,30 @@ def product_categories(codes: DataFrame | None) -> DataFrame | None:
             .agg(F.min("category").alias("category")))
 
 
-def with_category(sales: DataFrame, categories: DataFrame | None) -> DataFrame:
+def prepare_lookup(categories: DataFrame | None) -> DataFrame | None:
+    """The lookup side of J1: ``(short_description, product_category)``, materialised
+    once and hinted for broadcast only within its size bound."""
+    if categories is None:
+        return None
+    return bounded_broadcast(
+        categories.select(F.col("description").alias("short_description"),
+                          F.col("category").alias("product_category")))
+
+
+def join_category(sales: DataFrame, lookup: DataFrame | None) -> DataFrame:
     """Left lookup join on the exact description -> ``product_category``.
 
     Without a lookup the column is not added (the reports then skip the
     category filter, as the source does).
     """
-    if categories is None or "short_description" not in sales.columns:
+    if lookup is None or "short_description" not in sales.columns:
         return sales
-    lookup = bounded_broadcast(
-        categories.select(F.col("description").alias("short_description"),
-                          F.col("category").alias("product_category")))
     return sales.join(lookup, "short_description", "left").select(
         *sales.columns, "product_category")
+
+
+def with_category(sales: DataFrame, categories: DataFrame | None) -> DataFrame:
+    """J1 from a category table (``product_categories`` output)."""
+    if categories is None or "short_description" not in sales.columns:
+        return sales
+    return join_category(sales, prepare_lookup(categories))

@@ -174,8 +174,11 @@ def snapshot_roundtrip(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def refresh(spark: SparkSession, paths: list[str]) -> None:
-    """Forget cached file listings, data and freshness decisions for changed sources."""
+    """Forget cached file listings, data, freshness decisions and lookups for changed
+    sources."""
+    from . import forget_lookups
     forget_freshness()
+    forget_lookups()
     for p in paths:
         spark.catalog.refreshByPath(p)
 

@@ -55,3 +55,11 @@ def test_product_codes_from_file(spark):
     assert cats == {"chair": "Furniture", "lamp": "Landscape"}
     assert read_product_codes(spark, f"{d}/absent") is None
     assert product_categories(read_product_codes(spark, f"{d}/absent")) is None
+
+
+def test_category_lookup_is_reused_and_refresh_forgets_it(spark):
+    from ledgerlens import sources
+    a = sources.category_lookup(spark, SMALL)
+    assert sources.category_lookup(spark, SMALL) is a
+    storage.refresh(spark, [SMALL])
+    assert sources.category_lookup(spark, SMALL) is not a

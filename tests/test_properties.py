@@ -65,3 +65,12 @@ def test_model_choice(sales):
     assert lin == FL.revenue_forecast(s, 3).orderBy("horizon").collect()
     with pytest.raises(ValueError):
         FG.forecast_revenue(s, 3, method="other")
+
+
+def test_demand_model_choice(sales):
+    from ledgerlens.operators import forecast_gbt as FG
+    ds = S.demand_series(sales, 3).checkpoint(eager=True)
+    lin = FG.forecast_demand(ds, 3, method="linear").orderBy("series_id", "horizon").collect()
+    assert lin == FL.demand_forecast(ds, 3).orderBy("series_id", "horizon").collect()
+    with pytest.raises(ValueError):
+        FG.forecast_demand(ds, 3, method="other")

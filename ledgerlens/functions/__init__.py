@@ -20,10 +20,19 @@ def col_(c: str | Column) -> Column:
 
 # --- P1 / P2: coercion ------------------------------------------------------
 
+# Text date layouts accepted after ISO-8601, month first for ambiguous
+# dates (as the source's parser reads "01/02/2020" as 2 January).
+DATE_PATTERNS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
+
+
 def to_timestamp_or_null(c: str | Column) -> Column:
-    """Unparseable text -> null (``try_to_timestamp``; plain cast raises under ANSI)."""
-    c = col_(c)
-    return F.try_to_timestamp(c.cast("string"))
+    """Unparseable text -> null (``try_to_timestamp``; plain cast raises under ANSI).
+
+    ISO-8601 first, then the US-style layouts above; the first that parses wins.
+    """
+    text = F.trim(col_(c).cast("string"))
+    return F.coalesce(F.try_to_timestamp(text),
+                      *[F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS])
 
 
 def to_money(c: str | Column) -> Column:

@@ -199,3 +199,11 @@ def test_reports_without_optional_columns_are_empty(spark):
     assert R.item_type_counts(bare).count() == 0 and R.product_table(bare).count() == 0
     assert R.customer_value(bare).count() == 0 and R.top_products(bare).count() == 0
     assert R.colour_summary(df).count() == 1  # and with the columns, rows as usual
+
+
+def test_us_style_dates_parse_month_first(spark):
+    raw = spark.createDataFrame([("1/2/2020",), ("01/02/2020 13:45:00",), ("12/31/2019 7:05",),
+                                 ("2020-03-04",), ("31/12/2019",)], "invoice_date string")
+    got = [r["invoice_date"] for r in clean_sales(raw).collect()]
+    assert got == [ts("2020-01-02"), ts("2020-01-02 13:45:00"), ts("2019-12-31 07:05:00"),
+                   ts("2020-03-04"), None]

@@ -3,12 +3,32 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_rules
+from . import bpe, chat, classifier, html_text, language, mixing, nearest, quality_rules
 from .common import read_table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def held_out() -> Column:
+    """Documents that models are never fitted on: a fifth, by crc32 of doc_id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter(~held_out()))
+    return language.predict(docs, model).withColumn("held_out", held_out()).select(
+        "doc_id", "held_out", "lang_pred", "score", "n_spans")
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -32,9 +52,37 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, TOKENIZER).select("doc_id", "ids"), TOKENIZER)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    trees = classifier.fit(docs, labels.filter(~held_out()))
+    return classifier.score(docs.withColumn("held_out", held_out()), trees, ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(read_table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE: dict[str, str] = {}

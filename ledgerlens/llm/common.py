@@ -3,7 +3,11 @@ tables in the shared folder, size-checked broadcasts and the definition of a wor
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +52,31 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only for a (narrow, already stored) side of at most ``max_rows``
     rows; beyond that the planner's shuffle join with skew splitting does the work."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application (what
+    ``--py-files`` does). Spark's own file distribution carries it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    sources = sorted(os.path.join(d, f) for d, _, files in os.walk(package) for f in files if f.endswith(".py"))
+    content = {os.path.relpath(f, root): open(f, "rb").read() for f in sources}
+    digest = hashlib.sha256(repr(sorted(content.items())).encode()).hexdigest()[:12]
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-"), f"{os.path.basename(package)}-{digest}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in content.items():
+            z.writestr(name, data)
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -204,26 +204,26 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "i
     def join_batches(batches):
         codec = _codec(spec, leaf_chars)
         for batch in batches:
-            parts = batch.column(batch.schema.get_field_index("_parts"))
+            parts = batch.column(batch.schema.get_field_index("__ll_parts"))
             joined = [np.array(codec.join_all([list(x["ids"]) for x in p.as_py()]), np.int32).tobytes() for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(joined)], names=["_uid", ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(joined)], names=["__ll_uid", ids])
 
     id_list = T.ArrayType(T.IntegerType())
     schema = _replaced(df.schema, ids, id_list)
     short = map_batches(df.filter(F.length(text) <= piece_chars), lambda it: encode_batches(it, text), schema)
 
     # long texts: pieces over many tasks, joined per text
-    long = stored(df.filter(F.length(text) > piece_chars).withColumn("_uid", F.monotonically_increasing_id()))
+    long = stored(df.filter(F.length(text) > piece_chars).withColumn("__ll_uid", F.monotonically_increasing_id()))
     n_pieces = F.ceil(F.length(text) / piece_chars)
-    pieces = (long.select("_uid", text, F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)).alias("_k"))
-              .select("_uid", "_k", F.substr(F.col(text), (F.col("_k") * piece_chars + 1).cast("int"),
-                                             F.lit(piece_chars)).alias("_piece"))
-              .repartition("_uid", "_k"))
-    parts = map_batches(pieces, lambda it: encode_batches(it, "_piece"), _replaced(pieces.schema, ids, id_list))
-    gathered = parts.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("_k", F.col(ids).alias("ids")))).alias("_parts"))
+    pieces = (long.select("__ll_uid", text, F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)).alias("__ll_k"))
+              .select("__ll_uid", "__ll_k", F.substr(F.col(text), (F.col("__ll_k") * piece_chars + 1).cast("int"),
+                                             F.lit(piece_chars)).alias("__ll_piece"))
+              .repartition("__ll_uid", "__ll_k"))
+    parts = map_batches(pieces, lambda it: encode_batches(it, "__ll_piece"), _replaced(pieces.schema, ids, id_list))
+    gathered = parts.groupBy("__ll_uid").agg(F.sort_array(F.collect_list(F.struct("__ll_k", F.col(ids).alias("ids")))).alias("__ll_parts"))
     joined = map_batches(gathered, join_batches,
-                         T.StructType([T.StructField("_uid", T.LongType()), T.StructField(ids, id_list)]))
-    rest = long.drop(ids).join(joined, "_uid").drop("_uid")
+                         T.StructType([T.StructField("__ll_uid", T.LongType()), T.StructField(ids, id_list)]))
+    rest = long.drop(ids).join(joined, "__ll_uid").drop("__ll_uid")
     return short.unionByName(rest.select(short.columns))
 
 

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **params)
 def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
     """Columns ``keep`` (which may include text) and ``quality_score`` (0 to 1)."""
     keep = [c for c in keep if c != "quality_score"]
-    docs = docs.select(*keep, F.col("text").alias("_scored_text"))
+    docs = docs.select(*keep, F.col("text").alias("__ll_text"))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("quality_score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(trees)
 

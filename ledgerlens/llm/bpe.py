@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,7 +158,7 @@ def _codec(spec, leaf_chars: int) -> Codec:
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``BATCH_CHARS`` bytes of text (or one row)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > BATCH_CHARS:
@@ -239,7 +240,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "de
             for a in range(0, batch.num_rows, 500):
                 part = lists.slice(a, 500)
                 flat = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                sizes = pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes)
                 texts = [codec.decode(flat[e - n:e]) for n, e in zip(sizes, ends)]
                 yield _with(batch.slice(a, 500), text, pa.array(texts, pa.string()))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def pack(vectors: DataFrame, block_rows: int) -> DataFrame:
             flat = lists.flatten().cast(pa.float64())
             holes = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
             values = flat.to_numpy(zero_copy_only=False)
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             for i, vec_id in enumerate(batch.column(0).to_pylist()):
                 a, b = ends[i] - sizes[i], ends[i]

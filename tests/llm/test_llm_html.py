@@ -34,7 +34,8 @@ def test_parts_that_are_not_main_text():
 def test_neighbours_decide_where_no_article_is():
     page = (f"<body><div><a href=1>One</a> <a href=2>Two</a></div><p>Near the menu</p><p>x</p><h2>Head</h2><p>{LONG}</p><p>After</p>"
             f"<p>{LONG}</p><div>{'zzz ' * 60}</div></body>")
-    assert html_text.main_text(page) == f"Head\n{LONG}\nAfter\n{LONG}"
+    # a tie between neighbours goes to content
+    assert html_text.main_text(page) == f"x\nHead\n{LONG}\nAfter\n{LONG}"
     blocks = html_text.page_blocks(page)
     assert [b["text"] for b in blocks][:3] == ["One Two", "Near the menu", "x"]
     assert html_text.label_blocks(blocks)[:2] == [False, False] and html_text.label_blocks(blocks)[-1] is False

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import MONEY
 
@@ -35,17 +36,47 @@ def to_timestamp_or_null(c: str | Column) -> Column:
                       *[F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS])
 
 
-def to_money(c: str | Column) -> Column:
-    """Text or number -> decimal(18,4); unparseable or null -> 0."""
-    parsed = F.trim(col_(c).cast("string")).try_cast(MONEY)
-    return F.coalesce(parsed, F.lit(0).cast(MONEY))
+def to_money(c: str | Column, kind: T.DataType | None = None) -> Column:
+    """Text or number -> decimal(30,6); unparseable, non-finite or null -> 0.
 
-
-def to_measure(c: str | Column) -> Column:
+    A number too large for the type raises instead of reading as 0. With the column's type
+    given, numbers are converted directly, not by way of text.
+    """
+    c, zero = col_(c), F.lit(0).cast(MONEY)
+    if isinstance(kind, (T.DecimalType, T.IntegralType)):
+        return F.coalesce(c.cast(MONEY), zero)  # ANSI: overflow raises
+    if isinstance(kind, T.FractionalType):
+        number = c.cast("double")
+        finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
+        return F.when(finite, c.cast(MONEY)).otherwise(zero)
+    text = F.trim(c.cast("string"))
+    exact, number = text.try_cast(MONEY), text.try_cast("double")
+    not_a_number = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+    too_large = F.raise_error(F.concat(F.lit("amount does not fit decimal(30,6): "), text)).cast(MONEY)
+    return F.when(exact.isNotNull(), exact).when(not_a_number, zero).otherwise(too_large)
+
+
+def to_measure(c: str | Column, kind: T.DataType | None = None) -> Column:
     """Text or number -> double; unparseable, NaN or null -> 0."""
     c = col_(c)
-    parsed = F.trim(c.cast("string")).try_cast("double")
-    return F.coalesce(F.nanvl(parsed, F.lit(0.0)), F.lit(0.0))
+    number = c.cast("double") if isinstance(kind, T.NumericType) else F.trim(c.cast("string")).try_cast("double")
+    return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
+
+
+def exact_total(c: str | Column) -> Column:
+    """Sum of a measure, exact to six decimals whatever the partitioning, as double. A
+    non-finite value raises: it has no exact sum."""
+    return F.sum(col_(c).cast(MONEY)).cast("double")
+
+
+# The characters that count as white space at the ends of a flag.
+STRIPPED = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+            "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip_blanks(c: str | Column) -> Column:
+    """Text without Unicode white space at either end."""
+    return F.btrim(col_(c), F.lit(STRIPPED))
 
 
 # --- P3 / P5 / P6 / P12: calendar parts and labels --------------------------

@@ -52,9 +52,15 @@ class SalesFilter:
             ("furniture_group", self.furniture_groups),
         ]
         for col, values in value_filters:
-            # category / furniture group only when the column exists (as the source does)
-            if values and col in columns:
-                preds.append(keep_selected_or_null(col, values))
+            if not values:
+                continue
+            if col not in columns:
+                # category and furniture group are optional columns (as in the source); a
+                # filter on any other absent column must not silently let every row through
+                if col in ("product_category", "furniture_group"):
+                    continue
+                raise ValueError(f"cannot filter on {col!r}: the sales table has no such column")
+            preds.append(keep_selected_or_null(col, values))
         return preds
 
     def predicate(self, columns: list[str]) -> Column | None:
@@ -67,10 +73,6 @@ class SalesFilter:
         return df if p is None else df.filter(p)
 
 
-def apply_filters(df: DataFrame, flt: SalesFilter | None) -> DataFrame:
-    return df if flt is None else flt.apply(df)
-
-
 def has_colour(df: DataFrame) -> DataFrame:
     """colour present means not null and not the empty string (no column: no rows)."""
     for c in ("colour", "short_description"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as LF
 from ..schema import EXPECTED_COLUMNS, FILTER_VALUE_COLUMNS
-from .joins import attach_scalar_row
+from .reports import with_report_columns
 
 
 def _distinct_counting_null_once(col: str):
@@ -24,12 +24,18 @@ def kpis(sales: DataFrame) -> DataFrame:
     Distinct invoices and customers are exact (no sketch): the plan
     de-duplicates map-side per key before the shuffle.
     """
+    cols = set(sales.columns)
+    sales = with_report_columns(sales)
+
+    def members(c: str):  # an absent column has no members, not one null
+        return _distinct_counting_null_once(c) if c in cols else F.lit(0).cast("long")
+
     agg = sales.agg(
         F.coalesce(F.sum("total_price"), F.lit(0)).alias("_rev"),
-        F.count(F.lit(1)).alias("_n"),
-        _distinct_counting_null_once("invoice_no").alias("total_orders"),
-        _distinct_counting_null_once("company").alias("total_customers"),
-        F.coalesce(F.sum("qty"), F.lit(0.0)).alias("total_units"),
+        (F.count(F.lit(1)) if cols & {"total_price", "qty"} else F.lit(0).cast("long")).alias("_n"),
+        members("invoice_no").alias("total_orders"),
+        members("company").alias("total_customers"),
+        F.coalesce(LF.exact_total("qty"), F.lit(0.0)).alias("total_units"),
     )
     rev = F.col("_rev").cast("double")
     return agg.select(
@@ -41,7 +47,14 @@ def kpis(sales: DataFrame) -> DataFrame:
         LF.guarded_ratio(rev, "total_customers").alias("revenue_per_customer"),
         F.col("total_units"),
         LF.guarded_ratio("total_units", "_n").alias("avg_basket_size"),
-    )
+    ).withColumns({
+        "total_revenue_label": LF.currency_label("total_revenue"),
+        "total_orders_label": F.format_number("total_orders", 0),
+        "aov_label": LF.currency_label("aov"),
+        "total_customers_label": F.format_number("total_customers", 0),
+        "total_units_label": F.format_number("total_units", 0),
+        "revenue_per_customer_label": LF.currency_label("revenue_per_customer"),
+    })
 
 
 # (name, window length in days): current = [anchor - len, ...], previous = [anchor - 2 len, anchor - len)
@@ -51,16 +64,20 @@ GROWTH_WINDOWS = [("30_day", 30), ("90_day", 90), ("yoy", 365)]
 def growth(sales: DataFrame) -> DataFrame:
     """A2: growth of the last 30/90/365 days over the window before.
 
-    Anchored at the latest invoice timestamp of the (filtered) data. Lines
-    are pre-aggregated per timestamp, so only one row per distinct timestamp
-    and partition crosses the shuffle; the anchor is a one-row aggregate of
-    that same pre-aggregate (the exchange is reused). No rows when there is
-    no dated line.
+    Anchored at the latest invoice timestamp of the (filtered) data, a scalar
+    subquery over one column. The second read keeps the last two years only:
+    with a ``year`` column the subquery also prunes the snapshot's year
+    partitions. No rows when there is no dated line.
     """
-    per_ts = (sales.where(F.col("invoice_date").isNotNull())
-              .groupBy("invoice_date").agg(F.sum("total_price").alias("amount")))
-    anchor = per_ts.agg(F.max("invoice_date").alias("anchor"))
-    x = attach_scalar_row(per_ts, anchor)
+    by_year = "year" in sales.columns
+    sales = with_report_columns(sales)
+    latest = sales.agg(F.max("invoice_date").alias("anchor"))
+    since = latest.select(F.col("anchor") - F.expr(f"INTERVAL '{2 * GROWTH_WINDOWS[-1][1]}' DAY")).scalar()
+    recent = sales.where(F.col("invoice_date") >= since)
+    if by_year:
+        recent = recent.where(F.col("year") >= F.year(since))
+    x = recent.select("invoice_date", F.col("total_price").alias("amount"),
+                      latest.select("anchor").scalar().alias("anchor"))
     t = F.unix_micros(F.col("invoice_date"))
     a = F.unix_micros(F.col("anchor"))
     day = LF.MICROS_PER_DAY
@@ -77,7 +94,7 @@ def growth(sales: DataFrame) -> DataFrame:
         F.col("_30_day_cur").cast("double").alias("current_30_day"),
         F.col("_30_day_prev").cast("double").alias("previous_30_day"),
         F.col("anchor").alias("anchor_date"),
-    )
+    ).withColumns({f"growth_{name}_label": LF.signed_pct_label(f"growth_{name}") for name, _ in GROWTH_WINDOWS})
 
 
 def data_profile(sales: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as LF
+from ..schema import MONEY
 from .filters import has_colour
 from .joins import attach_scalar_row
 
@@ -27,6 +28,14 @@ def with_optional(sales: DataFrame, *cols: str) -> DataFrame:
     return sales.withColumns(missing) if missing else sales
 
 
+def with_report_columns(sales: DataFrame) -> DataFrame:
+    """Absent date, amount or quantity columns as typed nulls: their reports come back empty
+    (or zero), as the source skips them."""
+    kinds = {"invoice_date": "timestamp", "total_price": MONEY, "qty": "double"}
+    missing = {c: F.lit(None).cast(k) for c, k in kinds.items() if c not in sales.columns}
+    return sales.withColumns(missing) if missing else sales
+
+
 def _revenue_by(sales: DataFrame, key: str, out_key: str | None = None,
                 measure: str = "total_price", out_measure: str = "total_price") -> DataFrame:
     out_key = out_key or key
@@ -48,11 +57,17 @@ def top_k(df: DataFrame, order_col: str, key: str, k: int) -> DataFrame:
 # --- revenue tab ------------------------------------------------------------
 
 def monthly_revenue(sales: DataFrame) -> DataFrame:
-    """A3: revenue per ``YYYY-MM``, ascending; undated lines dropped."""
-    m = (sales.where(F.col("invoice_date").isNotNull())
-         .groupBy(LF.month_label("invoice_date").alias("month"))
+    """A3: revenue per ``YYYY-MM``, ascending; undated lines dropped.
+
+    Lines are grouped by the truncated date; only the result rows are formatted."""
+    return _revenue_by_period(sales, "month", LF.month_label)
+
+
+def _revenue_by_period(sales: DataFrame, period: str, label) -> DataFrame:
+    m = (with_report_columns(sales).where(F.col("invoice_date").isNotNull())
+         .groupBy(F.date_trunc(period, F.col("invoice_date")).alias("_start"))
          .agg(F.sum("total_price").alias("total_price")))
-    return _money(m, "total_price").orderBy("month")
+    return _money(m.select(label("_start").alias(period), "total_price"), "total_price").orderBy(period)
 
 
 def revenue_by_type(sales: DataFrame) -> DataFrame:
@@ -63,10 +78,7 @@ def revenue_by_type(sales: DataFrame) -> DataFrame:
 
 def quarterly_revenue(sales: DataFrame) -> DataFrame:
     """A5: revenue per ``YYYYQn``, ascending."""
-    q = (sales.where(F.col("invoice_date").isNotNull())
-         .groupBy(LF.quarter_label("invoice_date").alias("quarter"))
-         .agg(F.sum("total_price").alias("total_price")))
-    return _money(q, "total_price").orderBy("quarter")
+    return _revenue_by_period(sales, "quarter", LF.quarter_label)
 
 
 def revenue_by_status(sales: DataFrame) -> DataFrame:
@@ -161,7 +173,7 @@ def product_table(sales: DataFrame, k: int = 20) -> DataFrame:
     """A11 + K2: top ``k`` products with revenue, units and a currency label."""
     t = (with_optional(sales, "short_description").where(F.col("short_description").isNotNull())
          .groupBy(F.col("short_description").alias("product"))
-         .agg(F.sum("total_price").alias("revenue"), F.sum("qty").alias("units_sold")))
+         .agg(F.sum("total_price").alias("revenue"), LF.exact_total("qty").alias("units_sold")))
     t = top_k(t, "revenue", "product", k)
     return t.select("product", LF.money_out("revenue").alias("revenue"), "units_sold",
                     LF.currency_label("revenue").alias("revenue_label"))
@@ -177,7 +189,7 @@ def colour_revenue(sales: DataFrame) -> DataFrame:
 
 def colour_units(sales: DataFrame) -> DataFrame:
     """Units per colour, descending."""
-    u = (has_colour(sales).groupBy("colour").agg(F.sum("qty").alias("qty")))
+    u = (has_colour(sales).groupBy("colour").agg(LF.exact_total("qty").alias("qty")))
     return u.orderBy(F.col("qty").desc(), F.col("colour"))
 
 
@@ -192,7 +204,7 @@ def multi_colour_products(sales: DataFrame) -> DataFrame:
 def _colour_stats(df: DataFrame, keys: list) -> DataFrame:
     g = df.groupBy(*keys).agg(
         F.sum("total_price").alias("_revenue"),
-        F.sum("qty").alias("units_sold"),
+        LF.exact_total("qty").alias("units_sold"),
         F.count_distinct("invoice_no").alias("orders"))
     return g.select(
         *g.columns[:len(keys)],
@@ -221,14 +233,11 @@ def colour_breakdown_all(sales: DataFrame) -> DataFrame:
 
 def colour_breakdown(sales: DataFrame, product: str | None = None) -> DataFrame:
     """Colour table for one product (default: the first multi-colour product)."""
-    if product is None:
-        # (product, colour) rows: small, and read twice (first product, its rows)
-        every = colour_breakdown_all(sales).checkpoint(eager=True)
-        first = every.agg(F.min("product").alias("_p"))
-        out = attach_scalar_row(every, first).where(F.col("product") == F.col("_p")).drop("product", "_p")
+    if product is None:  # a scalar subquery: only that product's lines are aggregated
+        chosen = multi_colour_products(sales).agg(F.min("product")).scalar()
     else:
-        out = _colour_stats(has_colour(sales).where(F.col("short_description") == F.lit(product)),
-                            ["colour"])
+        chosen = F.lit(product)
+    out = _colour_stats(has_colour(sales).where(F.col("short_description") == chosen), ["colour"])
     return out.orderBy(F.col("revenue").desc(), F.col("colour"))
 
 
@@ -236,7 +245,7 @@ def colour_summary(sales: DataFrame) -> DataFrame:
     """Per colour - revenue, units, distinct invoices, distinct products."""
     g = has_colour(sales).groupBy("colour").agg(
         F.sum("total_price").alias("_revenue"),
-        F.sum("qty").alias("units_sold"),
+        LF.exact_total("qty").alias("units_sold"),
         F.count_distinct("invoice_no").alias("orders"),
         F.count_distinct("short_description").alias("products"))
     return g.select(

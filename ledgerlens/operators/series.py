@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as LF
+from ..schema import MONEY
 from .joins import attach_scalar_row
 
-SERIES_DEC = "decimal(38,4)"
+SERIES_DEC = "decimal(38,6)"
 
 # Minimum history the source requires before it forecasts.
 REVENUE_MIN_LINES = 12
@@ -70,7 +71,7 @@ def product_month_qty(sales: DataFrame) -> DataFrame:
     d = sales.where(F.col("short_description").isNotNull() & F.col("invoice_date").isNotNull())
     return (d.groupBy(F.col("short_description").alias("series_id"),
                       LF.month_start("invoice_date").alias("month_start"))
-            .agg(F.sum(F.col("qty").cast("decimal(18,4)")).cast(SERIES_DEC).alias("y_dec"),
+            .agg(F.sum(F.col("qty").cast(MONEY)).cast(SERIES_DEC).alias("y_dec"),
                  F.count(F.lit(1)).alias("_lines")))
 
 

@@ -8,16 +8,19 @@ to DOUBLE in the output, exactly like the Spark side.
 
 from __future__ import annotations
 
+from ..functions import STRIPPED
 from ..sources.fixtures import PRODUCT_CODES_SQL, SALES_RAW_SQL, SALES_SQL
 from .catalog import (CATEGORIES, DATE_RANGE, FURNITURE_GROUPS, ITEM_TYPES, STATUSES,
                       TYPES)
 
+# Unicode white space, stripped from both ends of a flag
+_STRIPPED = "".join(f" || chr({ord(c)})" for c in STRIPPED)[4:]
 _CATS = f"""
 codes AS ({PRODUCT_CODES_SQL}),
 cats AS (
   SELECT description, min(category) AS category
   FROM (SELECT description,
-               CASE upper(trim(landscape_or_furniture)) WHEN 'F' THEN 'Furniture'
+               CASE upper(trim(landscape_or_furniture, {_STRIPPED})) WHEN 'F' THEN 'Furniture'
                                                           WHEN 'L' THEN 'Landscape' END AS category
         FROM codes)
   WHERE description IS NOT NULL AND category IS NOT NULL
@@ -81,9 +84,9 @@ typed AS (
     TRY_CAST(completed_date AS TIMESTAMP) AS completed_date,
     company, type, status, item_type, short_description,
     coalesce(TRY_CAST(trim(qty) AS DOUBLE), 0) AS qty,
-    coalesce(TRY_CAST(trim(price) AS DECIMAL(18,4)), 0) AS price,
-    coalesce(TRY_CAST(trim(discount) AS DECIMAL(18,4)), 0) AS discount,
-    coalesce(TRY_CAST(trim(total_price) AS DECIMAL(18,4)), 0) AS total_price,
+    coalesce(TRY_CAST(trim(price) AS DECIMAL(30,6)), 0) AS price,
+    coalesce(TRY_CAST(trim(discount) AS DECIMAL(30,6)), 0) AS discount,
+    coalesce(TRY_CAST(trim(total_price) AS DECIMAL(30,6)), 0) AS total_price,
     coalesce(TRY_CAST(trim(weight_kg) AS DOUBLE), 0) AS weight_kg,
     delivery_town, payment_method, production_status, furniture_group, colour
   FROM raw)
@@ -122,6 +125,10 @@ def _growth_pct(name: str) -> str:
     return f"CASE WHEN {p} > 0 THEN ({c} - {p}) / {p} * 100.0 ELSE 0.0 END AS growth_{name}"
 
 
+def _signed(x: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN '+' ELSE '' END || replace(format('{{:,.1f}}', {x}), ',', '') || '%'"
+
+
 _PROFILE_COLS = [
     "invoice_no", "invoice_date", "order_date", "dispatch_date", "completed_date",
     "company", "type", "status", "item_type", "short_description", "qty", "price",
@@ -132,11 +139,11 @@ _PROFILE_COLS = [
 _FILTER_VALUE_COLS = ["type", "status", "product_category", "item_type", "furniture_group", "colour"]
 
 _COLOUR_STATS = """CAST(sum(total_price) AS DOUBLE) AS revenue,
-  sum(qty) AS units_sold,
+  CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE) AS units_sold,
   count(DISTINCT invoice_no) AS orders,
-  round_even(CAST(sum(total_price) AS DOUBLE) / nullif(sum(qty), 0), 2) AS avg_price_per_unit,
+  round_even(CAST(sum(total_price) AS DOUBLE) / nullif(CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE), 0), 2) AS avg_price_per_unit,
   '£' || format('{:,.0f}', CAST(sum(total_price) AS DOUBLE)) AS revenue_label,
-  '£' || format('{:,.2f}', round_even(CAST(sum(total_price) AS DOUBLE) / nullif(sum(qty), 0), 2))
+  '£' || format('{:,.2f}', round_even(CAST(sum(total_price) AS DOUBLE) / nullif(CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE), 0), 2))
     AS avg_price_label"""
 
 _MULTI = """multi AS (
@@ -163,7 +170,7 @@ FROM s""",
   CAST(sum(total_price) AS DOUBLE) AS revenue FROM sales GROUP BY product_category"""),
     **{name: _q(f"SELECT {ROW_OUT} FROM sales WHERE {cond}")
        for name, cond in FILTER_SQL.items()},
-    "kpis": _q("""SELECT
+    "kpis": _q(""", k AS (SELECT
   CAST(coalesce(sum(total_price), 0) AS DOUBLE) AS total_revenue,
   CASE WHEN count(*) > 0 THEN CAST(coalesce(sum(total_price), 0) AS DOUBLE) / count(*) ELSE 0.0 END
     AS avg_transaction,
@@ -179,20 +186,28 @@ FROM s""",
        THEN CAST(coalesce(sum(total_price), 0) AS DOUBLE)
             / (count(DISTINCT company) + coalesce(max(CASE WHEN company IS NULL THEN 1 ELSE 0 END), 0))
        ELSE 0.0 END AS revenue_per_customer,
-  coalesce(sum(qty), 0.0) AS total_units,
-  CASE WHEN count(*) > 0 THEN coalesce(sum(qty), 0.0) / count(*) ELSE 0.0 END AS avg_basket_size
-FROM sales"""),
+  coalesce(CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE), 0.0) AS total_units,
+  CASE WHEN count(*) > 0 THEN coalesce(CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE), 0.0) / count(*) ELSE 0.0 END AS avg_basket_size
+FROM sales)
+SELECT *, '£' || format('{:,.0f}', total_revenue) AS total_revenue_label,
+  format('{:,}', total_orders) AS total_orders_label, '£' || format('{:,.0f}', aov) AS aov_label,
+  format('{:,}', total_customers) AS total_customers_label, format('{:,.0f}', total_units) AS total_units_label,
+  '£' || format('{:,.0f}', revenue_per_customer) AS revenue_per_customer_label
+FROM k"""),
     "growth": _q(f""", per_ts AS (
   SELECT invoice_date, sum(total_price) AS amount FROM sales
   WHERE invoice_date IS NOT NULL GROUP BY invoice_date),
 x AS (SELECT *, max(invoice_date) OVER () AS anchor FROM per_ts),
 g AS (SELECT anchor,
   {_growth_cols()}
-  FROM x GROUP BY anchor)
-SELECT {_growth_pct('30_day')}, {_growth_pct('90_day')}, {_growth_pct('yoy')},
+  FROM x GROUP BY anchor),
+p AS (SELECT {_growth_pct('30_day')}, {_growth_pct('90_day')}, {_growth_pct('yoy')},
   CAST(_30_day_cur AS DOUBLE) AS current_30_day, CAST(_30_day_prev AS DOUBLE) AS previous_30_day,
   anchor AS anchor_date
-FROM g"""),
+FROM g)
+SELECT *, {_signed('growth_30_day')} AS growth_30_day_label, {_signed('growth_90_day')} AS growth_90_day_label,
+  {_signed('growth_yoy')} AS growth_yoy_label
+FROM p"""),
     "data_profile": _q(""", prof AS (SELECT count(*) AS row_count,
   """ + " + ".join(f"(count(*) - count({c}))" for c in _PROFILE_COLS) + """ AS nulls,
   min(invoice_date) AS mn, max(invoice_date) AS mx FROM sales)
@@ -233,12 +248,12 @@ ORDER BY sum(total_price) DESC, product ASC LIMIT 10"""),
 WHERE item_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1"""),
     "product_table": _q("""SELECT product, CAST(revenue AS DOUBLE) AS revenue, units_sold,
   '£' || format('{:,.0f}', CAST(revenue AS DOUBLE)) AS revenue_label
-FROM (SELECT short_description AS product, sum(total_price) AS revenue, sum(qty) AS units_sold
+FROM (SELECT short_description AS product, sum(total_price) AS revenue, CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE) AS units_sold
       FROM sales WHERE short_description IS NOT NULL GROUP BY 1
       ORDER BY revenue DESC, product ASC LIMIT 20)"""),
     "colour_revenue": _q("""SELECT colour, CAST(sum(total_price) AS DOUBLE) AS total_price
 FROM sales WHERE colour IS NOT NULL AND colour <> '' GROUP BY 1 ORDER BY 2 DESC, 1"""),
-    "colour_units": _q("""SELECT colour, sum(qty) AS qty
+    "colour_units": _q("""SELECT colour, CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE) AS qty
 FROM sales WHERE colour IS NOT NULL AND colour <> '' GROUP BY 1 ORDER BY 2 DESC, 1"""),
     "multi_colour_products": _q(f", {_MULTI}SELECT product, colours FROM multi ORDER BY product"),
     "colour_breakdown": _q(f""", {_MULTI}
@@ -251,7 +266,7 @@ SELECT short_description AS product, colour, {_COLOUR_STATS}
 FROM sales WHERE colour IS NOT NULL AND colour <> ''
   AND short_description IN (SELECT product FROM multi)
 GROUP BY short_description, colour"""),
-    "colour_summary": _q("""SELECT colour, CAST(sum(total_price) AS DOUBLE) AS revenue, sum(qty) AS units_sold,
+    "colour_summary": _q("""SELECT colour, CAST(sum(total_price) AS DOUBLE) AS revenue, CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DOUBLE) AS units_sold,
   count(DISTINCT invoice_no) AS orders, count(DISTINCT short_description) AS products,
   '£' || format('{:,.0f}', CAST(sum(total_price) AS DOUBLE)) AS revenue_label
 FROM sales WHERE colour IS NOT NULL AND colour <> '' GROUP BY colour ORDER BY revenue DESC, colour"""),
@@ -273,7 +288,7 @@ def _os(value: str, order: str = "x") -> str:
 
 _REV_SERIES = """, rs0 AS (
   SELECT 'revenue' AS series_id, date_trunc('month', invoice_date) AS month_start,
-         CAST(sum(total_price) AS DECIMAL(38,4)) AS y_dec, count(*) AS lines
+         CAST(sum(total_price) AS DECIMAL(38,6)) AS y_dec, count(*) AS lines
   FROM sales WHERE invoice_date IS NOT NULL GROUP BY 2),
 rs AS (
   SELECT series_id, month_start, y_dec, CAST(y_dec AS DOUBLE) AS y
@@ -284,7 +299,7 @@ rs AS (
 
 _DEMAND_SERIES = """, pm AS (
   SELECT short_description AS series_id, date_trunc('month', invoice_date) AS month_start,
-         CAST(sum(CAST(qty AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS y_dec, count(*) AS lines
+         CAST(sum(CAST(qty AS DECIMAL(30,6))) AS DECIMAL(38,6)) AS y_dec, count(*) AS lines
   FROM sales WHERE short_description IS NOT NULL AND invoice_date IS NOT NULL GROUP BY 1, 2),
 totals AS (SELECT series_id, sum(y_dec) AS total, sum(lines) AS lines FROM pm GROUP BY 1),
 top AS (SELECT series_id, total FROM totals WHERE (SELECT sum(lines) FROM totals) >= 30

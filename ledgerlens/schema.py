@@ -41,16 +41,11 @@ OPTIONAL_COLUMNS = {"Colour": "colour"}
 DATE_COLUMNS = ["invoice_date", "order_date", "dispatch_date", "completed_date"]
 MONEY_COLUMNS = ["price", "discount", "total_price"]
 MEASURE_COLUMNS = ["qty", "weight_kg"]
-NUMERIC_COLUMNS = MONEY_COLUMNS + MEASURE_COLUMNS
-TEXT_COLUMNS = [
-    "company", "type", "status", "item_type", "short_description",
-    "delivery_town", "payment_method", "production_status", "furniture_group",
-    "colour",
-]
 DERIVED_COLUMNS = ["year", "month", "quarter", "year_month"]
 
-# Exact money: every monetary value is held as decimal(18,4) and summed exactly.
-MONEY = T.DecimalType(18, 4)
+# Exact money: every monetary value is held as decimal(30,6) and summed exactly; quantities
+# are summed in the same type. An amount beyond it raises.
+MONEY = T.DecimalType(30, 6)
 
 SALES_SCHEMA = T.StructType(
     [T.StructField("invoice_no", T.LongType(), True)]

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from ..schema import MONEY
 
+# the test tables' amounts, rounded to four decimals alike in Spark and DuckDB
+CENTS = "decimal(18,4)"
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -95,9 +98,9 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _null_when(F.col("p_partkey") % 53 == 0,
                    _product_description(F.col("p_brand"), F.col("p_name"))).alias("short_description"),
         F.col("l_quantity").cast("double").alias("qty"),
-        F.col("p_retailprice").cast(MONEY).alias("price"),
-        (F.col("l_extendedprice") * F.col("l_discount")).cast(MONEY).alias("discount"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).alias("total_price"),
+        F.col("p_retailprice").cast(CENTS).cast(MONEY).alias("price"),
+        (F.col("l_extendedprice") * F.col("l_discount")).cast(CENTS).cast(MONEY).alias("discount"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(CENTS).cast(MONEY).alias("total_price"),
         (F.col("l_quantity") * F.col("p_size")).cast("double").alias("weight_kg"),
         _null_when(F.col("c_custkey") % 37 == 0, F.col("n_name")).alias("delivery_town"),
         _null_when(F.col("o_orderkey") % 11 == 0, F.col("o_orderpriority")).alias("payment_method"),
@@ -126,10 +129,13 @@ def sales_lines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         _null_when(F.col("p_partkey") % 53 == 0,
                    _product_description(F.col("p_brand"), F.col("p_name"))).alias("short_description"),
         F.when(bad_qty, F.lit("n/a")).otherwise(s("l_quantity")).alias("qty"),
-        F.col("p_retailprice").cast(MONEY).cast("string").alias("price"),
-        (F.col("l_extendedprice") * F.col("l_discount")).cast(MONEY).cast("string").alias("discount"),
+        # amounts beyond 1e14 and with six decimals, as text
+        F.when(F.col("l_partkey") % 97 == 0, F.lit("1125899906842624.000000"))
+         .when(F.col("l_partkey") % 89 == 0, F.lit(" 0.015625 "))
+         .otherwise(F.col("p_retailprice").cast(CENTS).cast("string")).alias("price"),
+        (F.col("l_extendedprice") * F.col("l_discount")).cast(CENTS).cast("string").alias("discount"),
         _null_when(F.col("l_partkey") % 61 == 0,
-                   (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).cast("string")
+                   (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(CENTS).cast("string")
                    ).alias("total_price"),
         (F.col("l_quantity") * F.col("p_size")).cast("double").cast("string").alias("weight_kg"),
         _null_when(F.col("c_custkey") % 37 == 0, F.col("n_name")).alias("delivery_town"),
@@ -150,6 +156,8 @@ def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.substring(F.col("p_brand"), 7, 100).try_cast("int")
     flag = (F.when(b.isin(1, 4) & (F.col("p_size") % 2 == 1), F.lit("F"))
             .when(b % 3 == 0, F.lit("F"))
+            .when((b % 3 == 1) & (F.col("p_size") % 3 == 0), F.lit("\tL\n"))
+            .when((b % 3 == 1) & (F.col("p_size") % 3 == 1), F.lit("\u00a0l\u2003"))
             .when(b % 3 == 1, F.lit(" l "))
             .otherwise(F.lit(None).cast("string")))
     return p.select(
@@ -207,7 +215,8 @@ SELECT
        ELSE p.p_brand || ' ' || split_part(p.p_name, ' ', 2) END AS short_description,
   CASE WHEN l.l_linenumber = 7 AND l.l_partkey % 7 = 0 THEN 'n/a'
        ELSE CAST(l.l_quantity AS VARCHAR) END AS qty,
-  CAST(CAST(p.p_retailprice AS DECIMAL(18,4)) AS VARCHAR) AS price,
+  CASE WHEN l.l_partkey % 97 = 0 THEN '1125899906842624.000000' WHEN l.l_partkey % 89 = 0 THEN ' 0.015625 '
+       ELSE CAST(CAST(p.p_retailprice AS DECIMAL(18,4)) AS VARCHAR) END AS price,
   CAST(CAST(l.l_extendedprice * l.l_discount AS DECIMAL(18,4)) AS VARCHAR) AS discount,
   CASE WHEN l.l_partkey % 61 = 0 THEN NULL
        ELSE CAST(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4)) AS VARCHAR) END AS total_price,
@@ -231,6 +240,8 @@ SELECT
        ELSE p_brand || ' ' || split_part(p_name, ' ', 2) END AS description,
   CASE WHEN TRY_CAST(substr(p_brand, 7) AS INTEGER) IN (1, 4) AND p_size % 2 = 1 THEN 'F'
        WHEN TRY_CAST(substr(p_brand, 7) AS INTEGER) % 3 = 0 THEN 'F'
+       WHEN TRY_CAST(substr(p_brand, 7) AS INTEGER) % 3 = 1 AND p_size % 3 = 0 THEN chr(9) || 'L' || chr(10)
+       WHEN TRY_CAST(substr(p_brand, 7) AS INTEGER) % 3 = 1 AND p_size % 3 = 1 THEN chr(160) || 'l' || chr(8195)
        WHEN TRY_CAST(substr(p_brand, 7) AS INTEGER) % 3 = 1 THEN ' l '
        ELSE NULL END AS landscape_or_furniture
 FROM part

@@ -37,10 +37,10 @@ def clean_sales(df: DataFrame) -> DataFrame:
                 else LF.to_timestamp_or_null(df[c])
     for c in MONEY_COLUMNS:
         if c in cols:
-            out[c] = LF.to_money(df[c])
+            out[c] = LF.to_money(df[c], df.schema[c].dataType)
     for c in MEASURE_COLUMNS:
         if c in cols:
-            out[c] = LF.to_measure(df[c])
+            out[c] = LF.to_measure(df[c], df.schema[c].dataType)
     df = df.withColumns(out) if out else df
     if "invoice_date" in cols:
         d = F.col("invoice_date")
@@ -104,7 +104,7 @@ def product_categories(codes: DataFrame | None) -> DataFrame | None:
     cat_col = category_column(codes.columns)
     if desc_col is None or cat_col is None:
         return None
-    flag = F.upper(F.trim(F.col(cat_col)))
+    flag = F.upper(LF.strip_blanks(cat_col))
     category = (F.when(flag == "F", F.lit("Furniture"))
                 .when(flag == "L", F.lit("Landscape")))
     return (codes.select(F.col(desc_col).alias("description"), category.alias("category"))

@@ -156,16 +156,16 @@ ORACLE: dict[str, str] = {
     "load_sales": _LOAD_SALES,
     "product_categories": f"WITH {_CATS.strip()}\nSELECT description, category FROM cats",
     "snapshot_roundtrip": _q(f"SELECT {ROW_OUT} FROM sales"),
-    "export_roundtrip": f"""WITH s AS ({SALES_SQL})
-SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBLE) AS price,
-                  CAST(discount AS DOUBLE) AS discount, CAST(total_price AS DOUBLE) AS total_price),
-  {_DERIVED_ROW}
-FROM s""",
-    "incremental_refresh": f"""WITH s AS ({SALES_SQL})
+    "export_roundtrip": f"""WITH s0 AS ({SALES_SQL}),
+s AS (SELECT * REPLACE (CASE invoice_no % 11
+  WHEN 0 THEN company || chr(10) || 'second line' WHEN 1 THEN '"' || company || '", x'
+  WHEN 2 THEN chr(92) || company || chr(92) WHEN 3 THEN '  ' || company || ' ' WHEN 4 THEN chr(92) || 'N'
+  WHEN 5 THEN '' WHEN 6 THEN chr(92) || chr(92) || 'N' ELSE company END AS company) FROM s0)
 SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBLE) AS price,
                   CAST(discount AS DOUBLE) AS discount, CAST(total_price AS DOUBLE) AS total_price),
   {_DERIVED_ROW}
 FROM s""",
+    "incremental_refresh": _q(f"SELECT {ROW_OUT} FROM sales"),
     "sales_by_category": _q("""SELECT product_category, count(*) AS lines,
   CAST(sum(total_price) AS DOUBLE) AS revenue FROM sales GROUP BY product_category"""),
     **{name: _q(f"SELECT {ROW_OUT} FROM sales WHERE {cond}")

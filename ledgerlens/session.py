@@ -10,6 +10,7 @@ tests and the benchmark.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -76,3 +77,12 @@ def shared_root(spark: SparkSession) -> str:
         root = ensure_checkpoint_dir(spark)
     return root.rstrip("/")
 
+
+def scratch_dir(spark: SparkSession, kind: str) -> str:
+    """A new folder name under the shared folder, removed when the application ends."""
+    path = f"{shared_root(spark)}/ledgerlens-{kind}/{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path)  # only an existing path can be marked
+    fs.deleteOnExit(hadoop_path)
+    return path

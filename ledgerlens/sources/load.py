@@ -54,10 +54,11 @@ def clean_sales(df: DataFrame) -> DataFrame:
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Read a sales export. CSV is read as all-text (no schema inference)."""
+    """Read a sales export. CSV is read as all-text (no schema inference), by default with
+    the options that ``storage.export_csv`` writes with."""
     if fmt == "csv":
-        raw = (spark.read.option("header", True).option("inferSchema", False)
-               .options(**options).csv(path))
+        from .storage import CSV_READ_OPTIONS, unguard_null_marker
+        raw = unguard_null_marker(spark.read.options(**{**CSV_READ_OPTIONS, **options}).csv(path))
     else:
         raw = spark.read.format(fmt).options(**options).load(path)
     return clean_sales(raw)

@@ -1,29 +1,36 @@
 """Snapshots, freshness, reload and export.
 
-The source keeps a columnar copy of the cleaned table next to the slow
-sheet and uses it while it is strictly newer than both the sheet and the
-product list. Here the copy is a Parquet table partitioned by ``year`` in
-the cluster's shared checkpoint folder (``spark.checkpoint.dir``), and
-file modification times come from Spark's ``binaryFile`` listing, which
-reads file status only, never contents.
+A snapshot is a folder in the cluster's shared checkpoint folder:
+
+* ``data/part=<name>/year=<y>/``: parts of the table, each written once and never changed;
+  a build writes a new base part, a refresh adds one part per stream batch.
+* ``manifests/<time>-<id>.json``: published by an atomic rename after a part is committed.
+  The newest one names the parts that make up the table, with their file counts and sizes,
+  the table's schema, and the state of the source files when the base was built.
+
+Readers follow the newest manifest only, so half-written parts are never read and a rebuild
+does not disturb a reader. The snapshot is fresh when every source file is as the manifest
+recorded it; appended parts do not touch that record. One writer per snapshot at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
-from ..session import configure, shared_root
 from ..schema import DERIVED_COLUMNS, SALES_SCHEMA
+from ..session import configure, scratch_dir, shared_root
 from .fixtures import PRODUCT_SOURCE_TABLES, SALES_SOURCE_TABLES, table_paths
 
 # Bump when the cleaned table's definition changes, so old snapshots are ignored.
-SNAPSHOT_VERSION = 1
+SNAPSHOT_VERSION = 2
 
 # Column order of the cleaned, enriched table (``year`` is the partition column).
 SNAPSHOT_COLUMNS = [f.name for f in SALES_SCHEMA.fields] + DERIVED_COLUMNS + ["product_category"]
@@ -34,60 +41,189 @@ def snapshot_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared_root(spark)}/ledgerlens-snapshots/{key}"
 
 
+# --- files --------------------------------------------------------------------
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_state(spark: SparkSession, path: str) -> dict | None:
+    """Modification time (epoch ms), file count and bytes of a file or folder; None when absent.
+
+    Two calls to the file system; no job and no file is opened. A folder's own time changes
+    when files come or go; a file rewritten in place shows by its size.
+    """
+    fs, p = _fs(spark, path)
+    try:
+        summary = fs.getContentSummary(p)
+        return {"mtime": fs.getFileStatus(p).getModificationTime(),
+                "files": summary.getFileCount(), "bytes": summary.getLength()}
+    except Py4JJavaError as e:
+        if "FileNotFoundException" in str(e.java_exception):
+            return None
+        raise
+
+
 def last_modified(spark: SparkSession, paths: list[str]) -> float:
-    """S5 helper: newest file modification time (epoch seconds); 0 when absent."""
+    """S5 helper: newest modification time (epoch seconds); 0 when absent."""
+    states = [s for s in (path_state(spark, p) for p in paths) if s]
+    return max((s["mtime"] for s in states), default=0) / 1000
+
+
+# --- manifests ------------------------------------------------------------------
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The newest published manifest of a snapshot, or None."""
+    fs, folder = _fs(spark, f"{path}/manifests")
     try:
-        files = (spark.read.format("binaryFile")
-                 .option("recursiveFileLookup", "true")
-                 .load(paths))
-    except AnalysisException:
-        return 0.0
-    row = files.agg(F.max(F.unix_micros(F.col("modificationTime"))).alias("m")).first()
-    return 0.0 if row is None or row["m"] is None else row["m"] / 1e6
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    except Py4JJavaError as e:
+        if "FileNotFoundException" in str(e.java_exception):
+            return None
+        raise
+    names = sorted(n for n in names if n.endswith(".json") and not n.startswith(("_", ".")))
+    if not names:
+        return None
+    stream = fs.open(_fs(spark, f"{path}/manifests/{names[-1]}")[1])
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
-def is_fresh(spark: SparkSession, snapshot: str, sources: list[str],
-             product_list: list[str] | None = None) -> bool:
-    """Strictly newer than every source file and than the product list (absent = 0)."""
-    snap = last_modified(spark, [snapshot])
-    if snap == 0.0:
-        return False
-    src = last_modified(spark, sources)
-    if src == 0.0:
-        return False
-    prod = last_modified(spark, product_list) if product_list else 0.0
-    return snap > src and snap > prod
+def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    manifest = {**manifest, "published_at": int(time.time() * 1000)}
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json"
+    fs, final = _fs(spark, f"{path}/manifests/{name}")
+    _, temporary = _fs(spark, f"{path}/manifests/_{name}.tmp")
+    out = fs.create(temporary)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if not fs.rename(temporary, final):
+        raise RuntimeError(f"could not publish the snapshot manifest {final}")
 
 
-def forget_freshness() -> None:
-    """Drop remembered freshness decisions (after a source is known to have changed)."""
-    _FRESH.clear()
+def _part_path(path: str, name: str) -> str:
+    return f"{path}/data/part={name}"
 
 
-def write_snapshot(df: DataFrame, path: str) -> str:
-    """Write the cleaned table, partitioned by year for date-range pruning.
+def _complete(spark: SparkSession, path: str, manifest: dict) -> bool:
+    """Every part is there with the files and bytes it was published with."""
+    for part in manifest["parts"]:
+        state = path_state(spark, _part_path(path, part["name"]))
+        if state is None or (state["files"], state["bytes"]) != (part["files"], part["bytes"]):
+            return False
+    return True
 
-    The ``rebalance`` hint clusters rows by year before the write, and AQE
-    splits a big year over several tasks and merges small ones, so each task
-    writes about one advisory-size file instead of one small file per year
-    per input split. Within a task rows are sorted by invoice date, so the
-    Parquet row groups carry narrow date ranges and a pushed date filter skips
-    most of them. Errors are raised, not swallowed: a half-written snapshot
-    must not be read.
+
+def _write_part(df: DataFrame, path: str, name: str) -> dict:
+    """Write one part, partitioned by year for date-range pruning.
+
+    The ``rebalance`` hint clusters rows by year before the write, and AQE splits a big year
+    over several tasks and merges small ones, so each task writes about one advisory-size
+    file. Within a task rows are sorted by invoice date, so row groups carry narrow date
+    ranges. Overwriting makes a replay of the same batch write the same part again.
     """
+    spark, target = df.sparkSession, _part_path(path, name)
     if "year" in df.columns:
         order = ["year", "invoice_date"] if "invoice_date" in df.columns else ["year"]
         (df.hint("rebalance", "year").sortWithinPartitions(*order)
-         .write.mode("overwrite").partitionBy("year").parquet(path))
+         .write.mode("overwrite").partitionBy("year").parquet(target))
     else:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(target)
+    state = path_state(spark, target)
+    return {"name": name, "rows": spark.read.schema(df.schema).parquet(target).count(),
+            "files": state["files"], "bytes": state["bytes"]}
+
+
+def write_snapshot(df: DataFrame, path: str, sources: list[str] | None = None) -> str:
+    """Write the cleaned table as the snapshot's new base and publish it.
+
+    Parts that refreshes appended stay part of the table. Errors are raised, not swallowed.
+    """
+    spark = df.sparkSession
+    before = read_manifest(spark, path)
+    state = {p: path_state(spark, p) for p in sources or []}  # taken before the sources are read
+    built_at = int(time.time() * 1000)
+    base = _write_part(df, path, f"base-{uuid.uuid4().hex}")
+    appended = [p for p in before["parts"] if p["name"].startswith("append-")] if before else []
+    _publish(spark, path, {"parts": [base, *appended], "sources": state, "built_at": built_at,
+                           "schema": json.loads(df.schema.json())})
     return path
 
 
-def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """S3: read it back in the original column order."""
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+def append_part(df: DataFrame, path: str, name: str) -> int:
+    """Add rows to a snapshot as the part ``name``; the same name again replaces the part.
+
+    Columns are cast to the snapshot's types; without a snapshot the part starts one.
+    Returns the part's row count.
+    """
+    spark = df.sparkSession
+    manifest = read_manifest(spark, path) or {
+        "parts": [], "sources": {}, "built_at": None, "schema": json.loads(df.schema.json())}
+    schema = T.StructType.fromJson(manifest["schema"])
+    df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                     for f in schema.fields])
+    part = _write_part(df, path, f"append-{name}")
+    others = [p for p in manifest["parts"] if p["name"] != part["name"]]
+    _publish(spark, path, {**manifest, "parts": [*others, part]})
+    return part["rows"]
+
+
+def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = None,
+                  manifest: dict | None = None) -> DataFrame:
+    """S3: the table that the newest manifest describes, in its original column order."""
+    manifest = manifest or read_manifest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"no published snapshot at {path}")
+    schema = T.StructType.fromJson(manifest["schema"])
+    df = (spark.read.schema(schema).option("basePath", f"{path}/data")
+          .parquet(*[_part_path(path, p["name"]) for p in manifest["parts"]]))
+    return df.select(*(columns or schema.names))
+
+
+def vacuum(spark: SparkSession, path: str, keep_seconds: float = 3600) -> int:
+    """Delete parts that the newest manifest no longer names and that are older than
+    ``keep_seconds`` (readers may still hold them for the freshness window)."""
+    manifest, removed = read_manifest(spark, path), 0
+    fs, folder = _fs(spark, f"{path}/data")
+    if manifest is None:
+        return 0
+    named = {f"part={p['name']}" for p in manifest["parts"]}
+    for status in fs.listStatus(folder):
+        old = time.time() * 1000 - status.getModificationTime() > keep_seconds * 1000
+        if status.getPath().getName() not in named and old:
+            removed += bool(fs.delete(status.getPath(), True))
+    return removed
+
+
+# --- freshness --------------------------------------------------------------------
+
+def is_fresh(spark: SparkSession, snapshot: str, sources: list[str],
+             product_list: list[str] | None = None, manifest: dict | None = None) -> bool:
+    """A published, complete snapshot that is strictly newer than every source file, each
+    source being as it was when the base was built (an absent product list stays absent)."""
+    manifest = manifest or read_manifest(spark, snapshot)
+    if manifest is None or manifest["built_at"] is None or not _complete(spark, snapshot, manifest):
+        return False
+    for path in [*sources, *(product_list or [])]:
+        state = path_state(spark, path)
+        if state is None and path in sources:
+            return False
+        if state != manifest["sources"].get(path) or (state and state["mtime"] >= manifest["built_at"]):
+            return False
+    return True
+
+
+def forget_freshness() -> None:
+    """Drop remembered freshness decisions (after a source is known to have changed)."""
+    _FRESH.clear()
+
+
+def _sources(sf_dir: str) -> tuple[list[str], list[str]]:
+    sales = table_paths(sf_dir, SALES_SOURCE_TABLES)
+    return sales, [p for p in table_paths(sf_dir, PRODUCT_SOURCE_TABLES) if p not in sales]
 
 
 def build_snapshot(spark: SparkSession, sf_dir: str) -> str:
@@ -96,79 +232,57 @@ def build_snapshot(spark: SparkSession, sf_dir: str) -> str:
     configure(spark)
     df = with_category(clean_sales(sales_lines(spark, sf_dir)), categories(spark, sf_dir))
     path = snapshot_path(spark, sf_dir)
-    forget_freshness()  # a remembered snapshot DataFrame would point at replaced files
-    write_snapshot(df, path)
-    spark.catalog.refreshByPath(path)
+    forget_freshness()
+    sales, products = _sources(sf_dir)
+    write_snapshot(df, path, sales + products)
+    vacuum(spark, path)
     return path
 
 
-
-# A positive freshness decision is reused for this long within one application,
-# as the source reuses its loaded table for 300 s; a stale or missing snapshot is
-# re-checked on every call.
+# A positive freshness decision is reused for this long within one application, as the source
+# reuses its loaded table; within it a changed source is not seen. 0 checks on every call. A
+# stale or missing snapshot is always checked again.
 FRESH_TTL_SECONDS = 300
 _FRESH: dict[tuple[str, str], tuple[float, DataFrame]] = {}
 
 
-def fresh_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """The stored table if it is fresh, else None (caller builds from sources).
-
-    One listing job covers the snapshot and every source file: the snapshot
-    is used only when its newest file is strictly newer than all of them.
-    """
+def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -> DataFrame | None:
+    """The stored table if it is fresh, else None (caller builds from sources)."""
+    ttl = FRESH_TTL_SECONDS if ttl is None else ttl
     path = snapshot_path(spark, sf_dir)
     key = (spark.sparkContext.applicationId, path)
-    seen = _FRESH.get(key)
-    if seen is not None and time.monotonic() - seen[0] < FRESH_TTL_SECONDS:
-        return seen[1]
-    sources = table_paths(sf_dir, SALES_SOURCE_TABLES + PRODUCT_SOURCE_TABLES)
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load([path] + sources))
-    except AnalysisException:  # no snapshot yet
-        return None
-    marker = path.rsplit("/", 2)[-2] + "/" + path.rsplit("/", 1)[-1]
-    in_snap = F.col("path").contains(marker)
-    t = F.unix_micros(F.col("modificationTime"))
-    row = files.agg(F.max(F.when(in_snap, t)).alias("snap"),
-                    F.max(F.when(~in_snap, t)).alias("src")).first()
-    if row is None or row["snap"] is None or row["src"] is None or row["snap"] <= row["src"]:
-        _FRESH.pop(key, None)
+    for old in [k for k, (t, _) in _FRESH.items() if time.monotonic() - t >= ttl]:
+        del _FRESH[old]
+    if key in _FRESH:
+        return _FRESH[key][1]
+    manifest = read_manifest(spark, path)
+    if manifest is None or not is_fresh(spark, path, *_sources(sf_dir), manifest=manifest):
         return None
-    df = spark.read.parquet(path)
+    df = read_snapshot(spark, path, manifest=manifest)
     df = df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns])
     _FRESH[key] = (time.monotonic(), df)
     return df
 
 
 def freshness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5 as a table: newest modification time of the snapshot, the sales sources and the
-    product list, and whether the snapshot would be used. One listing job, no file reads."""
+    """S5 and A26 as a table: whether the snapshot would be used, its rows and parts, and when
+    the sources last changed."""
     path = snapshot_path(spark, sf_dir)
-    groups = [("snapshot", [path]), ("sales_source", table_paths(sf_dir, SALES_SOURCE_TABLES)),
-              ("product_list", table_paths(sf_dir, PRODUCT_SOURCE_TABLES))]
-    parts = []
-    for name, paths in groups:
-        try:
-            files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                     .load(paths).select(F.lit(name).alias("what"), "modificationTime", "length"))
-        except AnalysisException:  # absent: counts as time 0
-            files = spark.createDataFrame([], "what string, modificationTime timestamp, length long")
-        parts.append(files)
-    listing = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    t = F.unix_micros("modificationTime")
-    row = listing.agg(*[F.max(F.when(F.col("what") == n, t)).alias(n) for n, _ in groups],
-                      *[F.count(F.when(F.col("what") == n, 1)).alias(f"{n}_files") for n, _ in groups])
-    snap, src, prod = (F.coalesce(F.col(n), F.lit(0)) for n, _ in groups)
-    return row.select(
-        *[F.col(f"{n}_files") for n, _ in groups],
-        ((snap > src) & (snap > prod)).alias("snapshot_is_fresh"),
-        F.timestamp_micros(F.col("sales_source")).alias("source_last_modified"))
+    manifest = read_manifest(spark, path)
+    sales, products = _sources(sf_dir)
+    fresh = manifest is not None and is_fresh(spark, path, sales, products, manifest)
+    changed = last_modified(spark, sales)
+    row = (fresh, sum(p["rows"] for p in manifest["parts"]) if manifest else 0,
+           len(manifest["parts"]) if manifest else 0, changed or None)
+    return spark.createDataFrame(
+        [row], "snapshot_is_fresh boolean, snapshot_rows long, snapshot_parts long, changed double").select(
+        "snapshot_is_fresh", "snapshot_rows", "snapshot_parts",
+        F.timestamp_millis((F.col("changed") * 1000).cast("long")).alias("source_last_modified"))
 
 
 def snapshot_roundtrip(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` as a snapshot under a fresh path and read it back."""
-    path = f"{shared_root(spark)}/ledgerlens-roundtrip/{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "roundtrip")
     write_snapshot(df, path)
     return read_snapshot(spark, path, df.columns)
 
@@ -183,27 +297,49 @@ def refresh(spark: SparkSession, paths: list[str]) -> None:
         spark.catalog.refreshByPath(p)
 
 
+# --- export -----------------------------------------------------------------------
+
 # Null marker in exported CSV, so an empty text value ('') stays distinct from null.
 CSV_NULL = "\\N"
+# One set of options for writer and reader: RFC 4180 quoting, nothing trimmed, line breaks
+# inside quoted values (so a part file is read by one task; a part is one task's output).
+CSV_OPTIONS = {
+    "header": "true", "nullValue": CSV_NULL, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "multiLine": "true", "inferSchema": "false", "lineSep": "\n"}
+
+
+def _text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def guard_null_marker(df: DataFrame) -> DataFrame:
+    r"""Text that reads like the null marker (``\N``, or with more backslashes) gets one more
+    backslash."""
+    return df.withColumns({c: F.when(F.col(c).rlike(r"^\\+N$"), F.concat(F.lit("\\"), F.col(c))).otherwise(F.col(c))
+                           for c in _text_columns(df)})
+
+
+def unguard_null_marker(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c).rlike(r"^\\\\+N$"), F.substring(c, 2, 2 ** 31 - 1)).otherwise(F.col(c))
+                           for c in _text_columns(df)})
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """Export with a header row, no index.
+    """Export with a header row, no index; ``load.read_sales(fmt="csv")`` reads it back.
 
     Written as a directory of part files (one per task) rather than funnelled
     through a single task.
     """
-    (df.write.mode("overwrite")
-     .option("header", True)
-     .option("nullValue", CSV_NULL)
-     .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-     .csv(path))
+    guard_null_marker(df).write.mode("overwrite").options(**{**CSV_OPTIONS, "emptyValue": '""', "lineSep": "\n"}).csv(path)
     return path
 
 
 def export_roundtrip(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Export to CSV under a fresh path and load it back through the S1 reader."""
     from .load import read_sales
-    path = f"{shared_root(spark)}/ledgerlens-export/{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "export")
     export_csv(df, path)
-    return read_sales(spark, path, fmt="csv", nullValue=CSV_NULL)
+    return read_sales(spark, path, fmt="csv")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as LF
-from .series import demand_features, month_features, train_test_split
+from .series import demand_features, month_features, ordered_sum, train_test_split
 
 # The source's boosted-tree settings.
 REVENUE_TREES, REVENUE_DEPTH, REVENUE_RATE = 100, 4, 0.1
@@ -56,20 +56,17 @@ def _mean_of_last(recent: Column, k: int, fallback: Column) -> Column:
     return F.when(F.size(recent) >= k, mean).otherwise(fallback)
 
 
-# Training rows per partition: a monthly panel of a few series fits in one task
-# (each boosting iteration is then one small task per stage); a panel over very
-# many products keeps one partition per this many rows.
-TRAIN_ROWS_PER_PARTITION = 200_000
+# Candidate splits per feature (MLlib's default of 32 would merge a monthly series' values).
+MAX_BINS = 256
 
 
-def _fit(train: DataFrame, features: list[str], **params):
-    """Fit on a cached training set whose partition count follows its size."""
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(train)
-    data = data.select("features", "label")
-    rows = data.count()  # monthly rows: the table is a checkpoint, so this is a cheap read
-    parts = max(1, -(-rows // TRAIN_ROWS_PER_PARTITION))
-    data = data.coalesce(parts).cache()
-    model = GBTRegressor(featuresCol="features", labelCol="label", seed=SEED, **params).fit(data)
+def _fit(train: DataFrame, features: list[str], partitions: int, **params):
+    """Fit on a cached training set that is dealt and ordered by its keys, so that row sampling
+    and sums do not depend on how the input was partitioned."""
+    dealt = train.repartition(partitions, "series_id").sortWithinPartitions("series_id", "month_start")
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(dealt)
+    data = data.select("features", "label").cache()
+    model = GBTRegressor(featuresCol="features", labelCol="label", seed=SEED, maxBins=MAX_BINS, **params).fit(data)
     data.unpersist()
     return model
 
@@ -94,6 +91,8 @@ def _fingerprint(series: DataFrame) -> tuple:
 def _cached_fit(kind: str, series: DataFrame, fit):
     """``fit(series)`` once per series content and application, reused for the TTL."""
     series = series.checkpoint(eager=True)  # monthly rows: evaluated once, read below
+    for old in [k for k, (t, _) in _MODELS.items() if time.monotonic() - t >= MODEL_TTL_SECONDS]:
+        del _MODELS[old]
     key = (kind, series.sparkSession.sparkContext.applicationId, *_fingerprint(series))
     hit = _MODELS.get(key)
     if hit is not None and time.monotonic() - hit[0] < MODEL_TTL_SECONDS:
@@ -111,10 +110,12 @@ def _fit_revenue_model(series: DataFrame):
     feats = month_features(series)
     split = train_test_split(series)
     tbl = feats.join(split, ["series_id", "month_start"])
-    n_months = series.count()  # months of history: bounded, and decides the feature set
+    # months of history of the shortest series: one number, decides the feature set
+    n_months = series.groupBy("series_id").count().agg(F.min("count")).first()[0] or 0
     cols = REVENUE_FEATURES + (REVENUE_LONG_FEATURES if n_months > 12 else [])
     tbl = _clean(tbl.withColumn("label", F.col("y")), cols).checkpoint(eager=True)
-    model = _fit(tbl.where("is_train"), cols, maxIter=REVENUE_TREES, stepSize=REVENUE_RATE,
+    # one task: a single series' months, bounded by the calendar
+    model = _fit(tbl.where("is_train"), cols, 1, maxIter=REVENUE_TREES, stepSize=REVENUE_RATE,
                  maxDepth=REVENUE_DEPTH, minInstancesPerNode=REVENUE_MIN_CHILD,
                  subsamplingRate=REVENUE_SUBSAMPLE, featureSubsetStrategy=REVENUE_COLSAMPLE)
     return model, tbl, cols
@@ -258,12 +259,16 @@ def _fit_demand_model(series: DataFrame):
         "rolling_mean_3": F.col("rolling_mean_3") / s})
     cols = DEMAND_FEATURES
     tbl = _clean(tbl.withColumns({c: F.col(c).cast("double") for c in cols}), cols).checkpoint(eager=True)
-    model = _fit(tbl, cols, maxIter=DEMAND_TREES, stepSize=DEMAND_RATE, maxDepth=DEMAND_DEPTH)
+    model = _fit(tbl, cols, series.sparkSession.sparkContext.defaultParallelism, maxIter=DEMAND_TREES, stepSize=DEMAND_RATE, maxDepth=DEMAND_DEPTH)
     return model, tbl, cols
 
 
-def demand_forecast(series: DataFrame, horizon: int = 6) -> DataFrame:
-    """M8: one boosted-tree model for all selected products, then recursive forecasts.
+def demand_forecast(series: DataFrame, horizon: int = 6, products: DataFrame | None = None) -> DataFrame:
+    """M8: one boosted-tree model for all products in ``series``, then recursive forecasts for
+    those in ``products`` (a column ``product``; default: all).
+
+    Give every product that passes the history gate as ``series`` and the chosen few as
+    ``products``: a product's forecast then does not depend on which others are shown.
 
     Level-dependent features (lag_1, rolling_mean_3) and the target are
     divided by each product's mean so one model serves every product; the
@@ -271,6 +276,8 @@ def demand_forecast(series: DataFrame, horizon: int = 6) -> DataFrame:
     driver loop; a panel fit keeps the work in one distributed job.
     """
     model, tbl, cols = _cached_fit("demand", series, _fit_demand_model)
+    if products is not None:
+        tbl = tbl.join(products.select(F.col("product").alias("series_id")), "series_id", "left_semi")
     hist = tbl.groupBy("series_id").agg(
         F.array_sort(F.collect_list(F.struct("month_start", "label"))).alias("_h"),
         F.count(F.lit(1)).alias("n"), F.max("month_start").alias("last_month"),
@@ -325,3 +332,51 @@ def forecast_demand(series: DataFrame, horizon: int = 6, method: str = "gbt") ->
     if method == "gbt":
         return demand_forecast(series, horizon)
     raise ValueError(f"unknown method {method!r}: use 'gbt' or 'linear'")
+
+
+# --- checks of a real fit that have a known answer ---------------------------------
+
+def revenue_forecast_checks(series: DataFrame, horizon: int = 6) -> DataFrame:
+    """Per forecast row: non-negative, and its half-band over sigma (known: 1.96 * (1 + 0.1 i))."""
+    f = revenue_forecast(series, horizon)
+    std = series.groupBy("series_id").agg(F.stddev_pop("y").alias("_std"))
+    sigma = F.when(F.col("rmse") > 0, F.col("rmse")).otherwise(F.col("_std") * FALLBACK_STD_FACTOR)
+    x = f.join(gbt_fit_metrics(series).select("series_id", "rmse"), "series_id").join(std, "series_id")
+    half = F.col("upper_ci") - F.col("forecast")
+    return x.select("series_id", "month_start", "horizon", (F.col("forecast") >= 0).alias("non_negative"),
+                    F.round(half / sigma, 6).alias("half_band_in_sigmas"),
+                    (F.abs(F.col("lower_ci") - LF.clip0(F.col("forecast") - half)) <= 1e-6 * half).alias("lower_agrees"))
+
+
+def fit_checks(series: DataFrame) -> DataFrame:
+    """Rows of each split, and whether the reported metrics equal sums over residuals in month
+    order."""
+    model, tbl, cols = _revenue_model(series)
+    scored = _scored(model, tbl, cols)
+    r = F.col("label") - F.col("prediction")
+    again = scored.groupBy("series_id").agg(
+        F.count(F.when(F.col("is_train"), 1)).alias("train_months"),
+        F.count(F.when(~F.col("is_train"), 1)).alias("test_months"),
+        ordered_sum(F.when(F.col("is_train"), 0.0).otherwise(F.abs(r)), F.col("month_start")).alias("_abs"),
+        ordered_sum(F.when(F.col("is_train"), 0.0).otherwise(r * r), F.col("month_start")).alias("_sq"))
+    m = again.join(gbt_fit_metrics(series), "series_id")
+    return m.select(
+        "series_id", "train_months", "test_months",
+        (F.abs(F.col("mae") - F.col("_abs") / F.col("test_months")) <= 1e-9 * F.col("mae")).alias("mae_agrees"),
+        (F.abs(F.col("rmse") - F.sqrt(F.col("_sq") / F.col("test_months"))) <= 1e-9 * F.col("rmse")).alias("rmse_agrees"),
+        ((F.col("r2_train") <= 1) & (F.col("r2_test") <= 1) & (F.col("r2_train") > 0)).alias("r2_in_range"))
+
+
+def importance_checks(series: DataFrame, k: int = 5) -> DataFrame:
+    """Number of features, the sum of all importances (known: 1), and whether the reported ones
+    are the ``k`` largest in order."""
+    model, _, cols = _revenue_model(series)
+    weights = model.featureImportances.toArray().tolist()
+    top = feature_importance(series, k)
+    largest = sorted(zip([-w for w in weights], cols))[:k]
+    wanted = series.sparkSession.createDataFrame(
+        [(i, c) for i, (_, c) in enumerate(largest)], "place int, feature string")
+    got = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("w"), "feature"))).alias("t"))
+    ranked = got.select(F.posexplode("t.feature").alias("place", "feature"))
+    return ranked.join(wanted, ["place", "feature"]).agg(F.count(F.lit(1)).alias("in_place")).select(
+        F.lit(len(cols)).cast("long").alias("features"), F.round(F.lit(sum(weights)), 9).alias("importance_sum"), "in_place")

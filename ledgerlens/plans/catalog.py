@@ -159,9 +159,46 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_output(storage.read_snapshot(spark, snapshot, storage.SNAPSHOT_COLUMNS))
 
 
+def _demand_gbt(sales: DataFrame) -> DataFrame:
+    """The panel is every product with enough history; the top ones are shown."""
+    return FG.demand_forecast(S.demand_series(sales, None), HORIZON, S.top_demand_products(sales, TOP_N))
+
+
 def _demand_summary_gbt(sales: DataFrame) -> DataFrame:
     series = S.demand_series(sales, TOP_N).checkpoint(eager=True)
-    return FL.demand_summary(series, FG.demand_forecast(series, HORIZON), "Gradient Boosted Trees")
+    return FL.demand_summary(series, _demand_gbt(sales), "Gradient Boosted Trees")
+
+
+def _demand_gbt_checks(sales: DataFrame) -> DataFrame:
+    return _demand_gbt(sales).select("series_id", "month_start", "horizon",
+                                     (F.col("forecast") >= 0).alias("non_negative"))
+
+
+def _table_gbt_checks(sales: DataFrame) -> DataFrame:
+    """Labels of the boosted forecast table against the forecast's own values."""
+    f = FG.revenue_forecast(S.revenue_series(sales), HORIZON).checkpoint(eager=True)
+    t = FL.forecast_table(f).join(f.drop("month"), ["series_id", "month_start"])
+    low, high = (F.concat(F.lit("£"), F.format_number(c, 0)) for c in ("lower_ci", "upper_ci"))
+    return t.select("series_id", "month_start", "month",
+                    (F.col("predicted_revenue") == F.concat(F.lit("£"), F.format_number("forecast", 0))).alias("value_agrees"),
+                    (F.col("confidence_range") == F.concat(low, F.lit(" - "), high)).alias("range_agrees"))
+
+
+def _totals_gbt_checks(sales: DataFrame) -> DataFrame:
+    f = FG.revenue_forecast(S.revenue_series(sales), HORIZON).checkpoint(eager=True)
+    again = f.groupBy("series_id").agg(F.sum("forecast").alias("_total"))
+    return FL.forecast_totals(f).join(again, "series_id").select(
+        "series_id", F.col("months").cast("long").alias("months"),
+        (F.abs(F.col("total_forecast") - F.col("_total")) <= 1e-9 * F.col("_total")).alias("total_agrees"),
+        (F.abs(F.col("avg_monthly") * F.col("months") - F.col("_total")) <= 1e-9 * F.col("_total")).alias("average_agrees"))
+
+
+def _summary_gbt_checks(sales: DataFrame) -> DataFrame:
+    s = _demand_summary_gbt(sales)
+    change = F.when(F.col("hist_avg") > 0, (F.col("forecast_avg") / F.col("hist_avg") - 1.0) * 100.0).otherwise(0.0)
+    return s.select("product", "hist_avg", "hist_avg_label",
+                    (F.abs(F.col("expected_change_pct") - change) <= 1e-9).alias("change_agrees"),
+                    (F.abs(F.col("total_forecast") - HORIZON * F.col("forecast_avg")) <= 1e-9 * F.col("total_forecast")).alias("total_agrees"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -227,11 +264,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_forecast_gbt": _on_sales(lambda s: FG.revenue_forecast(S.revenue_series(s), HORIZON)),
     "gbt_fit_metrics": _on_sales(lambda s: FG.gbt_fit_metrics(S.revenue_series(s))),
     "feature_importance": _on_sales(lambda s: FG.feature_importance(S.revenue_series(s))),
-    "demand_forecast_gbt": _on_sales(
-        lambda s: FG.demand_forecast(S.demand_series(s, TOP_N), HORIZON)),
+    "demand_forecast_gbt": _on_sales(_demand_gbt),
     "forecast_table_gbt": _on_sales(
         lambda s: FL.forecast_table(FG.revenue_forecast(S.revenue_series(s), HORIZON))),
     "forecast_totals_gbt": _on_sales(
         lambda s: FL.forecast_totals(FG.revenue_forecast(S.revenue_series(s), HORIZON))),
     "demand_summary_gbt": _on_sales(_demand_summary_gbt),
+    # the same fits, by what has a known answer
+    "revenue_forecast_gbt_checks": _on_sales(
+        lambda s: FG.revenue_forecast_checks(S.revenue_series(s), HORIZON)),
+    "gbt_fit_checks": _on_sales(lambda s: FG.fit_checks(S.revenue_series(s))),
+    "feature_importance_checks": _on_sales(lambda s: FG.importance_checks(S.revenue_series(s))),
+    "demand_forecast_gbt_checks": _on_sales(_demand_gbt_checks),
+    "forecast_table_gbt_checks": _on_sales(_table_gbt_checks),
+    "forecast_totals_gbt_checks": _on_sales(_totals_gbt_checks),
+    "demand_summary_gbt_checks": _on_sales(_summary_gbt_checks),
 }

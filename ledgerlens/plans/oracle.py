@@ -533,3 +533,34 @@ SELECT series_id AS product, 'Seasonal Linear' AS model, hist_avg, forecast_avg,
   {_plain('total_forecast', 0)} AS total_label
 FROM j2"""),
 })
+
+
+# --- boosted trees: what a fit must satisfy ------------------------------------
+
+_LAST = """, last AS (SELECT series_id, max(month_start) AS last_month FROM rs GROUP BY 1),
+ahead AS (SELECT series_id, CAST(h AS INTEGER) AS horizon, last_month + to_months(CAST(h AS INTEGER)) AS month_start
+          FROM last CROSS JOIN (SELECT range AS h FROM range(1, 7)))
+"""
+
+ORACLE.update({
+    "revenue_forecast_gbt_checks": _q(_REV_SERIES + _LAST + """SELECT series_id, month_start, horizon,
+  true AS non_negative, round(1.96 * (1 + 0.1 * (horizon - 1)), 6)::DOUBLE AS half_band_in_sigmas, true AS lower_agrees
+FROM ahead"""),
+    "gbt_fit_checks": _q(_REV_SERIES + """, c AS (SELECT series_id, count(*) AS n FROM rs GROUP BY 1),
+t AS (SELECT *, greatest(CAST(floor(n * 0.8) AS BIGINT), n - 6) AS train FROM c)
+SELECT series_id, train AS train_months, n - train AS test_months, true AS mae_agrees, true AS rmse_agrees,
+  true AS r2_in_range FROM t"""),
+    "feature_importance_checks": _q(_REV_SERIES + """SELECT
+  CAST(CASE WHEN count(*) > 12 THEN 12 ELSE 10 END AS BIGINT) AS features, 1.0::DOUBLE AS importance_sum,
+  CAST(5 AS BIGINT) AS in_place FROM rs"""),
+    "demand_forecast_gbt_checks": _q(_DEMAND_SERIES + _LAST
+                                     + "SELECT series_id, month_start, horizon, true AS non_negative FROM ahead"),
+    "forecast_table_gbt_checks": _q(_REV_SERIES + _LAST + """SELECT series_id, month_start,
+  strftime(month_start, '%B %Y') AS month, true AS value_agrees, true AS range_agrees FROM ahead"""),
+    "forecast_totals_gbt_checks": _q(_REV_SERIES + _LAST + """SELECT series_id, count(*) AS months,
+  true AS total_agrees, true AS average_agrees FROM ahead GROUP BY 1"""),
+    "demand_summary_gbt_checks": _q(_DEMAND_SERIES + f""", hist AS (
+  SELECT series_id, CAST(sum(y_dec) AS DOUBLE) / count(*) AS hist_avg FROM rs GROUP BY 1)
+SELECT series_id AS product, hist_avg, {_plain('hist_avg', 0)} AS hist_avg_label, true AS change_agrees,
+  true AS total_agrees FROM hist"""),
+})

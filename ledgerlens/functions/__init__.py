@@ -63,10 +63,17 @@ def to_measure(c: str | Column, kind: T.DataType | None = None) -> Column:
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 
+def exact_measure(c: str | Column) -> Column:
+    """A measure as an exact number; a non-finite value raises (the cast would make it null and
+    drop it from sums)."""
+    c = col_(c)
+    broken = F.raise_error(F.lit("a quantity is not finite: it has no exact sum")).cast(MONEY)
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), broken).otherwise(c.cast(MONEY))
+
+
 def exact_total(c: str | Column) -> Column:
-    """Sum of a measure, exact to six decimals whatever the partitioning, as double. A
-    non-finite value raises: it has no exact sum."""
-    return F.sum(col_(c).cast(MONEY)).cast("double")
+    """Sum of a measure, exact to six decimals whatever the partitioning, as double."""
+    return F.sum(exact_measure(c)).cast("double")
 
 
 # The characters that count as white space at the ends of a flag.

@@ -1,28 +1,10 @@
-"""Join helpers: broadcast only what has a checked size bound."""
+"""Join helpers: broadcast only what has a size bound by construction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when it has at most this many rows
-# (about 10-20 MB for a text key and a short value).
-LOOKUP_BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise a lookup side once and hint broadcast only if it is small.
-
-    The side is checkpointed to the shared checkpoint folder (one computation,
-    lineage cut, survives executor loss), then counted from that copy. Above
-    ``max_rows`` the plain DataFrame is returned and the planner chooses a
-    shuffle join, so the broadcast never grows with the data.
-    """
-    df = df.checkpoint(eager=True)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_scalar_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach a one-row aggregate (anchor date, overall mean) to every row.
 

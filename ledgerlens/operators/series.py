@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as LF
-from ..schema import MONEY
 from .joins import attach_scalar_row
 
 SERIES_DEC = "decimal(38,6)"
+MAX_BROADCAST_PRODUCTS = 10_000
 
 # Minimum history the source requires before it forecasts.
 REVENUE_MIN_LINES = 12
@@ -71,7 +71,7 @@ def product_month_qty(sales: DataFrame) -> DataFrame:
     d = sales.where(F.col("short_description").isNotNull() & F.col("invoice_date").isNotNull())
     return (d.groupBy(F.col("short_description").alias("series_id"),
                       LF.month_start("invoice_date").alias("month_start"))
-            .agg(F.sum(F.col("qty").cast(MONEY)).cast(SERIES_DEC).alias("y_dec"),
+            .agg(F.sum(LF.exact_measure("qty")).cast(SERIES_DEC).alias("y_dec"),
                  F.count(F.lit(1)).alias("_lines")))
 
 
@@ -99,8 +99,8 @@ def demand_series(sales: DataFrame, top_n: int | None = DEFAULT_TOP_N,
                   min_months: int = DEMAND_MIN_MONTHS) -> DataFrame:
     """J3 + A21: monthly units of the top products, one series per product.
 
-    The top-N list has at most ``top_n`` rows, so it is broadcast into the
-    semi-join; without a limit the semi-join is left to the planner.
+    The top-N list has at most ``top_n`` rows, so up to ``MAX_BROADCAST_PRODUCTS`` it is
+    broadcast into the semi-join; beyond that, or without a limit, the planner chooses.
     """
     # products x months: far smaller than the lines, and read three times below
     # (top-N totals, the line-count gate, the selected series), so it is
@@ -108,7 +108,7 @@ def demand_series(sales: DataFrame, top_n: int | None = DEFAULT_TOP_N,
     pm = product_month_qty(sales).checkpoint(eager=True)
     top = top_demand_products(sales, top_n, min_lines, pm=pm).select(
         F.col("product").alias("series_id"))
-    keep = F.broadcast(top) if top_n is not None else top
+    keep = F.broadcast(top) if top_n is not None and top_n <= MAX_BROADCAST_PRODUCTS else top
     s = pm.join(keep, "series_id", "left_semi")
     return _gate(s, 0, min_months)
 

@@ -10,8 +10,8 @@ from ..session import configure
 from .fixtures import product_codes, sales_lines, sales_lines_raw
 from .load import clean_sales, join_category, prepare_lookup, product_categories, with_category
 
-# The source keeps its product list for an hour; the prepared lookup (materialised,
-# size-checked) is reused for that long within one application.
+# The source keeps its product list for an hour; the prepared lookup is reused for that
+# long within one application (0: never), and a changed list is not seen meanwhile.
 LOOKUP_TTL_SECONDS = 3600
 _LOOKUPS: dict[tuple[str, str], tuple[float, DataFrame | None]] = {}
 
@@ -23,9 +23,10 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame | None:
 def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     """The prepared category lookup for a data folder (reused for the TTL)."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    hit = _LOOKUPS.get(key)
-    if hit is not None and time.monotonic() - hit[0] < LOOKUP_TTL_SECONDS:
-        return hit[1]
+    for old in [k for k, (t, _) in _LOOKUPS.items() if time.monotonic() - t >= LOOKUP_TTL_SECONDS]:
+        del _LOOKUPS[old]
+    if key in _LOOKUPS:
+        return _LOOKUPS[key][1]
     lookup = prepare_lookup(categories(spark, sf_dir))
     _LOOKUPS[key] = (time.monotonic(), lookup)
     return lookup

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as LF
-from ..operators.joins import bounded_broadcast
 from ..schema import (DATE_COLUMNS, EXPECTED_COLUMNS, MEASURE_COLUMNS, MONEY_COLUMNS,
                       OPTIONAL_COLUMNS, SOURCE_NAMES)
 
@@ -114,14 +113,16 @@ def product_categories(codes: DataFrame | None) -> DataFrame | None:
             .agg(F.min("category").alias("category")))
 
 
+NULL_KEY_SPREAD = 1024
+
+
 def prepare_lookup(categories: DataFrame | None) -> DataFrame | None:
-    """The lookup side of J1: ``(short_description, product_category)``, materialised
-    once and hinted for broadcast only within its size bound."""
+    """The lookup side of J1: ``(short_description, product_category)``. The planner broadcasts
+    it within its size threshold and shuffles beyond."""
     if categories is None:
         return None
-    return bounded_broadcast(
-        categories.select(F.col("description").alias("short_description"),
-                          F.col("category").alias("product_category")))
+    return categories.select(F.col("description").alias("short_description"),
+                             F.col("category").alias("product_category"))
 
 
 def join_category(sales: DataFrame, lookup: DataFrame | None) -> DataFrame:
@@ -132,8 +133,14 @@ def join_category(sales: DataFrame, lookup: DataFrame | None) -> DataFrame:
     """
     if lookup is None or "short_description" not in sales.columns:
         return sales
-    return sales.join(lookup, "short_description", "left").select(
-        *sales.columns, "product_category")
+    # a null description matches nothing; such lines are spread over many join keys that no
+    # description has, instead of meeting in one task when the join shuffles
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in sales.columns if c in ("invoice_no", "qty", "total_price")], F.lit(0)),
+                    F.lit(NULL_KEY_SPREAD)).cast("string")
+    key = F.coalesce(F.col("short_description"), F.concat(F.lit("\0"), spread))
+    side = lookup.select(F.col("short_description").alias("_key"), "product_category")
+    return sales.drop("product_category").withColumn("_key", key).join(side, "_key", "left").select(
+        *[c for c in sales.columns if c != "product_category"], "product_category")
 
 
 def with_category(sales: DataFrame, categories: DataFrame | None) -> DataFrame:

@@ -207,3 +207,79 @@ def test_us_style_dates_parse_month_first(spark):
     got = [r["invoice_date"] for r in clean_sales(raw).collect()]
     assert got == [ts("2020-01-02"), ts("2020-01-02 13:45:00"), ts("2019-12-31 07:05:00"),
                    ts("2020-03-04"), None]
+
+
+def test_large_and_fine_amounts_are_kept(spark):
+    raw = spark.createDataFrame([("123456789012345678.123456",), ("0.000001",), ("-99999999999999.9999",), ("inf",), ("NaN",), ("x",), (None,)],
+                                "total_price string")
+    got = [r["total_price"] for r in clean_sales(raw).collect()]
+    assert got[:3] == [Decimal("123456789012345678.123456"), Decimal("0.000001"), Decimal("-99999999999999.9999")]
+    assert got[3:] == [0, 0, 0, 0]
+
+
+def test_an_amount_that_does_not_fit_raises(spark):
+    from pyspark.errors import SparkRuntimeException
+    raw = spark.createDataFrame([("1e30",)], "total_price string")
+    with pytest.raises(SparkRuntimeException, match="does not fit"):
+        clean_sales(raw).collect()
+
+
+def test_typed_amounts_are_not_read_as_text(spark):
+    raw = spark.createDataFrame([(1e14 + 0.5, 7, 2.5), (float("nan"), None, float("nan")), (float("inf"), 1, 0.0)],
+                                "total_price double, price long, qty double")
+    got = clean_sales(raw)
+    assert "string" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = got.collect()
+    assert [r["total_price"] for r in rows] == [Decimal("100000000000000.5"), 0, 0]
+    assert [r["price"] for r in rows] == [7, 0, 1] and [r["qty"] for r in rows] == [2.5, 0, 0]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_units_do_not_depend_on_partitioning(spark, parts):
+    rows = [dict(invoice_no=i, qty=0.1 * (i % 97) + 1e8 * (i % 3), short_description="p", colour="red") for i in range(3000)]
+    df = make(spark, rows).repartition(parts)
+    want = float(sum(Decimal(str(round(r["qty"], 6))) for r in rows))
+    assert K.kpis(df).first()["total_units"] == want
+    assert R.product_table(df).first()["units_sold"] == want
+    assert R.colour_units(df).first()["qty"] == want
+    assert R.colour_summary(df).first()["units_sold"] == want
+
+
+def test_infinite_quantity_raises_everywhere(spark):
+    df = make(spark, [dict(qty=float("inf"), short_description="p", colour="red", invoice_date=ts("2020-01-01"))])
+    for report in (K.kpis, R.product_table, R.colour_units, S.product_month_qty):
+        with pytest.raises(Exception, match="not finite"):
+            report(df).collect()
+
+
+def test_flags_strip_unicode_white_space(spark):
+    codes = spark.createDataFrame([("a", "F\t"), ("b", "L\n"), ("c", "\u00a0f\u2003"), ("d", "\r\x1c l"), ("e", "F x")],
+                                  "description string, furniture string")
+    assert {r["description"]: r["category"] for r in product_categories(codes).collect()} == {
+        "a": "Furniture", "b": "Landscape", "c": "Furniture", "d": "Landscape"}
+
+
+def test_filter_on_an_absent_column_raises(spark):
+    df = make(spark, [dict(type="A")]).drop("type", "status", "item_type", "furniture_group")
+    for flt in (SalesFilter(types=("A",)), SalesFilter(statuses=("A",)), SalesFilter(item_types=("A",))):
+        with pytest.raises(ValueError, match="no such column"):
+            flt.apply(df)
+    assert SalesFilter(furniture_groups=("A",), categories=("B",)).apply(df).count() == 1
+
+
+def test_headline_figures_without_their_columns(spark):
+    df = make(spark, [dict(invoice_no=1, company="a", invoice_date=ts("2020-01-01"), qty=2.0)])
+    k = K.kpis(df.drop("company", "qty")).first()
+    assert (k["total_customers"], k["total_units"], k["revenue_per_customer"], k["total_orders"]) == (0, 0, 0, 1)
+    assert K.kpis(df.drop("total_price")).first()["total_revenue"] == 0
+    assert K.growth(df.drop("invoice_date", "year")).count() == 0 and R.monthly_revenue(df.drop("invoice_date")).count() == 0
+
+
+def test_headline_labels(spark):
+    df = make(spark, [dict(invoice_no=i, company=str(i % 7), invoice_date=ts("2020-01-01") + dt.timedelta(days=i),
+                           total_price=Decimal("1234.5"), qty=10.0) for i in range(100)])
+    k = K.kpis(df).first()
+    assert (k["total_revenue_label"], k["total_orders_label"], k["aov_label"], k["total_units_label"]) == (
+        f"£{123450:,.0f}", "100", f"£{1234.5:,.0f}", "1,000")
+    g = K.growth(df).first()
+    assert g["growth_30_day_label"] == f"{g['growth_30_day']:+.1f}%" and g["growth_yoy_label"] == "+0.0%"

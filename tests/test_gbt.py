@@ -2,8 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerlens import sources
 from ledgerlens.operators import forecast_gbt as FG
+from ledgerlens.operators import forecast_linear as FL
 from ledgerlens.operators import series as S
 
 from conftest import SMALL
@@ -29,11 +32,38 @@ def test_demand_gbt_forecast(spark):
     assert all(r["forecast"] >= 0 for r in f)
 
 
-def test_demand_gbt_is_repeatable(spark):
-    ds = S.demand_series(sources.sales(spark, SMALL), 3).checkpoint(eager=True)
-    a = FG.demand_forecast(ds, 3).orderBy("series_id", "horizon").collect()
-    b = FG.demand_forecast(ds, 3).orderBy("series_id", "horizon").collect()
-    assert a == b
+def forecast_rows(df):
+    return [tuple(r) for r in df.orderBy("series_id", "horizon").collect()]
+
+
+def test_demand_forecast_does_not_depend_on_top_n_or_partitions(spark):
+    sales = sources.sales(spark, SMALL)
+    every = S.demand_series(sales, None).checkpoint(eager=True)
+    seen = []
+    for parts, top_n in ((1, 2), (4, 5), (16, 5)):
+        FG._MODELS.clear()  # a new fit, not the remembered one
+        top = S.top_demand_products(sales, top_n)
+        seen.append(forecast_rows(FG.demand_forecast(every.repartition(parts), 3, top)))
+    assert seen[1] == seen[2] and len(seen[0]) == 6
+    assert set(seen[0]) <= set(seen[1])
+
+
+def test_revenue_fit_does_not_depend_on_partitions(series):
+    seen = []
+    for parts in (1, 16):
+        FG._MODELS.clear()
+        seen.append(forecast_rows(FG.revenue_forecast(series.repartition(parts), 3)))
+    assert seen[0] == seen[1]
+
+
+def test_boosted_trees_are_no_worse_than_linear_on_a_seasonal_series(spark):
+    import datetime as dt
+    import math
+    rows = [("s", dt.datetime(2014 + i // 12, i % 12 + 1, 1), 1000 + 4 * i + 300 * math.sin(i * math.pi / 6)) for i in range(84)]
+    s = spark.createDataFrame(rows, "series_id string, month_start timestamp, y double").withColumn(
+        "y_dec", F.col("y").cast(S.SERIES_DEC)).select("series_id", "month_start", "y_dec", "y")
+    gbt, linear = FG.gbt_fit_metrics(s).first(), FL.revenue_fit_metrics(s).first()
+    assert gbt["rmse"] <= max(1.5 * linear["rmse"], 0.1 * 300)
 
 
 def test_revenue_model_is_reused_within_ttl(spark, series):

@@ -42,10 +42,33 @@ def test_lookup_side_is_broadcast_when_small(spark):
     assert "BroadcastHashJoin" in plan(df)
 
 
-def test_bounded_broadcast_falls_back_above_the_bound(spark):
-    from ledgerlens.operators.joins import bounded_broadcast
-    small = spark.range(5).withColumnRenamed("id", "k")
-    hinted = bounded_broadcast(small, max_rows=10)
-    unhinted = bounded_broadcast(small, max_rows=3)
-    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in unhinted._jdf.queryExecution().logical().toString().lower()
+def test_lookup_join_shuffles_beyond_the_threshold(spark):
+    from ledgerlens.sources.fixtures import sales_lines
+    from ledgerlens.sources.load import clean_sales, with_category
+    def run():
+        df = with_category(clean_sales(sales_lines(spark, SMALL)), sources.categories(spark, SMALL))
+        got = df.groupBy("product_category").count().collect()
+        return plan(df), sorted((r[0] or "", r[1]) for r in got)
+    _, small = run()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p, large = run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert small == large
+    assert "coalesce(short_description" in p and "SortMergeJoin" in p
+
+
+def test_growth_prunes_year_partitions(spark):
+    storage.build_snapshot(spark, SMALL)
+    p = plan(K.growth(sources.sales(spark, SMALL)))
+    pruned = [x for x in p.split("PartitionFilters: [")[1:] if "subquery" in x.split("]")[0]]
+    assert pruned and "year" in pruned[0].split("]")[0]
+
+
+def test_colour_breakdown_aggregates_one_product(spark):
+    storage.build_snapshot(spark, SMALL)
+    df = R.colour_breakdown(sources.sales(spark, SMALL))
+    p = plan(df)
+    assert "ExistingRDD" not in p and "subquery" in p.lower()  # nothing was checkpointed to build it
+    assert df.count() > 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, classifier, html_text, language, minhash, mixing, nearest, quality_rules, substrings
 from .common import read_table, words
+from .oracle import ORACLE  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,7 +21,7 @@ def held_out() -> Column:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs, size=4, percent=80)
+    return minhash.near_duplicates(docs, size=4, percent=80).drop("text_crc")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,3 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE: dict[str, str] = {}

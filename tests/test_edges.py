@@ -283,3 +283,27 @@ def test_headline_labels(spark):
         f"£{123450:,.0f}", "100", f"£{1234.5:,.0f}", "1,000")
     g = K.growth(df).first()
     assert g["growth_30_day_label"] == f"{g['growth_30_day']:+.1f}%" and g["growth_yoy_label"] == "+0.0%"
+
+
+@pytest.mark.parametrize("n", [2, 12, 13, 30])
+def test_feature_table_has_shift_and_rolling_semantics(spark, n):
+    """An independent reading: pandas shift, rolling, pct_change, back-fill then forward-fill then 0."""
+    import pandas as pd
+    rng = np.random.default_rng(n)
+    months = pd.date_range("2019-03-01", periods=n, freq="MS")
+    y = pd.Series(np.round(rng.uniform(50, 500, n), 2), index=months)
+    s = spark.createDataFrame([("s", m.to_pydatetime(), Decimal(str(v)), float(v)) for m, v in y.items()],
+                              f"series_id string, month_start timestamp, y_dec {S.SERIES_DEC}, y double")
+    got = S.month_features(s).orderBy("month_start").toPandas()
+
+    def filled(v):
+        return v.bfill().ffill().fillna(0).to_numpy()
+
+    want = {f"lag_{k}": filled(y.shift(k)) for k in (1, 2, 3, 12)}
+    want |= {f"rolling_mean_{k}": y.rolling(k, min_periods=1).mean().to_numpy() for k in (3, 6)}
+    want["rolling_std_3"] = y.rolling(3, min_periods=1).std().fillna(0).to_numpy()
+    want["yoy_growth"] = (y / y.shift(12) - 1).fillna(0).to_numpy()
+    want["seasonal_index"] = (y.groupby(months.month).transform("mean") / y.mean()).to_numpy()
+    want["month"], want["quarter"], want["months_since_start"] = months.month, months.quarter, np.arange(n)
+    for name, values in want.items():
+        assert got[name].to_numpy() == pytest.approx(np.asarray(values, float), rel=1e-9, abs=1e-9), name

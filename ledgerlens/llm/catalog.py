@@ -55,7 +55,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules.judge(docs)
+    return quality_rules.judge(docs).withColumn("n_broken_rules", F.size("broken_rules").cast("long")).drop("broken_rules")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import SKETCH_ERROR, SLACK
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,9 +90,70 @@ removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(removed.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+# 8: base counts, quantile sketches by logarithmic bins, fences per language and source
+_GAMMA = f"ln({1 + SKETCH_ERROR}::DOUBLE / {1 - SKETCH_ERROR}::DOUBLE)"
+_RATIO = f"({1 + SKETCH_ERROR}::DOUBLE / {1 - SKETCH_ERROR}::DOUBLE)"
+_SLACK = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SLACK.items())
+_SHARES = ("n_symbols::DOUBLE / greatest(word_chars, 1)", "n_upper::DOUBLE / greatest(word_chars, 1)",
+           "n_marks::DOUBLE / greatest(word_chars, 1)", "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+           "n_repeat_words::DOUBLE / greatest(n_words, 1)", "word_chars::DOUBLE / greatest(n_words, 1)")
+_MEASURES = "[" + ", ".join(f"{{'measure': '{k}', 'value': {v}}}" for k, v in zip(SLACK, _SHARES)) + "]"
+
+
+def _fences(name: str, keys: str) -> str:
+    group = f"{keys}, measure" if keys else "measure"
+    return f"""{name}0 AS (SELECT {group}, bin, sum(n) AS n FROM sketch GROUP BY {group}, bin),
+{name}1 AS (
+  SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {group}) AS total,
+         coalesce(2 * pow({_RATIO}, bin) / ({_RATIO} + 1), 0) AS value FROM {name}0),
+{name} AS (
+  SELECT {group}, max(total) AS size,
+         min(value) FILTER (upto >= 0.5 * total) + 4 * (min(value) FILTER (upto >= 0.5 * total) - min(value) FILTER (upto >= 0.05 * total))
+         + CASE measure {_SLACK} END AS fence
+  FROM {name}1 GROUP BY {group})"""
+
+
+QUALITY_RULES = rf"""WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+five AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS x
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM five) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY 1),
+m AS (
+  SELECT w.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(array_to_string(w, ''), '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(regexp_replace(array_to_string(w, ''), '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
+         length(regexp_replace(array_to_string(w, ''), '[^!?]+', '', 'g')) AS n_marks
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM w) w
+  LEFT JOIN covered USING (r)),
+long AS (SELECT r, lang, source, x.measure AS measure, x.value AS value FROM (SELECT *, unnest({_MEASURES}) AS x FROM m)),
+sketch AS (
+  SELECT lang, source, measure, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {_GAMMA}) AS BIGINT) END AS bin, count(*) AS n
+  FROM long GROUP BY ALL),
+{_fences('own', 'lang, source')},
+{_fences('bylang', 'lang')},
+{_fences('overall', '')},
+fence AS (
+  SELECT own.lang, own.source, own.measure,
+         CASE WHEN own.size >= 50 THEN own.fence WHEN bylang.size >= 50 THEN bylang.fence ELSE overall.fence END AS fence
+  FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.measure = bylang.measure
+  JOIN overall ON own.measure = overall.measure),
+broken AS (
+  SELECT long.r, list(long.measure) AS rules
+  FROM long JOIN fence ON long.lang IS NOT DISTINCT FROM fence.lang AND long.source IS NOT DISTINCT FROM fence.source
+    AND long.measure = fence.measure AND long.value > fence.fence GROUP BY 1),
+b AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(len(broken.rules), 0) AS n_broken
+      FROM m LEFT JOIN broken USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_broken = 0 AS kept, n_broken AS n_broken_rules FROM b"""
+
 ORACLE = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
     "op3_nearest_neighbours": NEAREST,
     "op5_chat_formatting": CHAT,
     "op6_substring_dedup": SUBSTRINGS,
+    "op8_quality_rules": QUALITY_RULES,
 }

@@ -9,7 +9,8 @@ a batch with one vectorised step per level.
 Defined cases: null text counts as empty and is scored; null labels are not learned from,
 labels other than 1 count as 0; with no label the score is 0.5, with labels of one class the
 class's smoothed share; ties in a split go to the lower feature and bin; repeated rows are
-kept; an empty table gives no rows; other columns are ignored.
+kept (a repeated label is learned from once); an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
             rows = np.array([text_statistics(t or "") for t in batch.column(len(keep)).to_pylist()], float)
             rows = rows.reshape(batch.num_rows, len(FEATURES))
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
@@ -162,18 +163,19 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **params) -> Trees:
     """Trees from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), on at most about
     ``sample_rows`` labelled rows: those whose hash of doc_id falls under a share of all."""
-    known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").distinct()
     total = known.count()
     limit = 1_000_000_000
     share = min(limit, sample_rows * limit // max(1, total))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(limit)) < share)
-    # the chosen ids are bounded by sample_rows (a repeated label counts as often as it stands)
+    # the chosen (doc_id, quality) pairs are bounded by sample_rows, and so are the rows that come
+    # back: of several rows of one doc_id the one with the smallest statistics stands for all
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality"])
-    got = rows.select("doc_id", "quality", "stats").toPandas()
+    got = rows.groupBy("doc_id", "quality").agg(F.min("stats").alias("stats")).toPandas()
     if got.empty:
         return fit_trees(np.zeros((0, len(FEATURES))), np.zeros(0), **params)
     # the order of rows must not matter for sums of floats
-    got = got.assign(first=got["stats"].map(lambda s: tuple(s))).sort_values(["doc_id", "quality", "first"])
+    got = got.sort_values(["doc_id", "quality"])
     return fit_trees(np.stack(got["stats"].to_numpy()), (got["quality"] == 1).to_numpy(float), **params)
 
 
@@ -185,7 +187,7 @@ def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
             rows = [text_statistics(t or "") for t in batch.column(len(keep)).to_pylist()]
             x = np.array(rows, float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))]

@@ -8,6 +8,8 @@ All arithmetic is modulo 2 ** 64 with odd bases, followed by a mixing step.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -74,6 +76,14 @@ class Words:
         return at[at + size <= (self.first + self.counts)[self.text]]
 
 
+def text_batches(column: pa.Array, limit: int):
+    """(first row, past the last, texts as bytes) in stretches of at most ``limit`` bytes (or one
+    row): only a stretch at a time is held as Python objects. Null counts as empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for a, b in text_slices(sizes, limit):
+        yield a, b, [t or b"" for t in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+
+
 def text_slices(sizes: np.ndarray, limit: int):
     """Row ranges whose sizes add up to ``limit`` at most (or one row)."""
     start, held = 0, 0

@@ -34,7 +34,7 @@ from .common import map_batches
 
 HASH_BITS = 16
 MAX_WORD = 24
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_500_000
 UNDETERMINED = "und"
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 

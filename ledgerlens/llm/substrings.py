@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD, map_batches, ship_package, stored
-from .hashing import WINDOW_BASES, Prefix, Words, text_slices
+from .hashing import WINDOW_BASES, Prefix, Words, text_batches
 
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 BUCKET_CHARS = 8_000_000
 NO_ID = 2 ** 63 - 1
 WORD_RUN = re.compile(WORD)
@@ -97,10 +97,6 @@ def sort_runs(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
     return e, repeat, several[anchor_no] if len(anchor_no) else np.zeros(0, bool)
 
 
-def _text_bytes(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode("utf-8") for t in column.to_pylist()]
-
-
 def _repeat_runs(docs: DataFrame, window: int, gram: int, n_buckets: int) -> DataFrame:
     """Rows (kind, doc, text_crc, first, more): runs that are repeats as a whole, and runs to
     compare window by window; ``more`` windows follow the first."""
@@ -120,15 +116,14 @@ def _repeat_runs(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
 
     def find(batches):
         for batch in batches:
-            texts = _text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in text_slices(np.array([len(t) for t in texts]), BATCH_BYTES):
-                words = Words(texts[a:b])
+            for a, b, texts in text_batches(batch.column(1), BATCH_BYTES):
+                words = Words(texts)
                 anchor, run, first, last = window_runs(words, window, gram)
                 if not len(anchor):
                     continue
                 text = words.text[first]
-                crc = np.array([zlib.crc32(t) for t in texts[a:b]], np.int64)
+                crc = np.array([zlib.crc32(t) for t in texts], np.int64)
                 e = {"anchor": anchor, "run": run, "doc": ids[a:b][text], "text_crc": crc[text],
                      "first": first - words.first[text], "more": last - first, "multi": np.zeros(len(anchor), np.int8)}
                 e, repeat, several = sort_runs(e)
@@ -186,9 +181,8 @@ def _repeat_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 
     def hash_windows(batches):
         for batch in batches:
-            texts = _text_bytes(batch.column(2))
-            for a, b in text_slices(np.array([len(t) for t in texts]), BATCH_BYTES):
-                words = Words(texts[a:b])
+            for a, b, texts in text_batches(batch.column(2), BATCH_BYTES):
+                words = Words(texts)
                 sums = [Prefix(words.hash, base) for base in WINDOW_BASES]
                 row, at = [], []
                 for i in range(a, b):
@@ -250,7 +244,7 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
         T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def cut(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
             texts = batch.column(text_at).to_pylist()
             firsts, mores = (batch.column(len(columns) + k).to_pylist() for k in (0, 1))
             out, n_words, n_removed, all_spans = [], [], [], []

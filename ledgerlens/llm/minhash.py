@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, ship_package, stored
 from .components import Linker, connected, link
-from .hashing import WINDOW_BASES, Prefix, Words, mix, text_slices
+from .hashing import WINDOW_BASES, Prefix, Words, mix, text_batches
 
 K = 64
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 LIST_CHUNK = 8192
 SET_CHUNK = 6_000_000
 MULTIPLIERS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -79,10 +79,6 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(spread.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(spread + np.uint64(1))).view(np.int64))
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode("utf-8") for t in column.to_pylist()]
-
-
 class SignatureLinker(Linker):
     def __init__(self, threshold: int):
         self.threshold = threshold
@@ -131,9 +127,8 @@ def document_signatures(docs: DataFrame, size: int) -> DataFrame:
     fingerprint."""
     def run(batches):
         for batch in batches:
-            texts = _texts(batch.column(1))
-            for a, b in text_slices(np.array([len(t) for t in texts]), BATCH_BYTES):
-                sets = shingle_sets(texts[a:b], size)
+            for a, b, texts in text_batches(batch.column(1), BATCH_BYTES):
+                sets = shingle_sets(texts, size)
                 sigs = np.concatenate([signature(s) if len(s) else np.zeros(K, np.uint32) for s in sets]).view(np.int32)
                 prints = [fingerprint(s) if len(s) else (0, 0) for s in sets]
                 offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * K)
@@ -151,14 +146,16 @@ def document_signatures(docs: DataFrame, size: int) -> DataFrame:
 
 def prefix_postings(classes: DataFrame, threshold: int) -> DataFrame:
     """Rows (g, node): posting lists of each class's rarest (coordinate, value) pairs."""
-    posted = classes.select("node", F.posexplode("signature").alias("c", "v"))
-    frequent = posted.groupBy("c", "v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    kept = posted.join(frequent, ["c", "v"])
+    # a (coordinate, value) pair as one number: narrow rows, as every class posts K of them
+    pair = F.transform("signature", lambda v, c: F.shiftleft(c.cast("long"), 32).bitwiseOR(
+        v.cast("long").bitwiseAND(F.lit(4294967295))))
+    posted = classes.select("node", F.explode(pair).alias("g"))
+    frequent = posted.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
+    kept = posted.join(frequent.hint("merge"), "g")
     # at most K postings per class
-    ranked = kept.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "c", "v"))).alias("p")).filter(
+    ranked = kept.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("p")).filter(
         F.size("p") >= threshold)
-    return (ranked.select("node", F.explode(F.slice("p", 1, F.size("p") - (threshold - 1))).alias("p"))
-            .select(F.expr("shiftleft(cast(p.c as bigint), 32) | (cast(p.v as bigint) & 4294967295)").alias("g"), "node"))
+    return ranked.select("node", F.explode(F.slice("p", 1, F.size("p") - (threshold - 1))).alias("p")).select("p.g", "node")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chunk: int = LIST_CHUNK,
@@ -166,6 +163,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chun
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id
     connected by links of at least ``percent`` per cent Jaccard similarity), kept and
     text_crc (crc32 of the text, which tells rows of one doc_id apart)."""
+    # the heavy joins are pinned to sort-merge, so that the plan (with its skew splitting) is the
+    # same at every size and nothing is broadcast because it looks small
     ship_package(docs.sparkSession)
     threshold = match_threshold(percent)
     signed = stored(document_signatures(docs, size))
@@ -173,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chun
         F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
 
     def add_signature(rows: DataFrame) -> DataFrame:
-        return rows.join(short, "node")
+        return rows.join(short.hint("merge"), "node")
 
     def shorten(batches):
         for batch in batches:
@@ -190,13 +189,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chun
 
     members = stored(candidates.join(classes, "node").select(F.col("label").alias("g"), "node", F.col("n").alias("weight"),
                                                              "first_doc"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def full_sets(batches):
         for batch in batches:
-            raw = _texts(batch.column(2))
-            for a, b in text_slices(np.array([len(t) for t in raw]), BATCH_BYTES):
-                sets = shingle_sets(raw[a:b], size)
+            for a, b, texts in text_batches(batch.column(2), BATCH_BYTES):
+                sets = shingle_sets(texts, size)
                 nodes = batch.column(0).slice(a, b - a)
                 same = [len(s) > 0 and fingerprint(s)[0] == node for s, node in zip(sets, nodes.to_pylist())]
                 yield pa.RecordBatch.from_arrays(
@@ -204,10 +202,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chun
                     names=["node", "payload"])
 
     # only each class's first document; a repeated row of it is the same set again
-    located = members.select("node", "first_doc").join(
-        texts, F.col("first_doc").eqNullSafe(F.col("doc_id"))).select("node", "doc_id", "text")
+    located = members.select("node", "first_doc").hint("merge").join(
+        by_id, F.col("first_doc").eqNullSafe(F.col("doc_id"))).select("node", "doc_id", "text")
     sets = stored(map_batches(located, full_sets, "node long, payload binary").dropDuplicates(["node"]))
-    confirmed = connected(link(members.select("g", "node", "weight"), lambda rows: rows.join(sets, "node"),
+    confirmed = connected(link(members.select("g", "node", "weight"), lambda rows: rows.join(sets.hint("merge"), "node"),
                                SetLinker(percent), set_chunk))
     by_class = classes.select("node", "check", "first_doc").join(confirmed, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))

@@ -3,9 +3,8 @@
 Encoding a text:
 
 * A single blank between two non-space characters always starts a new pre-token, so a text
-  falls into chunks there that are encoded on their own (in batches, with a bounded memo of
-  chunks already seen).
-* A chunk without such a place ("long unsplit text") is encoded by tree concatenation:
+  can be cut there. Texts without long stretches between such places are encoded whole.
+* A long stretch without such a place ("long unsplit text") is encoded by tree concatenation:
   halves are encoded apart, down to ``leaf_chars``; at each join a window of tokens on both
   sides is re-encoded and grows until its outer halves agree exactly with both sides.
 * Texts over ``piece_chars`` are cut into pieces that different Spark tasks encode, and
@@ -22,9 +21,11 @@ input column of the output's name is replaced, all other columns are kept.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,32 +38,67 @@ from .common import map_batches, stored
 
 # a blank between two non-space characters: what follows it is encoded on its own
 SAFE_BLANK = re.compile(r" (?<=\S )(?=\S)")
-MEMO_CHUNKS = 300_000
-MEMO_CHARS = 100
-BATCH_CHARS = 4_000_000
+# how byte-level pre-tokenisation splits a text (fixed value)
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Characters outside blocks whose classes (letter, number, space) have been settled in Unicode
+# for long (fixed values): texts with them are left to the file's own library, as another one
+# may know another version of Unicode.
+UNSETTLED = re.compile("[^\x00-\u024f\u0370-\u0373\u0386-\u03ce\u0400-\u045f\u2000-\u2064\u20a0-\u20ac\u2190-\u21ff"
+                       "\u3000-\u303f\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]")
+BATCH_CHARS = 1_000_000
 
 
 class Codec:
-    """Encoder and decoder of one tokenizer file, with a memo of short chunks."""
+    """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, spec: str, leaf_chars: int = 8192):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_str(spec)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        self.spec = spec
         self.leaf_chars = leaf_chars
-        self.memo: dict[str, bytes] = {}
         self._bytes: list[bytes] | None = None
+        self._settings = json.loads(spec)
+        self.ranked = self._ranked(self._settings)
+
+    @cached_property
+    def tok(self):
+        """The file in its own library, loaded when a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_str(self.spec)
+        tok.no_truncation()
+        tok.no_padding()
+        return tok
 
     # -- encoding ---------------------------------------------------------------------
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def _ranked(self, spec: dict):
+        """The same vocabulary in the faster library that merges by id, if that is the same
+        algorithm: plain byte-level BPE whose merges, in order, make the ids 256, 257, ..."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = (model.get("type") in (None, "BPE") and spec.get("normalizer") is None
+                 and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                 and not before.get("add_prefix_space") and not model.get("ignore_merges") and not model.get("dropout")
+                 and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        vocab = model.get("vocab", {})
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        simple = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])
+                     for t in spec.get("added_tokens", []))
+        if not (plain and simple and all(vocab.get(x + y) == 256 + i for i, (x, y) in enumerate(merges))):
+            return None
+        ranks = {self.table()[i]: i for token, i in vocab.items() if token not in added}
+        if sorted(ranks.values()) != list(range(256 + len(merges))):
+            return None
+        import tiktoken
+        return tiktoken.Encoding("ranked", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=added)
+
+    def _encode(self, text: str) -> list[int]:
+        if self.ranked is not None and not UNSETTLED.search(text):
+            return self.ranked.encode(text, allowed_special="all")
+        return self.tok.encode(text, add_special_tokens=False).ids
 
     def encode_tree(self, text: str) -> list[int]:
         """Ids of ``text`` by halves; equal to encoding it in one go."""
         if len(text) <= self.leaf_chars:
-            return self._library([text])[0]
+            return self._encode(text)
         mid = len(text) // 2
         return self.join(self.encode_tree(text[:mid]), self.encode_tree(text[mid:]))
 
@@ -79,7 +115,7 @@ class Codec:
                     raise
                 width += 1
                 continue
-            ids, agree = self._library([window])[0], width // 2
+            ids, agree = self._encode(window), width // 2
             if ((a == 0 or ids[:agree] == left[a:a + agree])
                     and (b == len(right) or ids[-agree:] == right[b - agree:b])):
                 return left[:a] + ids + right[b:]
@@ -91,32 +127,26 @@ class Codec:
                      for i in range(0, len(parts), 2)]
         return parts[0] if parts else []
 
+    def encode_text(self, text: str) -> list[int]:
+        if len(text) <= self.leaf_chars:
+            return self._encode(text)
+        chunks = SAFE_BLANK.split(text)
+        if max(map(len, chunks)) < self.leaf_chars:
+            return self._encode(text)
+        chunks[1:] = [" " + c for c in chunks[1:]]
+        ids, short = [], []
+        for c in chunks:
+            if len(c) <= self.leaf_chars:
+                short.append(c)
+                continue
+            ids += self._encode("".join(short))
+            short = []
+            ids += self.encode_tree(c)
+        return ids + self._encode("".join(short))
+
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian int32 bytes."""
-        memo = self.memo
-        chunked = []
-        for text in texts:
-            chunks = SAFE_BLANK.split(text)
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            chunked.append(chunks)
-        missing = set().union(*chunked).difference(memo)
-        own: dict[str, bytes] = {}
-        if missing:
-            short = [c for c in missing if len(c) <= self.leaf_chars]
-            if len(memo) + len(short) > MEMO_CHUNKS:
-                memo.clear()
-                short = [c for c in set().union(*chunked) if len(c) <= self.leaf_chars]
-            for i in range(0, len(short), 20_000):
-                part = short[i:i + 20_000]
-                for chunk, ids in zip(part, self._library(part)):
-                    (memo if len(chunk) <= MEMO_CHARS and len(memo) < MEMO_CHUNKS else own)[chunk] = \
-                        np.array(ids, np.int32).tobytes()
-            for chunk in missing:
-                if len(chunk) > self.leaf_chars:
-                    own[chunk] = np.array(self.encode_tree(chunk), np.int32).tobytes()
-        if own:
-            return [b"".join([memo.get(c) if c in memo else own[c] for c in chunks]) for chunks in chunked]
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in chunked]
+        return [np.array(self.encode_text(t), np.int32).tobytes() for t in texts]
 
     # -- decoding ---------------------------------------------------------------------
     def table(self) -> list[bytes]:
@@ -126,7 +156,8 @@ class Codec:
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             others = [x for x in range(256) if x not in set(plain)]
             back = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
-            vocab = self.tok.get_vocab(with_added_tokens=True)
+            added = {t["content"]: t["id"] for t in self._settings.get("added_tokens", [])}
+            vocab = {**self._settings["model"]["vocab"], **added}
             table = [b""] * (max(vocab.values(), default=-1) + 1)
             for token, i in vocab.items():
                 table[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()

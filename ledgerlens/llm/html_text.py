@@ -5,10 +5,12 @@ stop words and the share of its text inside links are known, and whether it stan
 that is never main text (menus, page headers and footers, sidebars, forms, adverts, notices,
 reader comments: by tag, or by class, id or role) or inside the article.
 
-Pass one decides clear blocks: never-main parts and link-heavy blocks are boilerplate; long
-blocks with enough stop words are content; long blocks without are boilerplate outside an
-article. Pass two: what is left (short or unclear) takes the label of the nearest decided
-block, first within its own article, where an undecided remainder is content.
+Pass one decides clear blocks: never-main parts and link-heavy blocks are boilerplate; all
+else inside an article is content, by its tag alone, as nothing else of an article may be
+dropped. Outside articles, long blocks with enough stop words are content and long blocks
+without are boilerplate; on a page that has an article both bars are higher there by
+``OUTSIDE_BAR``. Pass two: what is left (short or unclear, outside articles) takes the label of
+the nearest decided block outside articles, or of any if none is decided there.
 
 Content blocks, character references decoded and white space made single, are joined in
 page order by a line feed.
@@ -51,6 +53,9 @@ newsletter notice notices notification pager pagination popup privacy promo prom
 share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+# how much longer and denser a block beside an article must be to be content by itself
+OUTSIDE_BAR = 1.5
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -140,43 +145,35 @@ def label_blocks(blocks: list[dict], stop_words=STOP_WORDS, long_chars: int = 14
                  link_density: float = 0.4) -> list[bool]:
     """Whether each block is main text."""
     has_article = any(b["article"] is not None and not b["never"] for b in blocks)
+    # beside an article text needs more to count as content by itself
+    bar = OUTSIDE_BAR if has_article else 1.0
     labels: list[bool | None] = []
     for b in blocks:
-        found = LETTERS.findall(b["text"].lower())
-        density = sum(w in stop_words for w in found) / max(1, len(found))
-        if b["never"] or b["link_chars"] > link_density * len(b["text"]):
-            labels.append(False)
-        elif has_article and b["article"] is None:
+        size = len(b["text"])
+        if b["never"] or b["link_chars"] > link_density * size:
             labels.append(False)
-        elif len(b["text"]) >= long_chars and density >= stop_density:
+        elif b["article"] is not None:
             labels.append(True)
-        elif len(b["text"]) >= long_chars and b["article"] is None:
-            labels.append(False)
-        else:
+        elif size < long_chars:
             labels.append(None)
-    # second pass: nearest decided neighbour; inside an article only content decides, as
-    # what is clearly not content there (link lists, boxes) says nothing about its text
-    n = len(blocks)
-    decided_before, decided_after = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        decided_before[i] = last
-        if labels[i] is not None:
-            last = i
-    last = None
-    for i in range(n - 1, -1, -1):
-        decided_after[i] = last
-        if labels[i] is not None:
-            last = i
-    out = []
-    for i, b in enumerate(blocks):
-        if labels[i] is not None:
-            out.append(labels[i])
-        elif b["article"] is not None:
-            out.append(True)
         else:
-            near = [(abs(i - j), not labels[j], j) for j in (decided_before[i], decided_after[i]) if j is not None]
-            out.append(bool(labels[min(near)[2]]) if near else True)
+            found = LETTERS.findall(b["text"].lower())
+            density = sum(w in stop_words for w in found) / max(1, len(found))
+            if density < stop_density:
+                labels.append(False)
+            else:
+                labels.append(True if size >= bar * long_chars and density >= bar * stop_density else None)
+    # second pass: nearest decided neighbour, among the blocks outside articles if any is decided there
+    decided = [j for j, b in enumerate(blocks) if labels[j] is not None and b["article"] is None]
+    decided = decided or [j for j, known in enumerate(labels) if known is not None]
+    out, after = [], 0
+    for i, known in enumerate(labels):
+        if known is None:
+            while after < len(decided) and decided[after] < i:
+                after += 1
+            near = [(abs(i - j), not labels[j], j) for j in decided[max(0, after - 1):after + 1]]
+            known = labels[min(near)[2]] if near else True
+        out.append(known)
     return out
 
 

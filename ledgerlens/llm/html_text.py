@@ -16,8 +16,9 @@ Content blocks, character references decoded and white space made single, are jo
 page order by a line feed.
 
 Defined cases: null html or url: null html is empty; a page without content gives an empty
-text; unclosed tags, comments and scripts run to the end of their parent or page; repeated
-rows are kept; an empty table gives no rows; other columns are ignored.
+text; unclosed tags run to the end of their parent, unclosed comments, scripts and styles to the
+end of the page; an svg, iframe or template that is self-closed or never closed is empty, and
+what object, canvas, noscript and math hold is text like any other; repeated rows are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +47,10 @@ summary table tbody td tfoot th thead title tr ul""".split())
 CONTAINER_TAGS = frozenset("""article aside body button details dialog div dl fieldset figure footer form head header
 main menu nav ol section select table td th tr ul textarea""".split())
 NEVER_TAGS = frozenset("nav aside footer form button select textarea fieldset dialog menu head".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "math")
+RAW_TAGS = ("script", "style")
+# parts without page text: dropped up to their close tag, or the tag alone if it has none
+SKIPPED_TAGS = frozenset("iframe svg template".split())
+SPACE_TAGS = frozenset("br canvas iframe img input noscript object svg template".split())
 NEVER_NAMES = frozenset("""ad ads adbox adslot advert advertisement advertising banner breadcrumb breadcrumbs comment comments
 commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation
 newsletter notice notices notification pager pagination popup privacy promo promoted related reply replies respond
@@ -58,8 +62,8 @@ OUTSIDE_BAR = 1.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
     r"|<[!?/][^>]*>", re.S | re.I)
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -105,7 +109,8 @@ def page_blocks(page: str) -> list[dict]:
             if in_link:
                 linked.append(raw)
 
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()  # skipped tags without a close tag further on
+    while m := TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
@@ -115,8 +120,14 @@ def page_blocks(page: str) -> list[dict]:
             continue
         if tag == "a":
             in_link = 0 if m["close"] else 1
-        elif tag == "br":
+        elif tag in SPACE_TAGS:
             add(" ")
+            if tag in SKIPPED_TAGS and tag not in unclosed and not m["close"] and not m["attrs"].endswith("/"):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
         elif tag in BLOCK_TAGS or tag in CONTAINER_TAGS:
             flush()
             in_link = 0
@@ -134,8 +145,6 @@ def page_blocks(page: str) -> list[dict]:
                     never = (never or tag in NEVER_TAGS or (tag == "header" and article is None)
                              or (tag not in ("body", "article", "main") and _never_by_attributes(m["attrs"])))
                     stack.append((tag, never, article))
-        elif not m["close"] and tag in ("img", "input"):
-            add(" ")
     add(page[at:])
     flush()
     return blocks

@@ -14,3 +14,19 @@ def test_both_passes_act_beside_an_article():
     # a block that is clear on a page without an article is only followed here
     assert html_text.main_text(f"<nav>m</nav><div>{LONG}</div><article><p>Text</p></article>") == "Text"
     assert html_text.main_text(f"<h1>Title</h1><article><p>{LONG}</p></article>") == f"Title\n{LONG}"
+
+
+def test_self_closed_and_unclosed_parts_are_empty():
+    for tag in ("svg", "math", "object", "iframe", "template", "canvas", "noscript"):
+        for mark in (f'<{tag} class="i"/>', f"<{tag} />", f"<{tag}>"):
+            page = f"<article><p>one {mark} two</p><p>three</p></article>"
+            assert html_text.main_text(page) == "one two\nthree"
+    assert html_text.main_text("<nav><svg/>Menu</nav><article><p>one<svg><text>no</text></svg>two</p></article>") == "one two"
+    assert html_text.main_text("<article><p>one <svg-icon>two</svg-icon></p><p>three</article>") == "one two\nthree"
+    assert html_text.main_text("<article><p>one</p><script src=x>two</p><p>three</article>") == "one"
+
+
+def test_inline_objects_hold_text():
+    page = ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p><p><object>A map</object>of it</p>"
+            "<p><canvas>A chart</canvas></p><noscript><p>A picture</p></noscript></article>")
+    assert html_text.main_text(page) == "So x=1 here\nA map of it\nA chart\nA picture"

@@ -5,9 +5,11 @@ stop words and the share of its text inside links are known, and whether it stan
 that is never main text (menus, page headers and footers, sidebars, forms, adverts, notices,
 reader comments: by tag, or by class, id or role) or inside the article.
 
-Pass one decides clear blocks: never-main parts and link-heavy blocks are boilerplate; all
-else inside an article is content, by its tag alone, as nothing else of an article may be
-dropped. Outside articles, long blocks with enough stop words are content and long blocks
+Pass one decides clear blocks: never-main parts are boilerplate. Inside an article so are menus,
+that is runs of short blocks that are nearly all links; all else there, single linked headings
+and paragraphs and lists of sources with text beside their links included, is content by the
+article's tag alone, as nothing else of an article may be dropped. Outside articles, link-heavy
+blocks are boilerplate, long blocks with enough stop words are content and long blocks
 without are boilerplate; on a page that has an article both bars are higher there by
 ``OUTSIDE_BAR``. Pass two: what is left (short or unclear, outside articles) takes the label of
 the nearest decided block outside articles, or of any if none is decided there.
@@ -59,6 +61,8 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 # how much longer and denser a block beside an article must be to be content by itself
 OUTSIDE_BAR = 1.5
+# inside an article, so many link-heavy blocks in a row with such a share of links are a menu
+MENU_BLOCKS, MENU_LINKED = 3, 0.8
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -150,19 +154,41 @@ def page_blocks(page: str) -> list[dict]:
     return blocks
 
 
+def _article_menus(blocks: list[dict], long_chars: int, link_density: float) -> set[int]:
+    """Blocks of link lists inside articles: runs of at least ``MENU_BLOCKS`` link-heavy blocks
+    of one article that are short on average and hold hardly any text outside links."""
+    runs: list[list[int]] = []
+    for i, b in enumerate(blocks):
+        heavy = b["article"] is not None and not b["never"] and b["link_chars"] > link_density * len(b["text"])
+        if heavy and runs and runs[-1][-1] == i - 1 and blocks[i - 1]["article"] == b["article"]:
+            runs[-1].append(i)
+        elif heavy:
+            runs.append([i])
+    menus: set[int] = set()
+    for run in runs:
+        chars = sum(len(blocks[i]["text"]) for i in run)
+        linked = sum(blocks[i]["link_chars"] for i in run)
+        if len(run) >= MENU_BLOCKS and 2 * chars < long_chars * len(run) and linked > MENU_LINKED * chars:
+            menus.update(run)
+    return menus
+
+
 def label_blocks(blocks: list[dict], stop_words=STOP_WORDS, long_chars: int = 140, stop_density: float = 0.15,
                  link_density: float = 0.4) -> list[bool]:
     """Whether each block is main text."""
     has_article = any(b["article"] is not None and not b["never"] for b in blocks)
     # beside an article text needs more to count as content by itself
     bar = OUTSIDE_BAR if has_article else 1.0
+    menus = _article_menus(blocks, long_chars, link_density)
     labels: list[bool | None] = []
-    for b in blocks:
+    for i, b in enumerate(blocks):
         size = len(b["text"])
-        if b["never"] or b["link_chars"] > link_density * size:
+        if b["never"]:
             labels.append(False)
         elif b["article"] is not None:
-            labels.append(True)
+            labels.append(i not in menus)
+        elif b["link_chars"] > link_density * size:
+            labels.append(False)
         elif size < long_chars:
             labels.append(None)
         else:

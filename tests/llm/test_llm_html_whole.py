@@ -30,3 +30,18 @@ def test_inline_objects_hold_text():
     page = ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p><p><object>A map</object>of it</p>"
             "<p><canvas>A chart</canvas></p><noscript><p>A picture</p></noscript></article>")
     assert html_text.main_text(page) == "So x=1 here\nA map of it\nA chart\nA picture"
+
+
+def test_linked_text_of_an_article_stays():
+    link = "<a href=x>{}</a>".format
+    sources = "".join(f"<li>{link('The title of a work')} by {name}, 2001" for name in ("Ash", "Birch", "Cedar"))
+    titles = "".join(f"<li>{link(f'{LONG[:80]} {i}')}" for i in range(3))
+    page = (f"<article><h2>{link('Title')}</h2><p>See {link('the linked report of the year')}.</p><p>{LONG}</p>"
+            f"<ol>{sources}</ol><p>and</p><ul>{titles}</ul><p>End</p><ul>{''.join('<li>' + link(x) for x in 'One Two Three'.split())}</ul>"
+            f"</article><p>{link('More')}</p>")
+    want = ["Title", "See the linked report of the year.", LONG,
+            *(f"The title of a work by {name}, 2001" for name in ("Ash", "Birch", "Cedar")), "and",
+            *(f"{LONG[:80].strip()} {i}" for i in range(3)), "End"]
+    assert html_text.main_text(page) == "\n".join(want)
+    # one menu, and its blocks only
+    assert html_text.main_text(f"<article><p>{link('a')}</p><p>{link('b')}</p></article>") == "a\nb"

@@ -46,8 +46,14 @@ ella entre era eran los las más muy no o para pero por se sin sobre su sus tamb
 BLOCK_TAGS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select
 summary table tbody td tfoot th thead title tr ul""".split())
-CONTAINER_TAGS = frozenset("""article aside body button details dialog div dl fieldset figure footer form head header
-main menu nav ol section select table td th tr ul textarea""".split())
+CONTAINER_TAGS = frozenset("""address article aside blockquote body button center dd details dialog div dl dt fieldset
+figcaption figure footer form head header hgroup li main menu nav ol pre section select summary table tbody td tfoot th
+thead tr ul textarea""".split())
+# blocks that hold no other block: the next block tag ends them
+LEAF_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+# tags that the next of their kind ends, within the list they stand in
+ITEM_TAGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+LIST_TAGS = frozenset("dl menu ol ul".split())
 NEVER_TAGS = frozenset("nav aside footer form button select textarea fieldset dialog menu head".split())
 RAW_TAGS = ("script", "style")
 # parts without page text: dropped up to their close tag, or the tag alone if it has none
@@ -57,6 +63,8 @@ NEVER_NAMES = frozenset("""ad ads adbox adslot advert advertisement advertising
 commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation
 newsletter notice notices notification pager pagination popup privacy promo promoted related reply replies respond
 share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
+# of a paragraph, heading or span these tell the looks
+LEAF_NAMES = NEVER_NAMES - {"banner", "header", "masthead"}
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 # how much longer and denser a block beside an article must be to be content by itself
@@ -74,7 +82,7 @@ NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _never_by_attributes(attrs: str) -> bool:
+def _never_by_attributes(attrs: str, names=NEVER_NAMES) -> bool:
     for m in NAMED.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -83,7 +91,7 @@ def _never_by_attributes(attrs: str) -> bool:
             return True
         if key == "role" and value.lower() in NEVER_ROLES:
             return True
-        if key in ("class", "id") and any(p.lower() in NEVER_NAMES for p in NAME_PART.findall(value)):
+        if key in ("class", "id") and any(p.lower() in names for p in NAME_PART.findall(value)):
             return True
     return False
 
@@ -95,6 +103,7 @@ def page_blocks(page: str) -> list[dict]:
     stack: list[tuple[str, bool, int | None]] = []  # open containers: tag, never, article
     pieces: list[str] = []
     linked: list[str] = []
+    spans: list[bool] = []  # open spans of the block: never, or inside one
     in_link, articles, at = 0, 0, 0
 
     def flush():
@@ -105,9 +114,10 @@ def page_blocks(page: str) -> list[dict]:
             blocks.append({"text": text, "link_chars": len(link), "never": never, "article": article})
         pieces.clear()
         linked.clear()
+        spans.clear()
 
     def add(raw: str):
-        if raw:
+        if raw and not (spans and spans[-1]):
             raw = html_lib.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if in_link:
@@ -132,10 +142,28 @@ def page_blocks(page: str) -> list[dict]:
                     at = end.end()
                 else:
                     unclosed.add(tag)
+        elif tag == "span":
+            if not m["close"]:
+                spans.append((bool(spans) and spans[-1]) or _never_by_attributes(m["attrs"], LEAF_NAMES))
+            elif spans:
+                spans.pop()
         elif tag in BLOCK_TAGS or tag in CONTAINER_TAGS:
             flush()
             in_link = 0
-            if tag in CONTAINER_TAGS:
+            if stack and stack[-1][0] in LEAF_TAGS:
+                stack.pop()
+            if tag in LEAF_TAGS:
+                if not m["close"]:
+                    _, never, article = stack[-1] if stack else ("", False, None)
+                    stack.append((tag, never or _never_by_attributes(m["attrs"], LEAF_NAMES), article))
+            elif tag in CONTAINER_TAGS:
+                if tag in ITEM_TAGS and not m["close"]:
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] in ITEM_TAGS[tag]:
+                            del stack[i:]
+                            break
+                        if stack[i][0] in LIST_TAGS:
+                            break
                 if m["close"]:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == tag:

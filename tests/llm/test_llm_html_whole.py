@@ -45,3 +45,13 @@ def test_linked_text_of_an_article_stays():
     assert html_text.main_text(page) == "\n".join(want)
     # one menu, and its blocks only
     assert html_text.main_text(f"<article><p>{link('a')}</p><p>{link('b')}</p></article>") == "a\nb"
+
+
+def test_marked_blocks_and_spans_are_not_main_text():
+    page = (f"<article><h1 class=header>Title</h1><p class='ad'>{LONG}<p>One</p><blockquote class=comment><p>{LONG}</p>said</blockquote>"
+            f"<p>Two <span class=advert>Buy <span>now</span> all</span>and <span class=x>three</span></p><h3 class=related>More</h3>"
+            f"<ul><li hidden>no<ul><li>no</ul><li>Four<li style='display: none'><p>no</p></li><li>Five</ul><p>Six"
+            f"<pre class=notice>no</pre><p>Seven <span hidden>no<p>Eight</p><dl><dt id=ads>no<dd>Nine</dl></article>")
+    assert html_text.main_text(page) == "Title\nOne\nTwo and three\nFour\nFive\nSix\nSeven\nEight\nNine"
+    items = "<li>" * 20000
+    assert html_text.main_text(f"<article><p>a</p>{items}b</article>") == "a\nb"

@@ -18,8 +18,8 @@ Long lists and large components are split into chunks without losing a link
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing (their
 component is their own doc_id); with fewer words than a shingle the whole sequence is one;
 rows of one doc_id are separate texts under that id; null doc_id counts only where a
-component has no other, then component_id is null and ``kept`` true; an empty table gives no
-rows; other columns are ignored.
+component has no other, then component_id is null and ``kept`` true (``drop_near_duplicates``
+leaves one row of such a component too); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,8 +122,13 @@ class SetLinker(Linker):
         return 100 * shared >= self.percent * union
 
 
+def text_hash() -> Column:
+    """64 bits of a text; 32 would not tell many rows without a doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def document_signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, text_crc, n_shingles, node, check, signature); node and check are the set's
+    """Rows (doc_id, text_hash, n_shingles, node, check, signature); node and check are the set's
     fingerprint."""
     def run(batches):
         for batch in batches:
@@ -137,11 +142,10 @@ def document_signatures(docs: DataFrame, size: int) -> DataFrame:
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
                      pa.ListArray.from_arrays(offsets, pa.array(sigs))],
-                    names=["doc_id", "text_crc", "n_shingles", "node", "check", "signature"])
+                    names=["doc_id", "text_hash", "n_shingles", "node", "check", "signature"])
 
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc.alias("text_crc")), run,
-                       "doc_id long, text_crc long, n_shingles long, node long, check long, signature array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")), run,
+                       "doc_id long, text_hash long, n_shingles long, node long, check long, signature array<int>")
 
 
 def prefix_postings(classes: DataFrame, threshold: int) -> DataFrame:
@@ -158,11 +162,11 @@ def prefix_postings(classes: DataFrame, threshold: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("p", 1, F.size("p") - (threshold - 1))).alias("p")).select("p.g", "node")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chunk: int = LIST_CHUNK,
-                    set_chunk: int = SET_CHUNK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id
-    connected by links of at least ``percent`` per cent Jaccard similarity), kept and
-    text_crc (crc32 of the text, which tells rows of one doc_id apart)."""
+def labelled(docs: DataFrame, size: int, percent: int, list_chunk: int = LIST_CHUNK,
+             set_chunk: int = SET_CHUNK) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash (which tells rows of one doc_id
+    apart), n_shingles, label (a number of the row's component, null for an empty set) and
+    component_id (the component's smallest doc_id)."""
     # the heavy joins are pinned to sort-merge, so that the plan (with its skew splitting) is the
     # same at every size and nothing is broadcast because it looks small
     ship_package(docs.sparkSession)
@@ -210,21 +214,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chun
     by_class = classes.select("node", "check", "first_doc").join(confirmed, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     smallest = by_class.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    component = by_class.join(smallest, "label").select("node", "check", "component_id")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component = by_class.join(smallest, "label").select("node", "check", "label", "component_id")
+    filled = F.col("n_shingles") > 0
     return (signed.drop("signature").join(component, ["node", "check"], "left")
-            .select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_crc"))
+            .select("doc_id", "text_hash", "n_shingles", F.when(filled, F.col("label")).alias("label"),
+                    F.when(filled, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_chunk: int = LIST_CHUNK,
+                    set_chunk: int = SET_CHUNK) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id
+    connected by links of at least ``percent`` per cent Jaccard similarity) and kept."""
+    return labelled(docs, size, percent, list_chunk, set_chunk).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of the smallest doc_id.
-    Of rows with equal doc_id and text one stays."""
-    kept = near_duplicates(docs, size, percent).filter("kept").select(
-        F.col("doc_id").alias("__ll_id"), F.col("text_crc").alias("__ll_crc")).distinct()
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    first = W.partitionBy("doc_id", "__ll_crc").orderBy(F.xxhash64(*docs.columns))
-    named = docs.withColumn("__ll_crc", crc).join(
-        kept.withColumnRenamed("__ll_crc", "__ll_kept"),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__ll_id")) & (F.col("__ll_crc") == F.col("__ll_kept")),
-        "left_semi")
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id (null
+    last), among rows of that doc_id the one of the smallest text hash. Rows without words are
+    linked with nothing; of those with equal doc_id and text one stays."""
+    alone = F.col("label").isNull()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__ll_id"),
+                     F.col("text_hash").alias("__ll_kept"))
+    kept = (labelled(docs, size, percent)
+            .groupBy("label", F.when(alone, F.col("doc_id")).alias("id"), F.when(alone, F.col("text_hash")).alias("hash"))
+            .agg(F.min(order).alias("first")).select("first.__ll_id", "first.__ll_kept"))
+    first = W.partitionBy("doc_id", "__ll_hash").orderBy(F.xxhash64(*docs.columns))
+    named = docs.withColumn("__ll_hash", text_hash()).join(
+        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__ll_id")) & (F.col("__ll_hash") == F.col("__ll_kept")), "left_semi")
     return named.withColumn("__ll_no", F.row_number().over(first)).filter("__ll_no = 1").select(*docs.columns)

@@ -44,7 +44,8 @@ MULTIPLIERS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 
 
 def match_threshold(percent: int) -> int:
-    """Collisions below which a pair of the similarity asked for falls once in a million."""
+    """Collisions below which a pair of the similarity asked for falls 4.2 times in a million (at 80
+    per cent, exact binomial for independent coordinates; such a pair is not confirmed)."""
     s = percent / 100
     return max(1, math.floor(K * s - 4.7 * math.sqrt(K * s * (1 - s))))
 

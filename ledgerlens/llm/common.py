@@ -32,6 +32,11 @@ def words(text: Column) -> Column:
                   F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
+def text_hash() -> Column:
+    """64 bits of a text, which tell the rows of one doc_id (or of none) apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -28,11 +28,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship_package, stored
+from .common import map_batches, ship_package, stored, text_hash
 from .components import Linker, connected, link
 from .hashing import WINDOW_BASES, Prefix, Words, mix, text_batches
 
@@ -123,11 +123,6 @@ class SetLinker(Linker):
         return 100 * shared >= self.percent * union
 
 
-def text_hash() -> Column:
-    """64 bits of a text; 32 would not tell many rows without a doc_id apart."""
-    return F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
-
-
 def document_signatures(docs: DataFrame, size: int) -> DataFrame:
     """Rows (doc_id, text_hash, n_shingles, node, check, signature); node and check are the set's
     fingerprint."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, words
+from .common import broadcast_if_small, stored, text_hash, words
 
 BUCKET_BLOCKS = 4096
 
@@ -166,8 +166,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int
     count = F.size(words(F.col("text"))).cast("long")
     n_blocks = (F.when(F.col("size") > 0, F.lit(1)).otherwise(0) if block_words is None
                 else F.ceil(F.col("size") / block_words)).cast("long")
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    base = stored(docs.select("doc_id", "source", count.alias("size"), crc.alias("text_crc"))
+    base = stored(docs.select("doc_id", "source", count.alias("size"), text_hash().alias("text_hash"))
                   .withColumn("row_no", F.monotonically_increasing_id()))
     sources = stored(source_targets(base, weights, max_repeats, n_blocks))
     sources_side = broadcast_if_small(sources)
@@ -176,7 +175,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int
     n_all = sources.agg(F.coalesce(F.sum("source_blocks"), F.lit(0)).alias("n")).first()["n"]
     n_buckets = max(1, -(-n_all // BUCKET_BLOCKS))
     per_block = block_words or 2 ** 62
-    key = F.xxhash64(F.lit(seed), "doc_id", "sid", "size", "block_no")
+    key = F.xxhash64(F.lit(seed), "doc_id", "sid", "size", "text_hash", "block_no")
     blocks = (sizes.filter("size > 0")
               .withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
               .withColumn("key", key)
@@ -220,7 +219,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int
     local = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "sid", "draw"), "sid", "draw")
     draws = draws.withColumn("position", F.row_number().over(local)).select(
         "shard", "position", "row_no", "doc_id", "pass_no", "block_no", "word_start", "n_words")
-    return Mix(sizes.select("row_no", "doc_id", "text_crc", "source", "size", "source_size", "target"), draws, shards)
+    return Mix(sizes.select("row_no", "doc_id", "text_hash", "source", "size", "source_size", "target"), draws, shards)
 
 
 def taken_words(m: Mix) -> DataFrame:
@@ -236,13 +235,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     """The mix as documents: rows of ``docs``, whole, as often as drawn, dealt by output shard
     and in each shard's shuffled order. Rows of equal doc_id and text stand for each other."""
     m = mix(docs, weights, max_repeats, None, shard_blocks, seed)
-    drawn = (m.draws.select("row_no", "shard", "position").join(m.sizes.select("row_no", "doc_id", "text_crc"), "row_no")
-             .groupBy(F.col("doc_id").alias("__ll_id"), F.col("text_crc").alias("__ll_crc"))
+    drawn = (m.draws.select("row_no", "shard", "position").join(m.sizes.select("row_no", "doc_id", "text_hash"), "row_no")
+             .groupBy(F.col("doc_id").alias("__ll_id"), F.col("text_hash").alias("__ll_hash"))
              .agg(F.collect_list(F.struct("shard", "position")).alias("__ll_places")))
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     one = W.partitionBy("doc_id", "__ll_text").orderBy(F.xxhash64(*docs.columns))
-    rows = (docs.withColumn("__ll_text", crc)
-            .join(drawn, F.col("doc_id").eqNullSafe(F.col("__ll_id")) & (F.col("__ll_text") == F.col("__ll_crc")))
+    rows = (docs.withColumn("__ll_text", text_hash())
+            .join(drawn, F.col("doc_id").eqNullSafe(F.col("__ll_id")) & (F.col("__ll_text") == F.col("__ll_hash")))
             .withColumn("__ll_no", F.row_number().over(one)).filter("__ll_no = 1"))
     placed = rows.withColumn("__ll_place", F.explode("__ll_places"))
     order = [F.col("__ll_place.shard"), F.col("__ll_place.position")]

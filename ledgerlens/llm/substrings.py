@@ -28,7 +28,6 @@ an extra column called spans, n_words or n_removed is replaced.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, map_batches, ship_package, stored
+from .common import WORD, map_batches, ship_package, stored, text_hash
 from .hashing import WINDOW_BASES, Prefix, Words, text_batches
 
 BATCH_BYTES = 1_000_000
 BUCKET_CHARS = 8_000_000
 NO_ID = 2 ** 63 - 1
 WORD_RUN = re.compile(WORD)
-ENTRY_FIELDS = (("anchor", np.uint64), ("run", np.uint64), ("doc", np.int64), ("text_crc", np.int64),
+ENTRY_FIELDS = (("anchor", np.uint64), ("run", np.uint64), ("doc", np.int64), ("text_hash", np.int64),
                 ("first", np.int32), ("more", np.int32), ("multi", np.int8))
 SINGLE, REPEAT, COMPARE = 0, 1, 2
 
@@ -57,7 +56,7 @@ def window_runs(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
     n = len(words)
     at = np.arange(n - gram + 1)
-    grams = Prefix(words.hash, WINDOW_BASES[1]).stretch(at, at + gram)
+    grams = Prefix(words.second, WINDOW_BASES[1]).stretch(at, at + gram)
     span = n - window + 1
     smallest, shift = grams[:span].copy(), np.zeros(span, np.int8)
     for s in range(1, window - gram + 1):
@@ -98,7 +97,7 @@ def sort_runs(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
 
 
 def _repeat_runs(docs: DataFrame, window: int, gram: int, n_buckets: int) -> DataFrame:
-    """Rows (kind, doc, text_crc, first, more): runs that are repeats as a whole, and runs to
+    """Rows (kind, doc, text_hash, first, more): runs that are repeats as a whole, and runs to
     compare window by window; ``more`` windows follow the first."""
     names = [name for name, _ in ENTRY_FIELDS]
     kinds = dict(ENTRY_FIELDS)
@@ -116,15 +115,14 @@ def _repeat_runs(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
 
     def find(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, texts in text_batches(batch.column(1), BATCH_BYTES):
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, b, texts in text_batches(batch.column(2), BATCH_BYTES):
                 words = Words(texts)
                 anchor, run, first, last = window_runs(words, window, gram)
                 if not len(anchor):
                     continue
                 text = words.text[first]
-                crc = np.array([zlib.crc32(t) for t in texts], np.int64)
-                e = {"anchor": anchor, "run": run, "doc": ids[a:b][text], "text_crc": crc[text],
+                e = {"anchor": anchor, "run": run, "doc": ids[a:b][text], "text_hash": hashes[a:b][text],
                      "first": first - words.first[text], "more": last - first, "multi": np.zeros(len(anchor), np.int8)}
                 e, repeat, several = sort_runs(e)
 
@@ -163,27 +161,27 @@ def _repeat_runs(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
                 label = np.full(len(e["doc"]), k)
             keep = label != SINGLE
             out.append(pa.table({"kind": pa.array(label[keep].astype(np.int32)), "doc": e["doc"][keep],
-                                 "text_crc": e["text_crc"][keep], "first": e["first"][keep], "more": e["more"][keep]}))
+                                 "text_hash": e["text_hash"][keep], "first": e["first"][keep], "more": e["more"][keep]}))
         return pa.concat_tables(out) if out else pa.table(
-            {"kind": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "text_crc": pa.array([], pa.int64()),
+            {"kind": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()),
              "first": pa.array([], pa.int32()), "more": pa.array([], pa.int32())})
 
-    entries = map_batches(docs.select("_doc", "text"), find,
+    entries = map_batches(docs.select("_doc", "_hash", "text"), find,
                           "kind int, bucket int, " + ", ".join(f"{k} binary" for k in names))
-    return entries.groupBy("bucket").applyInArrow(decide, "kind int, doc long, text_crc long, first int, more int")
+    return entries.groupBy("bucket").applyInArrow(decide, "kind int, doc long, text_hash long, first int, more int")
 
 
 def _repeat_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """Rows (doc, text_crc, first): windows of the runs to compare that also start earlier."""
-    wanted = runs.groupBy("doc", "text_crc").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
-    picked = docs.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_crc") == F.col("text_crc"))).select(
-        "doc", "text_crc", "text", F.col("runs.first").alias("first"), F.col("runs.more").alias("more"))
+    """Rows (doc, text_hash, first): windows of the runs to compare that also start earlier."""
+    wanted = runs.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
+    picked = docs.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_hash") == F.col("text_hash"))).select(
+        "doc", "text_hash", "text", F.col("runs.first").alias("first"), F.col("runs.more").alias("more"))
 
     def hash_windows(batches):
         for batch in batches:
             for a, b, texts in text_batches(batch.column(2), BATCH_BYTES):
                 words = Words(texts)
-                sums = [Prefix(words.hash, base) for base in WINDOW_BASES]
+                sums = [Prefix(h, base) for h, base in zip((words.hash, words.second), WINDOW_BASES)]
                 row, at = [], []
                 for i in range(a, b):
                     first = np.array(batch.column(3)[i].as_py(), np.int64)
@@ -198,13 +196,13 @@ def _repeat_windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)),
-                     pa.array(h1), pa.array(h2)], names=["doc", "text_crc", "first", "h1", "h2"])
+                     pa.array(h1), pa.array(h2)], names=["doc", "text_hash", "first", "h1", "h2"])
 
-    windows = stored(map_batches(picked, hash_windows, "doc long, text_crc long, first int, h1 long, h2 long"))
+    windows = stored(map_batches(picked, hash_windows, "doc long, text_hash long, first int, h1 long, h2 long"))
     earliest = (windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "first")).alias("lead"), F.count(F.lit(1)).alias("n"))
                 .filter("n > 1").select("h1", "h2", "lead"))
     return (windows.join(earliest, ["h1", "h2"]).filter(F.struct("doc", "first") != F.col("lead"))
-            .select("doc", "text_crc", "first"))
+            .select("doc", "text_hash", "first"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -225,16 +223,16 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n_buckets = max(16, chars // BUCKET_CHARS)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    keyed = docs.select(doc.alias("_doc"), crc.alias("_crc"), "text")
+    named = text_hash()
+    keyed = docs.select(doc.alias("_doc"), named.alias("_hash"), "text")
     runs = stored(_repeat_runs(keyed, window, gram, n_buckets))
     windows = _repeat_windows(keyed, runs.filter(F.col("kind") == COMPARE), window)
     # internal names that no input column should have
-    repeats = (runs.filter(F.col("kind") == REPEAT).select("doc", "text_crc", "first", "more")
+    repeats = (runs.filter(F.col("kind") == REPEAT).select("doc", "text_hash", "first", "more")
                .unionByName(windows.withColumn("more", F.lit(0)))
-               .groupBy(F.col("doc").alias("__ll_doc"), F.col("text_crc").alias("__ll_crc"))
+               .groupBy(F.col("doc").alias("__ll_doc"), F.col("text_hash").alias("__ll_hash"))
                .agg(F.collect_list(F.struct("first", "more")).alias("__ll_repeats")))
-    joined = docs.withColumns({"__ll_doc": doc, "__ll_crc": crc}).join(repeats, ["__ll_doc", "__ll_crc"], "left")
+    joined = docs.withColumns({"__ll_doc": doc, "__ll_hash": named}).join(repeats, ["__ll_doc", "__ll_hash"], "left")
     joined = joined.select(*docs.columns, F.col("__ll_repeats.first").alias("__ll_first"),
                            F.col("__ll_repeats.more").alias("__ll_more"))
     columns = docs.columns

@@ -7,11 +7,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, classifier, html_text, language, minhash, mixing, nearest, quality_rules, substrings
-from .common import read_table, words
+from . import (alignment, bpe, chat, classifier, divergence, html_text, language, minhash, mixing, nearest,
+               ngram_join, quality_rules, substrings)
+from .common import read_table, stored, words
 from .oracle import ORACLE  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def held_out() -> Column:
@@ -88,6 +90,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return divergence.audit(docs, min_docs=10, top_terms=10)
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = stored(alignment.align(docs, TOKENIZER, PIECE_MODEL))
+    linked = alignment.link_strength(aligned, alignment.link_counts(aligned))
+    return alignment.group_digests(linked).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs, size=5, percent=80)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -99,4 +119,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }

@@ -7,13 +7,15 @@ from .quality_rules import SKETCH_ERROR, SLACK
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
-# 1: distinct 4-word shingles, links by shared shingles, labels spread until they rest
-NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (
+# 1 and 13
+def _near_duplicates(size: int) -> str:
+    """Distinct word shingles, links by shared shingles, labels spread until they rest."""
+    return f"""WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ')
-                               ELSE array_to_string(w[i:i + 3], ' ') END AS shingle
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {size} THEN array_to_string(w, ' ')
+                               ELSE array_to_string(w[i:i + {size - 1}], ' ') END AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
@@ -26,10 +28,14 @@ reach AS (
   SELECT doc_id, doc_id AS seen FROM documents
   UNION
   SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.seen)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.seen) AS component_id, d.doc_id = min(r.seen) AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.seen) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.doc_id = d.doc_id
 GROUP BY d.doc_id, n.n"""
 
+
+NEAR_DUPLICATES = f"SELECT *, doc_id = component_id AS kept FROM ({_near_duplicates(4)})"
+NGRAM_JOIN = _near_duplicates(5)
+
 # 3: inner products in double, all pairs
 NEAREST = """WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -150,10 +156,47 @@ b AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND n_broken = 0 AS kept, n_broken AS n_broken_rules FROM b"""
 
+# 11: shares and divergences of kept terms, all pairs of a language's sources
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+DIVERGENCE = f"""WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY 1),
+n AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+gt AS (SELECT g.lang, g.source, coalesce(sum(n.n), 0)::HUGEINT AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY 1, 2),
+lt AS (SELECT lang, sum(total)::HUGEINT AS total FROM gt GROUP BY 1),
+p AS (
+  SELECT gt.lang, gt.source, kept.term, coalesce(n.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (gt.total + 2 * v.v) AS p
+  FROM gt JOIN kept USING (lang) JOIN v USING (lang)
+  LEFT JOIN n ON n.lang = gt.lang AND n.source = gt.source AND n.term = kept.term),
+q AS (
+  SELECT n.lang, n.term, 1 + (1000000000::HUGEINT * (sum(n.n)::HUGEINT + 2)) // (any_value(lt.total) + 2 * any_value(v.v)) AS q
+  FROM n JOIN lt USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
 ORACLE = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
     "op3_nearest_neighbours": NEAREST,
     "op5_chat_formatting": CHAT,
     "op6_substring_dedup": SUBSTRINGS,
     "op8_quality_rules": QUALITY_RULES,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_ngram_jaccard_join": NGRAM_JOIN,
 }

@@ -24,6 +24,7 @@ from ..operators.filters import SalesFilter
 from ..sources import storage
 from ..sources.fixtures import product_codes
 from ..sources.load import product_categories
+from ..schema import OPTIONAL_COLUMNS, SOURCE_NAMES
 from ..session import configure
 
 # Parameters of the registered filter queries. The date range, types and status are
@@ -159,6 +160,68 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_output(storage.read_snapshot(spark, snapshot, storage.SNAPSHOT_COLUMNS))
 
 
+# Headers of a sales sheet, and how the registered refresh queries change its exports.
+DISPLAY_NAMES = {c: name for name, c in {**SOURCE_NAMES, **OPTIONAL_COLUMNS}.items()}
+
+
+def refresh_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S7: three exports of all invoices, their columns in different orders under display
+    and own names, one without the colour, one with a column nobody knows; the snapshot."""
+    from ..session import scratch_dir
+    from ..streaming.refresh import refresh_snapshot
+    configure(spark)
+    base = scratch_dir(spark, "headers")
+    lines, third = sources.sales_lines(spark, sf_dir), F.col("invoice_no") % 3
+    names = lines.columns
+    shapes = [[F.col(c) for c in reversed(names)],
+              [F.col(c).alias(DISPLAY_NAMES[c]) for c in names if c != "colour"],
+              [F.col(c) for c in names[7:]] + [F.lit("x").alias("Shelf")] + [F.col(c).alias(DISPLAY_NAMES[c]) for c in names[:7]]]
+    for i, shape in enumerate(shapes):
+        storage.export_csv(lines.where(third == i).select(*shape), f"{base}/incoming/batch-{i}")
+    refresh_snapshot(spark, f"{base}/incoming", f"{base}/snapshot", f"{base}/checkpoint", sources.categories(spark, sf_dir))
+    return row_output(storage.read_snapshot(spark, f"{base}/snapshot", storage.SNAPSHOT_COLUMNS))
+
+
+def _corrected(lines: DataFrame) -> DataFrame:
+    """An export as it is written again: lines removed, changed and doubled."""
+    kept = lines.where("invoice_no % 10 <> 1").withColumn(
+        "qty", F.when(F.col("invoice_no") % 10 == 2, F.col("qty") + 1).otherwise(F.col("qty")))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("invoice_no") % 10 == 3, 2).otherwise(1)))).drop("_copy")
+
+
+def refresh_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the invoices as the base, the others as two exports, of which the first is
+    written again with lines removed, changed and doubled; the snapshot after the refresh."""
+    from ..session import scratch_dir
+    from ..streaming.refresh import refresh_snapshot
+    configure(spark)
+    base = scratch_dir(spark, "corrections")
+    lines, cats = sources.sales_lines(spark, sf_dir), sources.categories(spark, sf_dir)
+    third, snapshot = F.col("invoice_no") % 3, f"{base}/snapshot"
+    storage.write_snapshot(sources.with_category(sources.clean_sales(lines.where(third == 0)), cats), snapshot)
+    for batch in (1, 2):
+        storage.export_csv(lines.where(third == batch), f"{base}/incoming/batch-{batch}")
+    refresh_snapshot(spark, f"{base}/incoming", snapshot, f"{base}/checkpoint", cats)
+    storage.export_csv(_corrected(lines.where(third == 1)), f"{base}/incoming/batch-1")
+    refresh_snapshot(spark, f"{base}/incoming", snapshot, f"{base}/checkpoint", cats)
+    return row_output(storage.read_snapshot(spark, snapshot, storage.SNAPSHOT_COLUMNS))
+
+
+def snapshot_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S4: the table appended in eight batches, small parts merged by twos after each; the lines,
+    and whether the parts are fewer than the batches."""
+    from ..session import scratch_dir
+    from ..sources.compaction import compact
+    configure(spark)
+    path = scratch_dir(spark, "compaction")
+    lines = sources.with_category(sources.clean_sales(sources.sales_lines(spark, sf_dir)), sources.categories(spark, sf_dir))
+    for batch in range(8):
+        storage.append_part(lines.where(F.col("invoice_no") % 8 == batch), path, ("batches", batch))
+        compact(spark, path, fan_in=2)
+    merged = len(storage.read_manifest(spark, path)["parts"]) < 8
+    return row_output(storage.read_snapshot(spark, path, storage.SNAPSHOT_COLUMNS)).withColumn("merged", F.lit(merged))
+
+
 def _demand_gbt(sales: DataFrame) -> DataFrame:
     """The panel is every product with enough history; the top ones are shown."""
     return FG.demand_forecast(S.demand_series(sales, None), HORIZON, S.top_demand_products(sales, TOP_N))
@@ -208,6 +271,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_roundtrip": snapshot_roundtrip,
     "export_roundtrip": export_roundtrip,
     "incremental_refresh": incremental_refresh,
+    "refresh_by_header": refresh_by_header,
+    "refresh_corrections": refresh_corrections,
+    "snapshot_compaction": snapshot_compaction,
     # J1
     "sales_by_category": _on_sales(sales_by_category),
     # filters

@@ -166,6 +166,14 @@ SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no, CAST(price AS DOUBL
   {_DERIVED_ROW}
 FROM s""",
     "incremental_refresh": _q(f"SELECT {ROW_OUT} FROM sales"),
+    # exports are text: without a base, invoice numbers stay text
+    "refresh_by_header": _q(f"""SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no,
+  CASE WHEN invoice_no % 3 = 1 THEN NULL ELSE colour END AS colour) FROM (SELECT {ROW_OUT} FROM sales)"""),
+    "refresh_corrections": _q(f"""SELECT * EXCLUDE (copy) REPLACE (
+  CASE WHEN invoice_no % 3 = 1 AND invoice_no % 10 = 2 THEN qty + 1 ELSE qty END AS qty)
+FROM (SELECT {ROW_OUT}, unnest(range(CASE WHEN invoice_no % 3 <> 1 THEN 1 WHEN invoice_no % 10 = 1 THEN 0
+                                          WHEN invoice_no % 10 = 3 THEN 2 ELSE 1 END)) AS copy FROM sales)"""),
+    "snapshot_compaction": _q(f"SELECT {ROW_OUT}, true AS merged FROM sales"),
     "sales_by_category": _q("""SELECT product_category, count(*) AS lines,
   CAST(sum(total_price) AS DOUBLE) AS revenue FROM sales GROUP BY product_category"""),
     **{name: _q(f"SELECT {ROW_OUT} FROM sales WHERE {cond}")

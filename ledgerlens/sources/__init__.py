@@ -40,15 +40,17 @@ def sales(spark: SparkSession, sf_dir: str, enrich: bool = True) -> DataFrame:
     """The analysis table for a data folder.
 
     A fresh snapshot (see ``storage``) is read when one exists for this
-    folder; otherwise the table is built lazily from the source tables.
+    folder; otherwise the table is built lazily from the source tables, and the
+    lines of exports appended to the snapshot are added to it.
     """
     configure(spark)
-    from .storage import fresh_snapshot  # local import: storage imports this module
+    from .storage import fresh_snapshot, with_appended  # local import: storage imports this module
     snap = fresh_snapshot(spark, sf_dir)
     if snap is not None:
         return snap
     typed = clean_sales(sales_lines(spark, sf_dir))
-    return join_category(typed, category_lookup(spark, sf_dir)) if enrich else typed
+    attach = (lambda df: join_category(df, category_lookup(spark, sf_dir))) if enrich else (lambda df: df)
+    return with_appended(spark, sf_dir, attach(typed), attach)
 
 
 def sales_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

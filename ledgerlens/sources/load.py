@@ -52,9 +52,23 @@ def clean_sales(df: DataFrame) -> DataFrame:
     return df
 
 
+def clean_export_text(df: DataFrame) -> DataFrame:
+    """``clean_sales`` over every known column: one that no file of a batch has counts as null (an
+    amount then as 0), as it would next to files that have it."""
+    known = EXPECTED_COLUMNS + list(OPTIONAL_COLUMNS.values())
+    absent = [c for c in known if c not in df.columns]
+    return clean_sales(df.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else df)
+
+
 def read_sales(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """Read a sales export. CSV is read as all-text (no schema inference), by default with
-    the options that ``storage.export_csv`` writes with."""
+    the options that ``storage.export_csv`` writes with and each file by its own header; with
+    other options Spark's reader takes the first file's header for all."""
+    if fmt == "csv" and not options:
+        from .exports import drift, list_exports, read_csv_exports
+        files = list_exports(spark, path)
+        if files:
+            return clean_sales(read_csv_exports(spark, drift(spark, files)))
     if fmt == "csv":
         from .storage import CSV_READ_OPTIONS, unguard_null_marker
         raw = unguard_null_marker(spark.read.options(**{**CSV_READ_OPTIONS, **options}).csv(path))

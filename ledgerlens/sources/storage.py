@@ -2,15 +2,16 @@
 
 A snapshot is a folder in the cluster's shared checkpoint folder:
 
-* ``data/part=<name>/year=<y>/``: parts of the table, each written once and never changed;
-  a build writes a new base part, a refresh adds one part per stream batch.
-* ``manifests/<time>-<id>.json``: published by an atomic rename after a part is committed.
-  The newest one names the parts that make up the table, with their file counts and sizes,
-  the table's schema, and the state of the source files when the base was built.
-
-Readers follow the newest manifest only, so half-written parts are never read and a rebuild
-does not disturb a reader. The snapshot is fresh when every source file is as the manifest
-recorded it; appended parts do not touch that record. One writer per snapshot at a time.
+* ``data/part=<name>/year=<y>/``: parts of the table, each written once and never changed.
+* ``lineage/part=<name>/``: for a part made of exports, which ones, as they were.
+* ``removals/part=<name>/``: hashes of lines that corrected exports no longer hold, with the
+  parts they are taken out of (``corrections``).
+* ``manifests/``: versions that name what makes up the table (``manifest``).
+
+The base part is built from the source tables and belongs to them: when they change, only it is
+built again. All other parts were made of export files and stay, whatever happens to the
+base. Readers follow the newest version only, so half-written parts are never read and writers
+do not disturb readers or each other.
 """
 
 from __future__ import annotations
@@ -19,22 +20,32 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DERIVED_COLUMNS, SALES_SCHEMA
 from ..session import configure, scratch_dir, shared_root
+from .exports import EXPORT, states
 from .fixtures import PRODUCT_SOURCE_TABLES, SALES_SOURCE_TABLES, table_paths
+from .manifest import commit, file_system, forget_versions, read_manifest, retire
 
-# Bump when the cleaned table's definition changes, so old snapshots are ignored.
-SNAPSHOT_VERSION = 2
+# Bump when the cleaned table's definition or layout changes, so old snapshots are ignored.
+SNAPSHOT_VERSION = 3
 
 # Column order of the cleaned, enriched table (``year`` is the partition column).
 SNAPSHOT_COLUMNS = [f.name for f in SALES_SCHEMA.fields] + DERIVED_COLUMNS + ["product_category"]
 
+# A line's identity in parts made of exports: its file and 128 bits of its values.
+HASHES = ("_h1", "_h2")
+IDENTITY = (EXPORT, *HASHES)
+IDENTITY_SCHEMA = T.StructType([T.StructField(EXPORT, T.StringType())] + [T.StructField(c, T.LongType()) for c in HASHES])
+# ``as_of`` is the version the state was recorded in, null for the part's own
+LINEAGE_SCHEMA = "export string, mtime long, bytes long, files long, absent array<string>, unknown array<string>, as_of long"
+
 
 def snapshot_path(spark: SparkSession, sf_dir: str) -> str:
     key = hashlib.sha1(f"{sf_dir.rstrip('/')}|v{SNAPSHOT_VERSION}".encode()).hexdigest()[:16]
@@ -43,18 +54,13 @@ def snapshot_path(spark: SparkSession, sf_dir: str) -> str:
 
 # --- files --------------------------------------------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def path_state(spark: SparkSession, path: str) -> dict | None:
     """Modification time (epoch ms), file count and bytes of a file or folder; None when absent.
 
     Two calls to the file system; no job and no file is opened. A folder's own time changes
     when files come or go; a file rewritten in place shows by its size.
     """
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     try:
         summary = fs.getContentSummary(p)
         return {"mtime": fs.getFileStatus(p).getModificationTime(),
@@ -71,130 +77,205 @@ def last_modified(spark: SparkSession, paths: list[str]) -> float:
     return max((s["mtime"] for s in states), default=0) / 1000
 
 
-# --- manifests ------------------------------------------------------------------
-
-def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    """The newest published manifest of a snapshot, or None."""
-    fs, folder = _fs(spark, f"{path}/manifests")
-    try:
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    except Py4JJavaError as e:
-        if "FileNotFoundException" in str(e.java_exception):
-            return None
-        raise
-    names = sorted(n for n in names if n.endswith(".json") and not n.startswith(("_", ".")))
-    if not names:
-        return None
-    stream = fs.open(_fs(spark, f"{path}/manifests/{names[-1]}")[1])
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    manifest = {**manifest, "published_at": int(time.time() * 1000)}
-    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json"
-    fs, final = _fs(spark, f"{path}/manifests/{name}")
-    _, temporary = _fs(spark, f"{path}/manifests/_{name}.tmp")
-    out = fs.create(temporary)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    if not fs.rename(temporary, final):
-        raise RuntimeError(f"could not publish the snapshot manifest {final}")
-
+# --- parts ----------------------------------------------------------------------
 
-def _part_path(path: str, name: str) -> str:
-    return f"{path}/data/part={name}"
+def part_path(path: str, name: str, kind: str = "data") -> str:
+    return f"{path}/{kind}/part={name}"
 
 
-def _complete(spark: SparkSession, path: str, manifest: dict) -> bool:
+def _complete(spark: SparkSession, path: str, parts: list[dict]) -> bool:
     """Every part is there with the files and bytes it was published with."""
-    for part in manifest["parts"]:
-        state = path_state(spark, _part_path(path, part["name"]))
+    for part in parts:
+        state = path_state(spark, part_path(path, part["name"]))
         if state is None or (state["files"], state["bytes"]) != (part["files"], part["bytes"]):
             return False
     return True
 
 
-def _write_part(df: DataFrame, path: str, name: str) -> dict:
+def line_hashes(df: DataFrame) -> list[Column]:
+    """128 bits of a line's source values, nulls told apart from empty values."""
+    columns = [f.name for f in SALES_SCHEMA.fields if f.name in df.columns]
+    values = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in enumerate(HASHES)]
+
+
+def write_part(df: DataFrame, path: str, name: str) -> dict:
     """Write one part, partitioned by year for date-range pruning.
 
     The ``rebalance`` hint clusters rows by year before the write, and AQE splits a big year
     over several tasks and merges small ones, so each task writes about one advisory-size
     file. Within a task rows are sorted by invoice date, so row groups carry narrow date
-    ranges. Overwriting makes a replay of the same batch write the same part again.
+    ranges. Names are new for every attempt: nothing under a reader is overwritten.
     """
-    spark, target = df.sparkSession, _part_path(path, name)
+    spark, target = df.sparkSession, part_path(path, name)
     if "year" in df.columns:
         order = ["year", "invoice_date"] if "invoice_date" in df.columns else ["year"]
         (df.hint("rebalance", "year").sortWithinPartitions(*order)
-         .write.mode("overwrite").partitionBy("year").parquet(target))
+         .write.partitionBy("year").parquet(target))
     else:
-        df.write.mode("overwrite").parquet(target)
+        df.write.parquet(target)
     state = path_state(spark, target)
     return {"name": name, "rows": spark.read.schema(df.schema).parquet(target).count(),
             "files": state["files"], "bytes": state["bytes"]}
 
 
+def table_schema(manifest: dict) -> T.StructType:
+    return T.StructType.fromJson(manifest["schema"])
+
+
+def as_table(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` in the columns and types of a table; each line's file stays if it is known."""
+    fields = [*schema.fields, *([IDENTITY_SCHEMA[EXPORT]] if EXPORT in df.columns else [])]
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in fields])
+
+
+def read_parts(spark: SparkSession, path: str, manifest: dict, parts: list[dict], identity: bool = False) -> DataFrame:
+    """The rows of some parts without those that were taken out again; with ``identity`` also
+    each line's file and hashes (null in the base)."""
+    schema = table_schema(manifest)
+    stored = T.StructType(list(schema.fields) + list(IDENTITY_SCHEMA.fields))
+    wanted = [*schema.names, *(IDENTITY if identity else ())]
+    groups: dict[tuple[str, ...], list[dict]] = {}
+    for part in parts:
+        taken = tuple(r["name"] for r in manifest.get("removals", []) if part["name"] in r["parts"])
+        groups.setdefault(taken, []).append(part)
+    tables = []
+    for taken, members in groups.items():
+        rows = (spark.read.schema(stored).option("basePath", f"{path}/data")
+                .parquet(*[part_path(path, p["name"]) for p in members]))
+        if taken:
+            # a removal holds for the parts it names only, so later copies of a line stay
+            gone = spark.read.schema(IDENTITY_SCHEMA).parquet(*[part_path(path, name, "removals") for name in taken]).distinct()
+            rows = rows.join(gone, list(IDENTITY), "left_anti")
+        tables.append(rows.select(*wanted))
+    if not tables:
+        return spark.createDataFrame([], T.StructType([f for f in stored.fields if f.name in wanted]))
+    df = tables[0]
+    for other in tables[1:]:
+        df = df.unionByName(other)
+    return df
+
+
+def base_parts(manifest: dict) -> list[dict]:
+    return [p for p in manifest["parts"] if p["kind"] == "base"]
+
+
+def export_parts(manifest: dict) -> list[dict]:
+    return [p for p in manifest["parts"] if p["kind"] != "base"]
+
+
 def write_snapshot(df: DataFrame, path: str, sources: list[str] | None = None) -> str:
     """Write the cleaned table as the snapshot's new base and publish it.
 
-    Parts that refreshes appended stay part of the table. Errors are raised, not swallowed.
+    Parts made of exports stay part of the table. Errors are raised, not swallowed.
     """
     spark = df.sparkSession
-    before = read_manifest(spark, path)
     state = {p: path_state(spark, p) for p in sources or []}  # taken before the sources are read
     built_at = int(time.time() * 1000)
-    base = _write_part(df, path, f"base-{uuid.uuid4().hex}")
-    appended = [p for p in before["parts"] if p["name"].startswith("append-")] if before else []
-    _publish(spark, path, {"parts": [base, *appended], "sources": state, "built_at": built_at,
-                           "schema": json.loads(df.schema.json())})
+    base = {**write_part(df, path, f"base-{uuid.uuid4().hex}"), "kind": "base"}
+
+    def change(before: dict | None, version: int) -> dict:
+        before = before or {"parts": [], "removals": [], "applied": {}}
+        return {**before, "parts": [{**base, "seq": version}, *export_parts(before)], "sources": state, "built_at": built_at,
+                "schema": json.loads(df.schema.json()), "retired": retire(before, [p["name"] for p in base_parts(before)])}
+
+    commit(spark, path, change)
     return path
 
 
-def append_part(df: DataFrame, path: str, name: str) -> int:
-    """Add rows to a snapshot as the part ``name``; the same name again replaces the part.
+def with_identity(df: DataFrame) -> DataFrame:
+    """Rows as a part of exports holds them."""
+    export = F.col(EXPORT) if EXPORT in df.columns else F.lit(None).cast("string").alias(EXPORT)
+    return df.select(*[c for c in df.columns if c not in IDENTITY], export, *line_hashes(df))
+
+
+def write_lineage(spark: SparkSession, path: str, name: str, files: list[dict]) -> None:
+    rows = [(*(e[c] for c in ("export", "mtime", "bytes", "files", "absent", "unknown")), None) for e in states(files)]
+    spark.createDataFrame(rows, LINEAGE_SCHEMA).coalesce(1).write.parquet(part_path(path, name, "lineage"))
 
-    Columns are cast to the snapshot's types; without a snapshot the part starts one.
-    Returns the part's row count.
+
+def append_part(df: DataFrame, path: str, batch: tuple[str, int] | None = None, files: list[dict] | None = None) -> int:
+    """Add rows to a snapshot as a part of its own.
+
+    Columns are cast to the snapshot's types; without a snapshot the part starts one. ``batch``
+    (a stream's name and its batch number) is applied once: a batch at or below the last one
+    of its stream is left out. ``files`` are the exports that the rows came from. Other
+    writers may publish meanwhile. Returns the rows added.
     """
     spark = df.sparkSession
-    manifest = read_manifest(spark, path) or {
-        "parts": [], "sources": {}, "built_at": None, "schema": json.loads(df.schema.json())}
-    schema = T.StructType.fromJson(manifest["schema"])
-    df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                     for f in schema.fields])
-    part = _write_part(df, path, f"append-{name}")
-    others = [p for p in manifest["parts"] if p["name"] != part["name"]]
-    _publish(spark, path, {**manifest, "parts": [*others, part]})
-    return part["rows"]
+    empty = {"parts": [], "removals": [], "applied": {}, "sources": {}, "built_at": None,
+             "schema": json.loads(T.StructType([f for f in df.schema.fields if f.name not in IDENTITY]).json())}
+    now = read_manifest(spark, path) or empty
+    if batch and now["applied"].get(batch[0], -1) >= batch[1]:
+        return 0
+    name = f"append-{uuid.uuid4().hex}"
+    part = {**write_part(with_identity(as_table(df, table_schema(now))), path, name), "kind": "append", "lineage": bool(files)}
+    if files:
+        write_lineage(spark, path, name, files)
+    added = []
+
+    def change(before: dict | None, version: int) -> dict | None:
+        before = before or empty
+        added.clear()
+        if batch and before["applied"].get(batch[0], -1) >= batch[1]:
+            return None
+        added.append(part["rows"])
+        applied = {**before["applied"], **({batch[0]: batch[1]} if batch else {})}
+        return {**before, "parts": [*before["parts"], {**part, "seq": version}], "applied": applied}
+
+    commit(spark, path, change)
+    return sum(added)
 
 
 def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = None,
                   manifest: dict | None = None) -> DataFrame:
-    """S3: the table that the newest manifest describes, in its original column order."""
+    """S3: the table that the newest version describes, in its original column order."""
     manifest = manifest or read_manifest(spark, path)
     if manifest is None:
         raise FileNotFoundError(f"no published snapshot at {path}")
-    schema = T.StructType.fromJson(manifest["schema"])
-    df = (spark.read.schema(schema).option("basePath", f"{path}/data")
-          .parquet(*[_part_path(path, p["name"]) for p in manifest["parts"]]))
-    return df.select(*(columns or schema.names))
+    df = read_parts(spark, path, manifest, manifest["parts"])
+    return df.select(*(columns or df.columns))
+
+
+def lineage(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame:
+    """Per export: its state and columns when it was last read, in which version, and the parts
+    with its lines (export, mtime, bytes, files, absent, unknown, as_of, parts)."""
+    manifest = manifest or read_manifest(spark, path)
+    parts = [p for p in (manifest or {"parts": []})["parts"] if p.get("lineage")]
+    schema = LINEAGE_SCHEMA + ", part string"
+    if not parts:
+        return spark.createDataFrame([], LINEAGE_SCHEMA + ", parts array<string>")
+    rows = (spark.read.schema(schema).option("basePath", f"{path}/lineage")
+            .parquet(*[part_path(path, p["name"], "lineage") for p in parts]))
+    order = spark.createDataFrame([(p["name"], p["seq"]) for p in parts], "part string, seq long")
+    state = F.struct("mtime", "bytes", "files", "absent", "unknown", "as_of")
+    return (rows.join(F.broadcast(order), "part")  # one row per part of the table
+            .withColumn("as_of", F.coalesce("as_of", "seq"))
+            .groupBy("export").agg(F.max_by(state, "as_of").alias("last"), F.sort_array(F.collect_set("part")).alias("parts"))
+            .select("export", "last.*", "parts"))
 
 
 def vacuum(spark: SparkSession, path: str, keep_seconds: float = 3600) -> int:
-    """Delete parts that the newest manifest no longer names and that are older than
-    ``keep_seconds`` (readers may still hold them for the freshness window)."""
-    manifest, removed = read_manifest(spark, path), 0
-    fs, folder = _fs(spark, f"{path}/data")
+    """Remove folders that left the table at least ``keep_seconds`` ago (readers may still hold
+    younger ones), folders as old that were never published, and old versions; how many."""
+    manifest, now, removed = read_manifest(spark, path), time.time() * 1000, 0
     if manifest is None:
         return 0
-    named = {f"part={p['name']}" for p in manifest["parts"]}
-    for status in fs.listStatus(folder):
-        old = time.time() * 1000 - status.getModificationTime() > keep_seconds * 1000
-        if status.getPath().getName() not in named and old:
-            removed += bool(fs.delete(status.getPath(), True))
+    due = {r["name"] for r in manifest.get("retired", []) if now - r["at"] >= keep_seconds * 1000}
+    waiting = {r["name"] for r in manifest.get("retired", [])} - due
+    named = waiting | {p["name"] for p in manifest["parts"]} | {r["name"] for r in manifest.get("removals", [])}
+    for kind in ("data", "lineage", "removals"):
+        fs, folder = file_system(spark, f"{path}/{kind}")
+        if not fs.exists(folder):
+            continue
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName().removeprefix("part=")
+            if name in due or (name not in named and now - status.getModificationTime() >= keep_seconds * 1000):
+                removed += bool(fs.delete(status.getPath(), True))
+    if due:
+        commit(spark, path, lambda before, _: {**before, "retired": [r for r in before.get("retired", []) if r["name"] not in due]})
+    forget_versions(spark, path)
     return removed
 
 
@@ -202,10 +283,10 @@ def vacuum(spark: SparkSession, path: str, keep_seconds: float = 3600) -> int:
 
 def is_fresh(spark: SparkSession, snapshot: str, sources: list[str],
              product_list: list[str] | None = None, manifest: dict | None = None) -> bool:
-    """A published, complete snapshot that is strictly newer than every source file, each
-    source being as it was when the base was built (an absent product list stays absent)."""
+    """A published, complete base that is strictly newer than every source file, each source
+    being as it was when the base was built (an absent product list stays absent)."""
     manifest = manifest or read_manifest(spark, snapshot)
-    if manifest is None or manifest["built_at"] is None or not _complete(spark, snapshot, manifest):
+    if manifest is None or manifest["built_at"] is None or not _complete(spark, snapshot, base_parts(manifest)):
         return False
     for path in [*sources, *(product_list or [])]:
         state = path_state(spark, path)
@@ -227,14 +308,23 @@ def _sources(sf_dir: str) -> tuple[list[str], list[str]]:
 
 
 def build_snapshot(spark: SparkSession, sf_dir: str) -> str:
-    """Build the cleaned, enriched table from the sources and store it."""
+    """Build the cleaned, enriched table from the sources and store it as the base. Parts made
+    of exports stay; they get the product categories anew if the product list has changed
+    since they did."""
     from . import categories, clean_sales, sales_lines, with_category
+    from .compaction import rewrite
     configure(spark)
-    df = with_category(clean_sales(sales_lines(spark, sf_dir)), categories(spark, sf_dir))
+    lookup = categories(spark, sf_dir)
+    df = with_category(clean_sales(sales_lines(spark, sf_dir)), lookup)
     path = snapshot_path(spark, sf_dir)
     forget_freshness()
     sales, products = _sources(sf_dir)
+    before = read_manifest(spark, path)
+    lists = table_paths(sf_dir, PRODUCT_SOURCE_TABLES)
+    changed = before and any(path_state(spark, p) != before["sources"].get(p) for p in lists)
     write_snapshot(df, path, sales + products)
+    if changed and export_parts(before):
+        rewrite(spark, path, export_parts, lambda rows: with_category(rows, lookup))
     vacuum(spark, path)
     return path
 
@@ -247,7 +337,7 @@ _FRESH: dict[tuple[str, str], tuple[float, DataFrame]] = {}
 
 
 def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -> DataFrame | None:
-    """The stored table if it is fresh, else None (caller builds from sources)."""
+    """The stored table if its base is fresh, else None."""
     ttl = FRESH_TTL_SECONDS if ttl is None else ttl
     path = snapshot_path(spark, sf_dir)
     key = (spark.sparkContext.applicationId, path)
@@ -258,21 +348,44 @@ def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -
     manifest = read_manifest(spark, path)
     if manifest is None or not is_fresh(spark, path, *_sources(sf_dir), manifest=manifest):
         return None
+    _check_exports(spark, path, manifest)
     df = read_snapshot(spark, path, manifest=manifest)
     df = df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns])
     _FRESH[key] = (time.monotonic(), df)
     return df
 
 
+def _check_exports(spark: SparkSession, path: str, manifest: dict) -> None:
+    if not _complete(spark, path, export_parts(manifest)):
+        raise RuntimeError(f"parts made of exports are missing or damaged in {path}; they cannot be built again from the tables")
+
+
+def with_appended(spark: SparkSession, sf_dir: str, base: DataFrame, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``base``, just derived from the sources because the stored base is stale or absent, and the
+    lines of exports that were appended to the snapshot, their categories looked up again."""
+    path = snapshot_path(spark, sf_dir)
+    manifest = read_manifest(spark, path)
+    if manifest is None or not export_parts(manifest):
+        return base
+    _check_exports(spark, path, manifest)
+    appended = enrich(read_parts(spark, path, manifest, export_parts(manifest)).drop("product_category"))
+    return base.unionByName(appended.select(*[
+        (F.col(f.name) if f.name in appended.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in base.schema.fields]))
+
+
 def freshness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5 and A26 as a table: whether the snapshot would be used, its rows and parts, and when
-    the sources last changed."""
+    """S5 and A26 as a table: whether the stored base would be used, the snapshot's rows and
+    parts, and when the sources last changed."""
     path = snapshot_path(spark, sf_dir)
     manifest = read_manifest(spark, path)
     sales, products = _sources(sf_dir)
     fresh = manifest is not None and is_fresh(spark, path, sales, products, manifest)
     changed = last_modified(spark, sales)
-    row = (fresh, sum(p["rows"] for p in manifest["parts"]) if manifest else 0,
+    rows = 0
+    if manifest:
+        rows = (read_snapshot(spark, path, manifest=manifest).count() if manifest.get("removals")
+                else sum(p["rows"] for p in manifest["parts"]))
+    row = (fresh, rows,
            len(manifest["parts"]) if manifest else 0, changed or None)
     return spark.createDataFrame(
         [row], "snapshot_is_fresh boolean, snapshot_rows long, snapshot_parts long, changed double").select(

@@ -44,7 +44,7 @@ def test_stale_when_source_changes(spark, own):
 def test_an_append_does_not_make_a_stale_snapshot_fresh(spark, own):
     src, snap, absent = own
     spark.range(5).write.mode("append").parquet(src)
-    assert storage.append_part(spark.range(2).withColumn("year", F.lit(2021)), snap, "x") == 2
+    assert storage.append_part(spark.range(2).withColumn("year", F.lit(2021)), snap, ("x", 0)) == 2
     assert not storage.is_fresh(spark, snap, [src], [absent])
 
 
@@ -52,7 +52,7 @@ def test_damaged_or_unpublished_parts_are_not_used(spark, own):
     src, snap, absent = own
     manifest = storage.read_manifest(spark, snap)
     # a part that was written but never published is not read
-    storage._write_part(spark.range(7).withColumn("year", F.lit(1)), snap, "base-other")
+    storage.write_part(spark.range(7).withColumn("year", F.lit(1)), snap, "base-other")
     assert storage.read_snapshot(spark, snap).count() == 3 and storage.is_fresh(spark, snap, [src], [absent])
     part = glob.glob(f"{snap}/data/part={manifest['parts'][0]['name']}/**/part-*.parquet", recursive=True)[0]
     os.remove(part)
@@ -61,7 +61,7 @@ def test_damaged_or_unpublished_parts_are_not_used(spark, own):
 
 def test_rebuild_keeps_appended_parts_and_old_readers(spark, own):
     src, snap, absent = own
-    storage.append_part(spark.range(10, 12).withColumn("year", F.lit(2021)), snap, "x")
+    storage.append_part(spark.range(10, 12).withColumn("year", F.lit(2021)), snap, ("x", 0))
     reader = storage.read_snapshot(spark, snap)
     storage.write_snapshot(spark.range(4).withColumn("year", F.lit(2020)), snap, [src])
     assert reader.count() == 5  # the replaced base is still there for who reads it

@@ -5,21 +5,21 @@ stop words and the share of its text inside links are known, and whether it stan
 that is never main text (menus, page headers and footers, sidebars, forms, adverts, notices,
 reader comments: by tag, or by class, id or role) or inside the article.
 
-Pass one decides clear blocks: never-main parts are boilerplate. Inside an article so are menus,
-that is runs of short blocks that are nearly all links; all else there, single linked headings
-and paragraphs and lists of sources with text beside their links included, is content by the
-article's tag alone, as nothing else of an article may be dropped. Outside articles, link-heavy
-blocks are boilerplate, long blocks with enough stop words are content and long blocks
-without are boilerplate; on a page that has an article both bars are higher there by
-``OUTSIDE_BAR``. Pass two: what is left (short or unclear, outside articles) takes the label of
-the nearest decided block outside articles, or of any if none is decided there.
+Pass one decides clear blocks: never-main parts are boilerplate, and long blocks with enough stop
+words and few links are content; on a page that has an article both bars are higher outside it by
+``OUTSIDE_BAR`` and lower inside it by ``INSIDE_BAR``. Outside articles, link-heavy blocks and
+long blocks without stop words are boilerplate too. Inside one, so are menus, that is runs of
+short blocks that are nearly all links; other blocks there stay open, as nothing else of an
+article may be dropped. Pass two: what is left (short or unclear) takes the label of the nearest
+block that pass one decided by its words and links in the same article, or, outside articles, of
+the nearest one outside them, or of any if none is decided there. An article without such a block is content.
 
 Content blocks, character references decoded and white space made single, are joined in
 page order by a line feed.
 
 Defined cases: null html or url: null html is empty; a page without content gives an empty
 text; unclosed tags run to the end of their parent, unclosed comments, scripts and styles to the
-end of the page; an svg, iframe or template that is self-closed or never closed is empty, and
+end of the page; a tag cut off by the end of the page is dropped; an svg, iframe or template that is self-closed or never closed is empty, and
 what object, canvas, noscript and math hold is text like any other; repeated rows are kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,14 +70,20 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 # how much longer and denser a block beside an article must be to be content by itself
 OUTSIDE_BAR = 1.5
+# and how much shorter one inside it may be
+INSIDE_BAR = 0.5
 # inside an article, so many link-heavy blocks in a row with such a share of links are a menu
 MENU_BLOCKS, MENU_LINKED = 3, 0.8
 
+# Every part is matched once and never taken back, so a page is scanned in linear time; a tag that
+# the page's end cuts off takes the rest with it.
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-    r"|<[!?/][^>]*>", re.S | re.I)
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])" + ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>" + ATTRIBUTES + r")>"
+    r"|<[!?/][^>]*+>"
+    r"|<(?P<cut>[a-zA-Z!?/])", re.S | re.I)
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -127,6 +134,9 @@ def page_blocks(page: str) -> list[dict]:
     while m := TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
+        if m["cut"]:
+            at = len(page)
+            break
         tag = (m["tag"] or "").lower()
         if not tag:
             if m["raw"]:
@@ -210,30 +220,31 @@ def label_blocks(blocks: list[dict], stop_words=STOP_WORDS, long_chars: int = 14
     menus = _article_menus(blocks, long_chars, link_density)
     labels: list[bool | None] = []
     for i, b in enumerate(blocks):
-        size = len(b["text"])
-        if b["never"]:
+        size, inside = len(b["text"]), b["article"] is not None
+        weight = INSIDE_BAR if inside else bar
+        linked = b["link_chars"] > link_density * size
+        found = LETTERS.findall(b["text"].lower())
+        density = sum(w in stop_words for w in found) / max(1, len(found))
+        if b["never"] or i in menus:
             labels.append(False)
-        elif b["article"] is not None:
-            labels.append(i not in menus)
-        elif b["link_chars"] > link_density * size:
+        elif not linked and size >= weight * long_chars and density >= weight * stop_density:
+            labels.append(True)
+        elif not inside and (linked or (size >= long_chars and density < stop_density)):
             labels.append(False)
-        elif size < long_chars:
-            labels.append(None)
         else:
-            found = LETTERS.findall(b["text"].lower())
-            density = sum(w in stop_words for w in found) / max(1, len(found))
-            if density < stop_density:
-                labels.append(False)
-            else:
-                labels.append(True if size >= bar * long_chars and density >= bar * stop_density else None)
-    # second pass: nearest decided neighbour, among the blocks outside articles if any is decided there
-    decided = [j for j, b in enumerate(blocks) if labels[j] is not None and b["article"] is None]
-    decided = decided or [j for j, known in enumerate(labels) if known is not None]
-    out, after = [], 0
+            labels.append(None)
+    # second pass: the nearest neighbour that the first decided, each article and the rest apart
+    places: dict[int | None, list[int]] = {}
+    for j, b in enumerate(blocks):
+        if labels[j] is not None and (b["article"] is None or not (b["never"] or j in menus)):
+            places.setdefault(b["article"], []).append(j)
+    every = [j for j, known in enumerate(labels) if known is not None]
+    out = []
     for i, known in enumerate(labels):
         if known is None:
-            while after < len(decided) and decided[after] < i:
-                after += 1
+            article = blocks[i]["article"]
+            decided = places.get(article) or ([] if article is not None else every)
+            after = bisect_left(decided, i)
             near = [(abs(i - j), not labels[j], j) for j in decided[max(0, after - 1):after + 1]]
             known = labels[min(near)[2]] if near else True
         out.append(known)

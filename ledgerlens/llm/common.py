@@ -81,7 +81,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+# rows of an Arrow batch: they are whole texts or vectors here, and JVM and worker both hold a batch
+BATCH_ROWS = 1000
+_BATCH_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package on the workers, ``BATCH_ROWS`` rows at a time at most (a
+    setting of the session that changes memory, not results)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH_ROWS_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS_KEY, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

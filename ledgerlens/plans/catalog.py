@@ -19,6 +19,7 @@ from ..operators import forecast_gbt as FG
 from ..operators import forecast_linear as FL
 from ..operators import kpis as K
 from ..operators import reports as R
+from ..operators import rollups as RU
 from ..operators import series as S
 from ..operators.filters import SalesFilter
 from ..sources import storage
@@ -74,6 +75,16 @@ def _on_sales(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, s
     return run
 
 
+def _rolled(from_rollup: Callable, from_lines: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A report from the rollups of a fresh snapshot, or from the lines without one."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = sources.sales(spark, sf_dir)
+        rollup = storage.fresh_rollups(spark, sf_dir)
+        return decimals_to_double(from_lines(lines) if rollup is None else from_rollup(rollup, lines))
+    run.__name__, run.__doc__ = from_lines.__name__, from_lines.__doc__
+    return run
+
+
 def _filtered(flt: SalesFilter) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return row_output(flt.apply(sources.sales(spark, sf_dir)))
@@ -189,9 +200,9 @@ def _corrected(lines: DataFrame) -> DataFrame:
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("invoice_no") % 10 == 3, 2).otherwise(1)))).drop("_copy")
 
 
-def refresh_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the invoices as the base, the others as two exports, of which the first is
-    written again with lines removed, changed and doubled; the snapshot after the refresh."""
+def _corrected_snapshot(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A third of the invoices as the base, the others as two exports, of which the first is written
+    again with lines removed, changed and doubled: the snapshot after the refresh."""
     from ..session import scratch_dir
     from ..streaming.refresh import refresh_snapshot
     configure(spark)
@@ -204,7 +215,34 @@ def refresh_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     refresh_snapshot(spark, f"{base}/incoming", snapshot, f"{base}/checkpoint", cats)
     storage.export_csv(_corrected(lines.where(third == 1)), f"{base}/incoming/batch-1")
     refresh_snapshot(spark, f"{base}/incoming", snapshot, f"{base}/checkpoint", cats)
-    return row_output(storage.read_snapshot(spark, snapshot, storage.SNAPSHOT_COLUMNS))
+    return snapshot, storage.read_snapshot(spark, snapshot, storage.SNAPSHOT_COLUMNS)
+
+
+def refresh_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a snapshot whose first export was written again, corrected."""
+    return row_output(_corrected_snapshot(spark, sf_dir)[1])
+
+
+def rollup_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3-A6, A9-A13, A18, A19 from rollups alone: the snapshot of ``refresh_corrections``, its
+    parts' rollups added up and the corrected lines' taken out; every dimension and month."""
+    path, _ = _corrected_snapshot(spark, sf_dir)
+    rollup = storage.read_rollups(spark, path, storage.read_manifest(spark, path))
+    month = F.date_format("day", "yyyy-MM")
+    return decimals_to_double(rollup.groupBy("dimension", "value", month.alias("month")).agg(
+        F.sum("lines").alias("lines"), F.sum("revenue").alias("revenue"), F.sum("units").alias("units")))
+
+
+def rollup_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 from rollups and the lines of the windows' first days, on the same snapshot."""
+    path, lines = _corrected_snapshot(spark, sf_dir)
+    return RU.growth(storage.read_rollups(spark, path, storage.read_manifest(spark, path)), lines)
+
+
+def rollup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A26 from rollups, on the same snapshot."""
+    path, lines = _corrected_snapshot(spark, sf_dir)
+    return RU.data_profile(storage.read_rollups(spark, path, storage.read_manifest(spark, path)), lines.columns)
 
 
 def snapshot_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,39 +312,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refresh_by_header": refresh_by_header,
     "refresh_corrections": refresh_corrections,
     "snapshot_compaction": snapshot_compaction,
+    "rollup_reports": rollup_reports,
+    "rollup_growth": rollup_growth,
+    "rollup_profile": rollup_profile,
     # J1
     "sales_by_category": _on_sales(sales_by_category),
     # filters
     **{name: _filtered(flt) for name, flt in FILTERS.items()},
     # KPIs
     "kpis": _on_sales(K.kpis),
-    "growth": _on_sales(K.growth),
-    "data_profile": _on_sales(K.data_profile),
-    "filter_values": _on_sales(K.filter_values),
+    "growth": _rolled(RU.growth, K.growth),
+    "data_profile": _rolled(lambda r, s: RU.data_profile(r, s.columns), K.data_profile),
+    "filter_values": _rolled(lambda r, s: RU.filter_values(r), K.filter_values),
     # revenue
-    "monthly_revenue": _on_sales(R.monthly_revenue),
-    "revenue_by_type": _on_sales(R.revenue_by_type),
-    "quarterly_revenue": _on_sales(R.quarterly_revenue),
-    "revenue_by_status": _on_sales(R.revenue_by_status),
+    "monthly_revenue": _rolled(lambda r, s: RU.monthly_revenue(r), R.monthly_revenue),
+    "revenue_by_type": _rolled(lambda r, s: RU.revenue_by_type(r), R.revenue_by_type),
+    "quarterly_revenue": _rolled(lambda r, s: RU.quarterly_revenue(r), R.quarterly_revenue),
+    "revenue_by_status": _rolled(lambda r, s: RU.revenue_by_status(r), R.revenue_by_status),
     # customers
     "customer_value": _on_sales(R.customer_value),
     "top_customers_15": _on_sales(lambda s: R.top_customers(s, 15)),
     "top_customers_50": _on_sales(lambda s: R.top_customers(s, 50)),
     "recency_histogram": _on_sales(R.recency_histogram),
     # products
-    "top_products": _on_sales(R.top_products),
-    "item_type_counts": _on_sales(R.item_type_counts),
-    "product_table": _on_sales(R.product_table),
+    "top_products": _rolled(lambda r, s: RU.top_products(r), R.top_products),
+    "item_type_counts": _rolled(lambda r, s: RU.item_type_counts(r), R.item_type_counts),
+    "product_table": _rolled(lambda r, s: RU.product_table(r), R.product_table),
     # colours
-    "colour_revenue": _on_sales(R.colour_revenue),
-    "colour_units": _on_sales(R.colour_units),
+    "colour_revenue": _rolled(lambda r, s: RU.colour_revenue(r), R.colour_revenue),
+    "colour_units": _rolled(lambda r, s: RU.colour_units(r), R.colour_units),
     "multi_colour_products": _on_sales(R.multi_colour_products),
     "colour_breakdown": _on_sales(R.colour_breakdown),
     "colour_breakdown_all": _on_sales(R.colour_breakdown_all),
     "colour_summary": _on_sales(R.colour_summary),
     # geographic
-    "top_towns": _on_sales(R.top_towns),
-    "revenue_by_payment": _on_sales(R.revenue_by_payment),
+    "top_towns": _rolled(lambda r, s: RU.top_towns(r), R.top_towns),
+    "revenue_by_payment": _rolled(lambda r, s: RU.revenue_by_payment(r), R.revenue_by_payment),
     # series
     "top_demand_products": _on_sales(lambda s: S.top_demand_products(s, TOP_N)),
     "demand_monthly": _on_sales(lambda s: _series_out(S.demand_series(s, TOP_N))),

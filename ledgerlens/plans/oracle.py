@@ -9,6 +9,7 @@ to DOUBLE in the output, exactly like the Spark side.
 from __future__ import annotations
 
 from ..functions import STRIPPED
+from ..operators.rollups import DIMENSIONS
 from ..sources.fixtures import PRODUCT_CODES_SQL, SALES_RAW_SQL, SALES_SQL
 from .catalog import (CATEGORIES, DATE_RANGE, FURNITURE_GROUPS, ITEM_TYPES, STATUSES,
                       TYPES)
@@ -38,6 +39,14 @@ sales AS (
   FROM sales_base b LEFT JOIN cats c ON b.short_description = c.description)
 """
 
+# the same table after the corrections of ``catalog.refresh_corrections``
+CORRECTED_PREFIX = PREFIX.replace("sales AS (", "given AS (", 1).rstrip() + """,
+sales AS (
+  SELECT * EXCLUDE (copy) REPLACE (CASE WHEN invoice_no % 3 = 1 AND invoice_no % 10 = 2 THEN qty + 1 ELSE qty END AS qty)
+  FROM (SELECT *, unnest(range(CASE WHEN invoice_no % 3 <> 1 THEN 1 WHEN invoice_no % 10 = 1 THEN 0
+                                    WHEN invoice_no % 10 = 3 THEN 2 ELSE 1 END)) AS copy FROM given))
+"""
+
 MONEY_AS_DOUBLE = ("* REPLACE (CAST(price AS DOUBLE) AS price, CAST(discount AS DOUBLE) AS discount, "
                    "CAST(total_price AS DOUBLE) AS total_price)")
 # row-level results: money and the (nullable) calendar parts as DOUBLE
@@ -169,10 +178,10 @@ FROM s""",
     # exports are text: without a base, invoice numbers stay text
     "refresh_by_header": _q(f"""SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no,
   CASE WHEN invoice_no % 3 = 1 THEN NULL ELSE colour END AS colour) FROM (SELECT {ROW_OUT} FROM sales)"""),
-    "refresh_corrections": _q(f"""SELECT * EXCLUDE (copy) REPLACE (
-  CASE WHEN invoice_no % 3 = 1 AND invoice_no % 10 = 2 THEN qty + 1 ELSE qty END AS qty)
-FROM (SELECT {ROW_OUT}, unnest(range(CASE WHEN invoice_no % 3 <> 1 THEN 1 WHEN invoice_no % 10 = 1 THEN 0
-                                          WHEN invoice_no % 10 = 3 THEN 2 ELSE 1 END)) AS copy FROM sales)"""),
+    "refresh_corrections": f"{CORRECTED_PREFIX}SELECT {ROW_OUT} FROM sales",
+    "rollup_reports": CORRECTED_PREFIX + " UNION ALL ".join(f"""SELECT '{d}' AS dimension, {v} AS value, strftime(invoice_date, '%Y-%m') AS month,
+  count(*) AS lines, CAST(sum(total_price) AS DOUBLE) AS revenue, sum(qty) AS units FROM sales GROUP BY 2, 3""" for d, v in [
+        ("line", "CAST(NULL AS VARCHAR)"), *((d, d) for d in DIMENSIONS)]),
     "snapshot_compaction": _q(f"SELECT {ROW_OUT}, true AS merged FROM sales"),
     "sales_by_category": _q("""SELECT product_category, count(*) AS lines,
   CAST(sum(total_price) AS DOUBLE) AS revenue FROM sales GROUP BY product_category"""),
@@ -572,3 +581,6 @@ SELECT series_id, train AS train_months, n - train AS test_months, true AS mae_a
 SELECT series_id AS product, hist_avg, {_plain('hist_avg', 0)} AS hist_avg_label, true AS change_agrees,
   true AS total_agrees FROM hist"""),
 })
+
+for _name in ("growth", "data_profile"):
+    ORACLE[f"rollup_{_name.removeprefix('data_')}"] = CORRECTED_PREFIX + ORACLE[_name].removeprefix(PREFIX)

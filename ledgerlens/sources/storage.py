@@ -6,6 +6,8 @@ A snapshot is a folder in the cluster's shared checkpoint folder:
 * ``lineage/part=<name>/``: for a part made of exports, which ones, as they were.
 * ``removals/part=<name>/``: hashes of lines that corrected exports no longer hold, with the
   parts they are taken out of (``corrections``).
+* ``rollups/part=<name>/dimension=<d>/``: a part's lines added up by report key and day
+  (``operators.rollups``); ``taken/part=<name>/``: the same of the lines a removal takes out.
 * ``manifests/``: versions that name what makes up the table (``manifest``).
 
 The base part is built from the source tables and belongs to them: when they change, only it is
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import rollups
 from ..schema import DERIVED_COLUMNS, SALES_SCHEMA
 from ..session import configure, scratch_dir, shared_root
 from .exports import EXPORT, states
@@ -39,6 +42,9 @@ SNAPSHOT_VERSION = 3
 # Column order of the cleaned, enriched table (``year`` is the partition column).
 SNAPSHOT_COLUMNS = [f.name for f in SALES_SCHEMA.fields] + DERIVED_COLUMNS + ["product_category"]
 
+# What a line needs to be rolled up.
+ROLLED_COLUMNS = ("invoice_date", "total_price", "qty")
+
 # A line's identity in parts made of exports: its file and 128 bits of its values.
 HASHES = ("_h1", "_h2")
 IDENTITY = (EXPORT, *HASHES)
@@ -114,9 +120,12 @@ def write_part(df: DataFrame, path: str, name: str) -> dict:
          .write.partitionBy("year").parquet(target))
     else:
         df.write.parquet(target)
-    state = path_state(spark, target)
-    return {"name": name, "rows": spark.read.schema(df.schema).parquet(target).count(),
-            "files": state["files"], "bytes": state["bytes"]}
+    state, written = path_state(spark, target), spark.read.schema(df.schema).parquet(target)
+    rolled = set(ROLLED_COLUMNS) <= set(df.columns)
+    if rolled:
+        (rollups.roll_up(written.drop(*IDENTITY)).hint("rebalance", "dimension")
+         .write.partitionBy("dimension").parquet(part_path(path, name, "rollups")))
+    return {"name": name, "rows": written.count(), "files": state["files"], "bytes": state["bytes"], "rolled": rolled}
 
 
 def table_schema(manifest: dict) -> T.StructType:
@@ -132,10 +141,10 @@ def as_table(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_parts(spark: SparkSession, path: str, manifest: dict, parts: list[dict], identity: bool = False) -> DataFrame:
     """The rows of some parts without those that were taken out again; with ``identity`` also
-    each line's file and hashes (null in the base)."""
+    each line's export and hashes (null in the base) and its ``part``."""
     schema = table_schema(manifest)
-    stored = T.StructType(list(schema.fields) + list(IDENTITY_SCHEMA.fields))
-    wanted = [*schema.names, *(IDENTITY if identity else ())]
+    stored = T.StructType([*schema.fields, *IDENTITY_SCHEMA.fields, T.StructField("part", T.StringType())])
+    wanted = [*schema.names, *((*IDENTITY, "part") if identity else ())]
     groups: dict[tuple[str, ...], list[dict]] = {}
     for part in parts:
         taken = tuple(r["name"] for r in manifest.get("removals", []) if part["name"] in r["parts"])
@@ -238,6 +247,28 @@ def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*(columns or df.columns))
 
 
+def read_rollups(spark: SparkSession, path: str, manifest: dict) -> DataFrame | None:
+    """The table's lines added up by report key and day, from what its parts keep; None if a part
+    keeps nothing (its rows are no sales lines)."""
+    if not manifest["parts"] or not all(p.get("rolled") for p in manifest["parts"]):
+        return None
+
+    def read(kind: str, names: list[str], extra: str = "") -> DataFrame:
+        return (spark.read.schema(rollups.ROLLUP_SCHEMA + extra).option("basePath", f"{path}/{kind}")
+                .parquet(*[part_path(path, n, kind) for n in names]))
+
+    columns = [*rollups.KEYS, *rollups.MEASURES]
+    added = read("rollups", [p["name"] for p in manifest["parts"] if p["rows"]] or [manifest["parts"][0]["name"]]).select(*columns)
+    removals = manifest.get("removals", [])
+    if not removals:
+        return added  # reports add the parts up
+    # of a removal count the lines of the parts that it still holds for
+    holds = F.array(*[F.concat_ws("/", F.lit(r["name"]), F.lit(p)) for r in removals for p in r["parts"]])
+    taken = read("taken", [r["name"] for r in removals], ", part string, holder string").filter(
+        F.array_contains(holds, F.concat_ws("/", "part", "holder")))
+    return rollups.merged(added.unionByName(rollups.negative(taken.select(*columns))))
+
+
 def lineage(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame:
     """Per export: its state and columns when it was last read, in which version, and the parts
     with its lines (export, mtime, bytes, files, absent, unknown, as_of, parts)."""
@@ -265,7 +296,7 @@ def vacuum(spark: SparkSession, path: str, keep_seconds: float = 3600) -> int:
     due = {r["name"] for r in manifest.get("retired", []) if now - r["at"] >= keep_seconds * 1000}
     waiting = {r["name"] for r in manifest.get("retired", [])} - due
     named = waiting | {p["name"] for p in manifest["parts"]} | {r["name"] for r in manifest.get("removals", [])}
-    for kind in ("data", "lineage", "removals"):
+    for kind in ("data", "lineage", "removals", "rollups", "taken"):
         fs, folder = file_system(spark, f"{path}/{kind}")
         if not fs.exists(folder):
             continue
@@ -355,6 +386,14 @@ def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -
     return df
 
 
+def fresh_rollups(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The rollups of the stored table if its base is fresh, else None."""
+    if fresh_snapshot(spark, sf_dir) is None:
+        return None
+    path = snapshot_path(spark, sf_dir)
+    return read_rollups(spark, path, read_manifest(spark, path))
+
+
 def _check_exports(spark: SparkSession, path: str, manifest: dict) -> None:
     if not _complete(spark, path, export_parts(manifest)):
         raise RuntimeError(f"parts made of exports are missing or damaged in {path}; they cannot be built again from the tables")

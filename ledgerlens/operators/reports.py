@@ -8,7 +8,7 @@ ranking are broken by the key ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as LF
@@ -150,6 +150,25 @@ def recency_histogram(sales: DataFrame, bins: int = RECENCY_BINS) -> DataFrame:
     ).orderBy("bin")
 
 
+def nice_width(lo: Column, hi: Column, bins: int) -> Column:
+    """The smallest width of the ladder 1, 2, 5, 10, 20, 50, ... whose multiples cut whole numbers
+    from ``lo`` to ``hi`` into at most ``bins`` bins."""
+    ladder = F.array(*[F.lit(m * 10 ** k).cast("long") for k in range(18) for m in (1, 2, 5)])
+    few = F.filter(ladder, lambda w: F.floor(hi / w) - F.floor(lo / w) + 1 <= bins)
+    return F.try_element_at(few, F.lit(1))
+
+
+def nice_recency_histogram(sales: DataFrame, bins: int = RECENCY_BINS) -> DataFrame:
+    """A8 with the edges a chart picks: multiples of a width of the 1-2-5 ladder, at most ``bins`` bins."""
+    cv = customer_value(sales).select("days_since_last_purchase").checkpoint(eager=True)
+    days = F.col("days_since_last_purchase")
+    width = cv.agg(nice_width(F.min(days), F.max(days), bins).alias("_w"))
+    x = attach_scalar_row(cv, width)
+    start = (F.floor(days / F.col("_w")) * F.col("_w")).cast("long")
+    return (x.groupBy(start.alias("bin_start"), (start + F.col("_w")).alias("bin_end"))
+            .agg(F.count(F.lit(1)).alias("customers")).orderBy("bin_start"))
+
+
 # --- products tab -----------------------------------------------------------
 
 def product_revenue(sales: DataFrame) -> DataFrame:

@@ -223,6 +223,31 @@ def refresh_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_output(_corrected_snapshot(spark, sf_dir)[1])
 
 
+# Layouts in which ``date_layouts`` writes the order dates, and the one its first value reads as.
+WRITTEN_LAYOUTS = {"iso": "yyyy-MM-dd", "day_first": "dd/MM/yyyy", "month_name": "d MMM yyyy", "compact": "yyyyMMdd",
+                   "stamped": "MM/dd/yyyy h:mm a"}
+
+
+def date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' dates as text in five layouts, each column's layout found from its first
+    value (by order key, of the orders placed after the twelfth of a month) and all read by it."""
+    from ..functions import dates
+    configure(spark)
+    orders = sources.fixtures.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    texts = orders.select("o_orderkey", "at", *[F.date_format("at", layout).alias(name) for name, layout in WRITTEN_LAYOUTS.items()])
+    # dates up to the twelfth read either way round come after the others
+    position = F.when(F.dayofmonth("at") > 12, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + F.lit(2 ** 62))
+    found = dates.infer_layouts(texts, list(WRITTEN_LAYOUTS), position)
+    rows = [texts.agg(F.lit(name).alias("written"), F.lit(layout).alias("layout"), F.count(F.lit(1)).alias("lines"),
+                      F.count_if(dates.parse(F.col(name), layout) == F.col("at")).alias("equal"))
+            for name, layout in found.items()]
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def rollup_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3-A6, A9-A13, A18, A19 from rollups alone: the snapshot of ``refresh_corrections``, its
     parts' rollups added up and the corrected lines' taken out; every dimension and month."""
@@ -312,6 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refresh_by_header": refresh_by_header,
     "refresh_corrections": refresh_corrections,
     "snapshot_compaction": snapshot_compaction,
+    "date_layouts": date_layouts,
     "rollup_reports": rollup_reports,
     "rollup_growth": rollup_growth,
     "rollup_profile": rollup_profile,
@@ -334,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_customers_15": _on_sales(lambda s: R.top_customers(s, 15)),
     "top_customers_50": _on_sales(lambda s: R.top_customers(s, 50)),
     "recency_histogram": _on_sales(R.recency_histogram),
+    "nice_recency_histogram": _on_sales(R.nice_recency_histogram),
     # products
     "top_products": _rolled(lambda r, s: RU.top_products(r), R.top_products),
     "item_type_counts": _rolled(lambda r, s: RU.item_type_counts(r), R.item_type_counts),

@@ -179,6 +179,9 @@ FROM s""",
     "refresh_by_header": _q(f"""SELECT * REPLACE (CAST(invoice_no AS VARCHAR) AS invoice_no,
   CASE WHEN invoice_no % 3 = 1 THEN NULL ELSE colour END AS colour) FROM (SELECT {ROW_OUT} FROM sales)"""),
     "refresh_corrections": f"{CORRECTED_PREFIX}SELECT {ROW_OUT} FROM sales",
+    "date_layouts": "SELECT written, layout, n AS lines, n AS equal FROM (SELECT count(*) AS n FROM orders), (VALUES "
+                    "('iso', 'yyyy-M-d'), ('day_first', 'd/M/yyyy'), ('month_name', 'd MMM yyyy'), ('compact', 'yyyyMMdd'), "
+                    "('stamped', 'M/d/yyyy h:mm a')) t(written, layout)",
     "rollup_reports": CORRECTED_PREFIX + " UNION ALL ".join(f"""SELECT '{d}' AS dimension, {v} AS value, strftime(invoice_date, '%Y-%m') AS month,
   count(*) AS lines, CAST(sum(total_price) AS DOUBLE) AS revenue, sum(qty) AS units FROM sales GROUP BY 2, 3""" for d, v in [
         ("line", "CAST(NULL AS VARCHAR)"), *((d, d) for d in DIMENSIONS)]),
@@ -258,6 +261,13 @@ b AS (SELECT CAST(floor((days_since_last_purchase - lo) / w) AS BIGINT) AS bin,
       FROM customer_value, span)
 SELECT bin, lo + bin * w AS bin_start, lo + (bin + 1) * w AS bin_end, count(*) AS customers
 FROM b GROUP BY bin, lo, w ORDER BY bin"""),
+    "nice_recency_histogram": _q(f""", {_CUSTOMER_VALUE},
+ladder AS (SELECT CAST(m * 10 ** k AS BIGINT) AS w FROM range(18) k(k), (VALUES (1), (2), (5)) m(m)),
+width AS (
+  SELECT min(w) AS w FROM ladder, (SELECT min(days_since_last_purchase) AS lo, max(days_since_last_purchase) AS hi FROM customer_value)
+  WHERE hi // w - lo // w + 1 <= 25)
+SELECT days_since_last_purchase // w * w AS bin_start, days_since_last_purchase // w * w + w AS bin_end, count(*) AS customers
+FROM customer_value, width GROUP BY 1, 2 ORDER BY 1"""),
     "top_products": _q("""SELECT short_description AS product, CAST(sum(total_price) AS DOUBLE) AS total_price
 FROM sales WHERE short_description IS NOT NULL GROUP BY 1
 ORDER BY sum(total_price) DESC, product ASC LIMIT 10"""),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as LF
+from ..functions.dates import infer_layouts
+from ..functions.dates import parse as parse_date
 from ..schema import (DATE_COLUMNS, EXPECTED_COLUMNS, MEASURE_COLUMNS, MONEY_COLUMNS,
                       OPTIONAL_COLUMNS, SOURCE_NAMES)
 
@@ -25,13 +27,24 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(renames) if renames else df
 
 
-def clean_sales(df: DataFrame) -> DataFrame:
-    """Coerce types and derive calendar parts; columns that are absent stay absent."""
+def text_date_columns(df: DataFrame) -> list[str]:
+    """Date columns that are text, by their own names."""
+    df = normalise_names(df)
+    return [c for c in DATE_COLUMNS if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+
+
+def clean_sales(df: DataFrame, layouts: dict[str, str | None] | None = None) -> DataFrame:
+    """Coerce types and derive calendar parts; columns that are absent stay absent.
+
+    Text dates are ISO or US-style, value by value, unless ``layouts`` gives a column's one layout
+    (``functions.dates.infer_layouts``)."""
     df = normalise_names(df)
     cols = set(df.columns)
     out = {}
     for c in DATE_COLUMNS:
-        if c in cols:
+        if c in cols and layouts and layouts.get(c):
+            out[c] = parse_date(df[c], layouts[c])
+        elif c in cols:
             out[c] = df[c] if isinstance(df.schema[c].dataType, T.TimestampType) \
                 else LF.to_timestamp_or_null(df[c])
     for c in MONEY_COLUMNS:
@@ -60,21 +73,27 @@ def clean_export_text(df: DataFrame) -> DataFrame:
     return clean_sales(df.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else df)
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+def _cleaned(raw: DataFrame, guess_dates: bool) -> DataFrame:
+    columns = text_date_columns(raw) if guess_dates else []
+    return clean_sales(raw, infer_layouts(normalise_names(raw), columns) if columns else None)
+
+
+def read_sales(spark: SparkSession, path: str, fmt: str = "parquet", guess_dates: bool = False, **options) -> DataFrame:
     """Read a sales export. CSV is read as all-text (no schema inference), by default with
     the options that ``storage.export_csv`` writes with and each file by its own header; with
-    other options Spark's reader takes the first file's header for all."""
+    other options Spark's reader takes the first file's header for all. ``guess_dates`` reads each
+    column of text dates by the one layout of its first date (one pass over these columns)."""
     if fmt == "csv" and not options:
         from .exports import drift, list_exports, read_csv_exports
         files = list_exports(spark, path)
         if files:
-            return clean_sales(read_csv_exports(spark, drift(spark, files)))
+            return _cleaned(read_csv_exports(spark, drift(spark, files)), guess_dates)
     if fmt == "csv":
         from .storage import CSV_READ_OPTIONS, unguard_null_marker
         raw = unguard_null_marker(spark.read.options(**{**CSV_READ_OPTIONS, **options}).csv(path))
     else:
         raw = spark.read.format(fmt).options(**options).load(path)
-    return clean_sales(raw)
+    return _cleaned(raw, guess_dates)
 
 
 def missing_columns(df: DataFrame) -> list[str]:

@@ -25,6 +25,8 @@ from .manifest import file_system
 KNOWN_COLUMNS = EXPECTED_COLUMNS + list(OPTIONAL_COLUMNS.values())
 HEADER_BYTES = 1 << 16
 EXPORT = "_export"
+# in a folder whose texts hold line breaks in line (``storage.in_line``)
+INLINE_MARK = "_INLINE"
 
 
 def _key(path) -> str:
@@ -33,47 +35,48 @@ def _key(path) -> str:
     return "file:/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
 
 
-def _describe(status, folder: str | None) -> dict:
+def _describe(status, folder: str | None, inline: bool) -> dict:
     path = status.getPath()
-    return {"path": path.toString(), "export": folder or _key(path), "in_folder": folder is not None,
+    return {"path": path.toString(), "export": folder or _key(path), "in_folder": folder is not None, "inline": inline,
             "mtime": status.getModificationTime(), "bytes": status.getLen()}
 
 
 def list_exports(spark: SparkSession, path: str) -> list[dict]:
     """Data files at and below ``path``: path, export (the key of the file or of its complete
-    folder), in_folder, mtime (ms) and bytes."""
+    folder), in_folder, inline, mtime (ms) and bytes."""
     fs, root = file_system(spark, path)
     if not fs.exists(root):
         return []
     if fs.getFileStatus(root).isFile():
-        return [_describe(fs.getFileStatus(root), None)]
+        mark = spark._jvm.org.apache.hadoop.fs.Path(fs.getFileStatus(root).getPath().getParent(), INLINE_MARK)
+        return [_describe(fs.getFileStatus(root), None, fs.exists(mark))]
     found, folders = [], [root]
     while folders:
         folder = folders.pop()
         inside = list(fs.listStatus(folder))
-        complete = _key(folder) if any(s.getPath().getName() == "_SUCCESS" for s in inside) else None
+        marks = {s.getPath().getName() for s in inside} & {"_SUCCESS", INLINE_MARK}
+        complete = _key(folder) if "_SUCCESS" in marks else None
         for status in inside:
             if status.getPath().getName().startswith(("_", ".")):
                 continue
             if status.isDirectory():
                 folders.append(status.getPath())
             else:
-                found.append(_describe(status, complete))
+                found.append(_describe(status, complete, INLINE_MARK in marks))
     return found
 
 
 def describe(spark: SparkSession, paths: list[str]) -> list[dict]:
     """The same for given files, in their order."""
-    out, complete = [], {}
+    out, marks = [], {}
     for path in paths:
         fs, p = file_system(spark, path)
         status = fs.getFileStatus(p)
         folder = status.getPath().getParent()
         key = _key(folder)
-        if key not in complete:
-            mark = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-            complete[key] = key if fs.exists(mark) else None
-        out.append(_describe(status, complete[key]))
+        if key not in marks:
+            marks[key] = [fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, m)) for m in ("_SUCCESS", INLINE_MARK)]
+        out.append(_describe(status, key if marks[key][0] else None, marks[key][1]))
     return out
 
 
@@ -134,19 +137,20 @@ def drift(spark: SparkSession, files: list[dict]) -> list[dict]:
 def read_csv_exports(spark: SparkSession, files: list[dict], with_export: bool = False) -> DataFrame:
     """CSV exports (from ``drift``) as text columns by name; a known column that no file has
     is not there. ``with_export`` adds each row's file as ``_export``."""
-    from .storage import CSV_READ_OPTIONS, unguard_null_marker
-    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    from .storage import CSV_INLINE_OPTIONS, CSV_READ_OPTIONS, from_in_line, unguard_null_marker
+    groups: dict[tuple[tuple[str, ...], bool, bool], list[str]] = {}
     for f in files:
-        groups.setdefault((tuple(f["header"]), f["in_folder"] and with_export), []).append(f["path"])
+        groups.setdefault((tuple(f["header"]), f["in_folder"] and with_export, f["inline"]), []).append(f["path"])
     parts = []
-    for (header, in_folder), paths in groups.items():
+    for (header, in_folder, inline), paths in groups.items():
         places, _, _ = resolve(header)
         layout = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, len(header)))])
-        raw = spark.read.schema(layout).options(**CSV_READ_OPTIONS).csv(paths)
+        raw = spark.read.schema(layout).options(**(CSV_INLINE_OPTIONS if inline else CSV_READ_OPTIONS)).csv(paths)
         own = [F.col(f"c{i}").alias(c) for c, i in places.items()]
         if with_export:
             own.append(_export_column(in_folder))
-        parts.append(unguard_null_marker(raw.select(*own)))
+        decode = from_in_line if inline else unguard_null_marker
+        parts.append(decode(raw.select(*own), list(places)) if places else raw.select(*own))
     if not parts:
         return spark.createDataFrame([], T.StructType([]))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

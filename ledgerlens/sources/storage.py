@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..operators import rollups
 from ..schema import DERIVED_COLUMNS, SALES_SCHEMA
 from ..session import configure, scratch_dir, shared_root
-from .exports import EXPORT, states
+from .exports import EXPORT, INLINE_MARK, states
 from .fixtures import PRODUCT_SOURCE_TABLES, SALES_SOURCE_TABLES, table_paths
 from .manifest import commit, file_system, forget_versions, read_manifest, retire
 
@@ -453,39 +453,57 @@ def refresh(spark: SparkSession, paths: list[str]) -> None:
 
 # Null marker in exported CSV, so an empty text value ('') stays distinct from null.
 CSV_NULL = "\\N"
-# One set of options for writer and reader: RFC 4180 quoting, nothing trimmed, line breaks
-# inside quoted values (so a part file is read by one task; a part is one task's output).
+# One set of options for writer and reader: RFC 4180 quoting, nothing trimmed.
 CSV_OPTIONS = {
     "header": "true", "nullValue": CSV_NULL, "quote": '"', "escape": '"', "emptyValue": "",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
+# Exports of others may hold line breaks inside quoted values: a file is then one task's work.
+# Ours write them in line (``in_line``), so that many tasks read one file.
 CSV_READ_OPTIONS = {**CSV_OPTIONS, "multiLine": "true", "inferSchema": "false", "lineSep": "\n"}
+CSV_INLINE_OPTIONS = {**CSV_READ_OPTIONS, "multiLine": "false"}
 
 
 def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def guard_null_marker(df: DataFrame) -> DataFrame:
-    r"""Text that reads like the null marker (``\N``, or with more backslashes) gets one more
+def unguard_null_marker(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Text of exports with line breaks in quotes: what reads like the null marker had one more
     backslash."""
-    return df.withColumns({c: F.when(F.col(c).rlike(r"^\\+N$"), F.concat(F.lit("\\"), F.col(c))).otherwise(F.col(c))
-                           for c in _text_columns(df)})
+    return df.withColumns({c: F.when(F.col(c).rlike(r"^\\\\+N$"), F.substring(c, 2, 2 ** 31 - 1)).otherwise(F.col(c))
+                           for c in columns or _text_columns(df)})
 
 
-def unguard_null_marker(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.when(F.col(c).rlike(r"^\\\\+N$"), F.substring(c, 2, 2 ** 31 - 1)).otherwise(F.col(c))
-                           for c in _text_columns(df)})
+def in_line(df: DataFrame) -> DataFrame:
+    """Text without line breaks: backslash, line feed and carriage return as a backslash and a letter
+    (a text that reads like the null marker then has two backslashes)."""
+    def code(c: str) -> Column:
+        escaped = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+        return F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return df.withColumns({c: code(c) for c in _text_columns(df)})
+
+
+def from_in_line(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """What ``in_line`` was made of: between double backslashes the others stand for line breaks."""
+    def text(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return df.withColumns({c: F.when(F.contains(F.col(c), F.lit("\\")), F.array_join(F.transform(
+        F.split(F.col(c), r"\\\\", -1), text), "\\")).otherwise(F.col(c)) for c in columns or _text_columns(df)})
 
 
 def export_csv(df: DataFrame, path: str) -> str:
     """Export with a header row, no index; ``load.read_sales(fmt="csv")`` reads it back.
 
     Written as a directory of part files (one per task) rather than funnelled
-    through a single task.
+    through a single task. The marker ``_INLINE`` is there before the first file is.
     """
-    guard_null_marker(df).write.mode("overwrite").options(**{**CSV_OPTIONS, "emptyValue": '""', "lineSep": "\n"}).csv(path)
+    fs, folder = file_system(df.sparkSession, path)
+    fs.delete(folder, True)
+    fs.mkdirs(folder)
+    fs.create(file_system(df.sparkSession, f"{path}/{INLINE_MARK}")[1]).close()
+    in_line(df).write.mode("append").options(**{**CSV_OPTIONS, "emptyValue": '""', "lineSep": "\n"}).csv(path)
     return path
 
 

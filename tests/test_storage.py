@@ -87,7 +87,7 @@ def test_freshness_window_can_be_turned_off(spark):
 def test_csv_export_loses_nothing(spark):
     from ledgerlens.sources.load import read_sales
     texts = ["plain", "two\nlines", "cr\r\nlf", 'quo"te', '"', "back\\slash", "\\", "\\N", "\\\\N", " lead", "trail ", "", None, "a,b",
-             "\ttab", "'"]
+             "\ttab", "'", "\\n", "\\\n", "\\\\n", "\\r\r\\", "\n", "\\\\\\N"]
     d = tempfile.mkdtemp(prefix="ll-csv-")
     when = datetime.datetime(2020, 1, 2, 3, 4, 5, 678901)
     df = spark.createDataFrame([(str(i), when, t) for i, t in enumerate(texts)], "invoice_no string, invoice_date timestamp, company string")
@@ -97,6 +97,34 @@ def test_csv_export_loses_nothing(spark):
     assert {r["invoice_date"] for r in got.values()} == {when}
 
 
+def test_a_large_part_file_is_read_by_several_tasks(spark):
+    from ledgerlens.sources.load import read_sales
+    d = tempfile.mkdtemp(prefix="ll-csv-")
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("invoice_no"),
+                                    F.concat(F.lit('a "quoted",\nline\\n '), F.col("id").cast("string"), F.lit("\r\n")).alias("company"))
+    storage.export_csv(df.coalesce(1), f"{d}/out")
+    assert len(glob.glob(f"{d}/out/part-*.csv")) == 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        back = read_sales(spark, f"{d}/out", fmt="csv")
+        assert back.rdd.getNumPartitions() > 3
+        assert back.select("invoice_no", "company").exceptAll(df).count() == 0 and back.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_exports_with_line_breaks_in_quotes_are_read(spark):
+    """Files of others, and exports of earlier versions: no marker, one task per file."""
+    from ledgerlens.sources.load import read_sales
+    d = tempfile.mkdtemp(prefix="ll-csv-")
+    os.makedirs(f"{d}/in")
+    with open(f"{d}/in/a.csv", "w", newline="") as f:
+        f.write('Invoice No,Company/Individual\n1,"two\nlines, ""x"""\n2,\\\\N\n3,\\N\n4,back\\n\n')
+    rows = {r["invoice_no"]: r["company"] for r in read_sales(spark, f"{d}/in", fmt="csv").collect()}
+    assert rows == {"1": 'two\nlines, "x"', "2": "\\N", "3": None, "4": "back\\n"}
+
+
 def test_missing_sales_source_raises(spark):
     import pytest
     from pyspark.errors import AnalysisException

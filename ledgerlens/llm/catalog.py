@@ -98,8 +98,7 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = stored(alignment.align(docs, TOKENIZER, PIECE_MODEL))
-    linked = alignment.link_strength(aligned, alignment.link_counts(aligned))
-    return alignment.group_digests(linked).select(
+    return alignment.link_strength(aligned, alignment.link_counts(aligned), digest=True).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

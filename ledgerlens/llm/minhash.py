@@ -5,12 +5,15 @@
    equal sets form a class; from here on classes are compared, never their copies.
 2. Classes are posted under their (coordinate, value) pairs. Values that stand alone are
    dropped, and with them every class that cannot collide often enough. The match threshold
-   lies 4.7 standard deviations below the expected collisions of the similarity asked for.
+   is such that a pair of just the similarity asked for falls below it once in ``MISSES`` times.
    Prefix: of a class's m remaining postings, rarest first, only the first
    m - threshold + 1 are kept; two classes that collide at ``threshold`` coordinates share one.
 3. Within each posting list, collisions are counted on signatures, skipping members that
    are connected already. What collides often enough makes candidate components.
 4. Within each candidate component, links are confirmed on the full shingle sets.
+5. Minima of a small set's few shingles go together, so signatures say less about it: sets of at
+   most ``SMALL_SET`` shingles are also posted under their smallest shingles, of which two linked
+   ones share one, and compared in full there; no link between them depends on a signature.
 
 Long lists and large components are split into chunks without losing a link
 (``components.link``). Nothing emits all pairs of a group.
@@ -39,15 +42,22 @@ from .hashing import WINDOW_BASES, Prefix, Words, mix, text_batches
 K = 64
 BATCH_BYTES = 1_000_000
 LIST_CHUNK = 8192
+MISSES = 50_000_000
+SMALL_SET = 24
 SET_CHUNK = 1_000_000
 MULTIPLIERS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def match_threshold(percent: int) -> int:
-    """Collisions below which a pair of the similarity asked for falls 4.2 times in a million (at 80
-    per cent, exact binomial for independent coordinates; such a pair is not confirmed)."""
-    s = percent / 100
-    return max(1, math.floor(K * s - 4.7 * math.sqrt(K * s * (1 - s))))
+    """The most collisions of which a pair of the similarity asked for falls short at most once in
+    ``MISSES`` times, by the exact binomial for independent coordinates (32 of 64 at 80 per cent)."""
+    s, short, least = percent / 100, 0.0, 0
+    while least < K:
+        short += math.comb(K, least) * s ** least * (1 - s) ** (K - least)
+        if short > 1 / MISSES:
+            break
+        least += 1
+    return max(1, least)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -124,8 +134,8 @@ class SetLinker(Linker):
 
 
 def document_signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, text_hash, n_shingles, node, check, signature); node and check are the set's
-    fingerprint."""
+    """Rows (doc_id, text_hash, n_shingles, node, check, signature, small); node and check are the
+    set's fingerprint, ``small`` is the set itself if it has at most ``SMALL_SET`` shingles."""
     def run(batches):
         for batch in batches:
             for a, b, texts in text_batches(batch.column(1), BATCH_BYTES):
@@ -137,11 +147,12 @@ def document_signatures(docs: DataFrame, size: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a),
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                     pa.ListArray.from_arrays(offsets, pa.array(sigs))],
-                    names=["doc_id", "text_hash", "n_shingles", "node", "check", "signature"])
+                     pa.ListArray.from_arrays(offsets, pa.array(sigs)),
+                     pa.array([s.tobytes() if 0 < len(s) <= SMALL_SET else None for s in sets], pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "check", "signature", "small"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")), run,
-                       "doc_id long, text_hash long, n_shingles long, node long, check long, signature array<int>")
+                       "doc_id long, text_hash long, n_shingles long, node long, check long, signature array<int>, small binary")
 
 
 def prefix_postings(classes: DataFrame, threshold: int) -> DataFrame:
@@ -158,6 +169,25 @@ def prefix_postings(classes: DataFrame, threshold: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("p", 1, F.size("p") - (threshold - 1))).alias("p")).select("p.g", "node")
 
 
+def small_links(classes: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Edges (a, b) that connect all linked pairs of small sets."""
+    small = classes.filter("small IS NOT NULL").select("node", "n", "small")
+
+    def post(batches):
+        for batch in batches:
+            nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # two linked sets share one of their so many smallest shingles
+            heads = [np.frombuffer(p, np.int64)[:n - -(-percent * n // 100) + 1] for p, n in zip(batch.column(2).to_pylist(), sizes.tolist())]
+            counts = [len(h) for h in heads]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)), pa.array(np.repeat(nodes, counts)),
+                 pa.array(np.repeat(sizes, counts))], names=["g", "node", "weight"])
+
+    postings = stored(map_batches(small, post, "g long, node long, weight long"))
+    sets = small.select("node", F.col("small").alias("payload"))
+    return link(postings, lambda rows: rows.join(sets.hint("merge"), "node"), SetLinker(percent), chunk)
+
+
 def labelled(docs: DataFrame, size: int, percent: int, list_chunk: int = LIST_CHUNK,
              set_chunk: int = SET_CHUNK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash (which tells rows of one doc_id
@@ -169,7 +199,8 @@ def labelled(docs: DataFrame, size: int, percent: int, list_chunk: int = LIST_CH
     threshold = match_threshold(percent)
     signed = stored(document_signatures(docs, size))
     classes = stored(signed.filter("n_shingles > 0").groupBy("node", "check").agg(
-        F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+        F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "text_hash")).alias("first"),
+        F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("small").alias("small")))
 
     def add_signature(rows: DataFrame) -> DataFrame:
         return rows.join(short.hint("merge"), "node")
@@ -188,31 +219,30 @@ def labelled(docs: DataFrame, size: int, percent: int, list_chunk: int = LIST_CH
     candidates = connected(link(postings, add_signature, SignatureLinker(threshold), list_chunk))
 
     members = stored(candidates.join(classes, "node").select(F.col("label").alias("g"), "node", F.col("n").alias("weight"),
-                                                             "first_doc"))
-    by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                                                             "first"))
+    by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
 
     def full_sets(batches):
         for batch in batches:
-            for a, b, texts in text_batches(batch.column(2), BATCH_BYTES):
-                sets = shingle_sets(texts, size)
-                nodes = batch.column(0).slice(a, b - a)
-                same = [len(s) > 0 and fingerprint(s)[0] == node for s, node in zip(sets, nodes.to_pylist())]
+            for a, b, texts in text_batches(batch.column(1), BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays(
-                    [nodes.filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())],
+                    [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())],
                     names=["node", "payload"])
 
-    # only each class's first document; a repeated row of it is the same set again
-    located = members.select("node", "first_doc").hint("merge").join(
-        by_id, F.col("first_doc").eqNullSafe(F.col("doc_id"))).select("node", "doc_id", "text")
-    sets = stored(map_batches(located, full_sets, "node long, payload binary").dropDuplicates(["node"]))
-    confirmed = connected(link(members.select("g", "node", "weight"), lambda rows: rows.join(sets.hint("merge"), "node"),
-                               SetLinker(percent), set_chunk))
+    # only each class's first document, by its id and text; a repeated row of it is the same set again
+    located = members.select("node", "first").hint("merge").join(
+        by_id, F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))).select(
+        "node", "text").dropDuplicates(["node"])
+    sets = stored(map_batches(located, full_sets, "node long, payload binary"))
+    links = link(members.select("g", "node", "weight"), lambda rows: rows.join(sets.hint("merge"), "node"),
+                 SetLinker(percent), set_chunk)
+    confirmed = connected(links.union(small_links(classes, percent, set_chunk)))
     by_class = classes.select("node", "check", "first_doc").join(confirmed, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     smallest = by_class.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     component = by_class.join(smallest, "label").select("node", "check", "label", "component_id")
     filled = F.col("n_shingles") > 0
-    return (signed.drop("signature").join(component, ["node", "check"], "left")
+    return (signed.drop("signature", "small").join(component, ["node", "check"], "left")
             .select("doc_id", "text_hash", "n_shingles", F.when(filled, F.col("label")).alias("label"),
                     F.when(filled, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 

@@ -62,7 +62,33 @@ def test_signatures_estimate_similarity():
         got.append((minhash.signature(a) == minhash.signature(b)).mean())
         a = rng.integers(0, 2 ** 63, 4000).astype(np.uint64)
     assert abs(np.mean(got) - 3600 / 4400) < 0.03
-    assert minhash.match_threshold(80) == 36
+
+
+def test_threshold_is_that_of_the_exact_tail():
+    from math import comb
+    for percent in (50, 80, 95):
+        s, least = percent / 100, minhash.match_threshold(percent)
+        below = lambda t: sum(comb(64, k) * s ** k * (1 - s) ** (64 - k) for k in range(t))
+        assert below(least) <= 1 / minhash.MISSES < below(least + 1)
+    assert minhash.match_threshold(80) == 32
+
+
+def test_small_sets_lose_no_link(spark):
+    """Thousands of short texts of which signatures say little."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(1500):
+        w = [f"v{i % 250}x{k}" for k in range(int(rng.integers(3, 28)))]
+        w = w[:int(rng.choice([len(w), max(1, len(w) - 1), max(1, len(w) - 2)]))]
+        rows.append((i, " ".join(w)))
+    want = brute.components(dict(rows), 4)
+    assert as_dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)) == want
+
+
+def test_rows_without_ids_are_told_apart_by_their_text(spark):
+    rows = [(None, f"{' '.join(f'a{i}w{k}' for k in range(30))} end{j}") for i in range(60) for j in range(3)]
+    labels = minhash.labelled(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    assert labels.select("label").distinct().count() == 60
 
 
 @pytest.mark.parametrize("edges", [[], [(2, 1)], [(i, i + 1) for i in range(40)], [(i, 0) for i in range(1, 30)],

@@ -33,6 +33,7 @@ from .series import demand_features, month_features, ordered_sum, train_test_spl
 REVENUE_TREES, REVENUE_DEPTH, REVENUE_RATE = 100, 4, 0.1
 REVENUE_MIN_CHILD, REVENUE_SUBSAMPLE, REVENUE_COLSAMPLE = 2, 0.8, "0.8"
 DEMAND_TREES, DEMAND_DEPTH, DEMAND_RATE = 50, 3, 0.1
+DEMAND_PARTS, DEMAND_PART_ROWS = 8, 200_000
 SEED = 42
 Z_95 = 1.96
 BAND_GROWTH_PER_STEP = 0.1
@@ -259,7 +260,9 @@ def _fit_demand_model(series: DataFrame):
         "rolling_mean_3": F.col("rolling_mean_3") / s})
     cols = DEMAND_FEATURES
     tbl = _clean(tbl.withColumns({c: F.col(c).cast("double") for c in cols}), cols).checkpoint(eager=True)
-    model = _fit(tbl, cols, series.sparkSession.sparkContext.defaultParallelism, maxIter=DEMAND_TREES, stepSize=DEMAND_RATE, maxDepth=DEMAND_DEPTH)
+    # by the panel's rows, not the cluster's cores: sums, and with them splits, depend on the parts
+    parts = max(DEMAND_PARTS, tbl.count() // DEMAND_PART_ROWS)
+    model = _fit(tbl, cols, parts, maxIter=DEMAND_TREES, stepSize=DEMAND_RATE, maxDepth=DEMAND_DEPTH)
     return model, tbl, cols
 
 

@@ -364,7 +364,7 @@ def build_snapshot(spark: SparkSession, sf_dir: str) -> str:
 # reuses its loaded table; within it a changed source is not seen. 0 checks on every call. A
 # stale or missing snapshot is always checked again.
 FRESH_TTL_SECONDS = 300
-_FRESH: dict[tuple[str, str], tuple[float, DataFrame]] = {}
+_FRESH: dict[tuple[str, str], tuple[float, DataFrame, dict]] = {}
 
 
 def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -> DataFrame | None:
@@ -372,7 +372,7 @@ def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -
     ttl = FRESH_TTL_SECONDS if ttl is None else ttl
     path = snapshot_path(spark, sf_dir)
     key = (spark.sparkContext.applicationId, path)
-    for old in [k for k, (t, _) in _FRESH.items() if time.monotonic() - t >= ttl]:
+    for old in [k for k, entry in _FRESH.items() if time.monotonic() - entry[0] >= ttl]:
         del _FRESH[old]
     if key in _FRESH:
         return _FRESH[key][1]
@@ -382,16 +382,17 @@ def fresh_snapshot(spark: SparkSession, sf_dir: str, ttl: float | None = None) -
     _check_exports(spark, path, manifest)
     df = read_snapshot(spark, path, manifest=manifest)
     df = df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns])
-    _FRESH[key] = (time.monotonic(), df)
+    _FRESH[key] = (time.monotonic(), df, manifest)
     return df
 
 
 def fresh_rollups(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """The rollups of the stored table if its base is fresh, else None."""
+    """The rollups of the version that ``fresh_snapshot`` reads, None without one."""
     if fresh_snapshot(spark, sf_dir) is None:
         return None
     path = snapshot_path(spark, sf_dir)
-    return read_rollups(spark, path, read_manifest(spark, path))
+    entry = _FRESH.get((spark.sparkContext.applicationId, path))
+    return read_rollups(spark, path, entry[2] if entry else read_manifest(spark, path))
 
 
 def _check_exports(spark: SparkSession, path: str, manifest: dict) -> None:

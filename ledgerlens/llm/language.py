@@ -5,13 +5,21 @@ n-grams (1 to 4, word ends marked) and of the scripts its words are written in.
 ``n_languages x 2 ** HASH_BITS`` floats, a size that does not depend on the corpus; it is the
 only thing gathered on the driver and broadcast.
 
-Prediction: the script of a word (by code-point ranges) narrows its candidate languages;
-every word gets a score per language (naive Bayes over its n-grams); a Viterbi pass over the
-words of a text, with a penalty for switching, labels spans. A text's language is the one
-that labels most of its letters, and the score is that share of letters.
+Prediction: the script of a word (by code-point ranges, the one most of its letters are in)
+narrows its candidate languages; the word gets a score for each candidate (naive Bayes over
+its n-grams) and no other language can label it; a Viterbi pass over the words of a text, with
+a penalty for switching, labels spans. A text's language is the one that labels most of its
+letters, and the score is that share of letters.
+
+An n-gram's share in a language is mixed with the same small background for every language, so
+what a language has not met costs the same however much text it was learned from.
 
 Words are runs of letters, lower-cased; equal words are scored once per batch. The Viterbi
-pass runs over many texts at once, so memory is bounded by a fixed batch of text.
+pass runs over many texts at once, ``SLICE_CHARS`` of them at a time. A longer text is cut at
+white space into stretches of that size: the state is carried over them, and the path is read
+back stretch by stretch, each run a second time from its stored state. Beside the text itself
+(and a single word without white space, which is not cut) memory is bounded by a stretch, and by
+the model: ``2 ** HASH_BITS`` floats per learned language.
 
 Defined cases: null, empty or letterless text is ``und`` with score 0; null language rows
 are not learned from; with nothing to learn from every text is ``und``; a text whose script
@@ -35,8 +43,11 @@ from .common import map_batches
 HASH_BITS = 16
 MAX_WORD = 24
 SLICE_CHARS = 1_500_000
+PENDING_WORDS = 200_000
+BACKGROUND = 0.01
 UNDETERMINED = "und"
 LETTER_RUN = re.compile(r"[^\W\d_]+")
+WHITE_SPACE = re.compile(r"\s")
 
 # first code points of script ranges, in order (fixed values); 0 is any other script
 SCRIPT_RANGES = [
@@ -93,9 +104,25 @@ def _grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_scripts(words: list[str]) -> np.ndarray:
-    """Script of each word's first letter beyond Latin, else Latin or other."""
-    codes = np.array([w[:MAX_WORD] for w in words], dtype=f"U{MAX_WORD}").view(np.uint32).reshape(len(words), MAX_WORD)
-    return _SCRIPTS[np.searchsorted(_STARTS, codes[:, 0], side="right")]
+    """The script most letters of each word are in (the first of ``SCRIPT_RANGES``' numbers, if several)."""
+    stretches, owner = _pieces(words)
+    codes = np.array(stretches, dtype=f"U{MAX_WORD}").view(np.uint32).reshape(len(stretches), MAX_WORD)
+    row, at = np.nonzero(codes)
+    script = _SCRIPTS[np.searchsorted(_STARTS, codes[row, at], side="right")]
+    held = np.bincount(owner[row] * N_SCRIPTS + script, minlength=len(words) * N_SCRIPTS)
+    return held.reshape(len(words), N_SCRIPTS).argmax(1)
+
+
+def _stretches(text: str):
+    """``text`` in pieces of about ``SLICE_CHARS``, cut at white space only."""
+    start = 0
+    while len(text) - start > SLICE_CHARS:
+        cut = WHITE_SPACE.search(text, start + SLICE_CHARS)
+        if cut is None:
+            break
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:] if start else text
 
 
 def _letter_words(text: str) -> list[str]:
@@ -130,15 +157,25 @@ def learn(labelled: DataFrame) -> dict | None:
                     table += np.bincount(grams[real], w[real], size)
 
         pending: dict[str, Counter] = {}
+        n_pending = 0  # different words of all languages' counters
+
+        def flush():
+            for lang, held in pending.items():
+                if held:
+                    add(lang, held)
+            pending.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = pending.setdefault(lang, Counter())
-                held.update(_letter_words(text))
-                if len(held) > 200_000:
-                    add(lang, pending.pop(lang))
-        for lang, held in pending.items():
-            if held:
-                add(lang, held)
+                for stretch in _stretches(text):
+                    held = pending.setdefault(lang, Counter())
+                    n_pending -= len(held)
+                    held.update(_letter_words(stretch))
+                    n_pending += len(held)
+                    if n_pending > PENDING_WORDS:
+                        flush()
+                        n_pending = 0
+        flush()
         for lang, table in counts.items():
             both = np.concatenate([table, scripts[lang]])
             used = np.nonzero(both)[0]
@@ -158,72 +195,100 @@ def learn(labelled: DataFrame) -> dict | None:
     for i, (slots, ns) in enumerate(zip(packed["slots"], packed["ns"])):
         table[i, np.asarray(slots, int)] = ns
     grams, scripts = table[:, :size], table[:, size:]
-    smooth = 0.5
-    scores = np.log(grams + smooth) - np.log(grams.sum(1, keepdims=True) + smooth * size)
+    shares = grams / np.maximum(1, grams.sum(1, keepdims=True))
+    background = (shares.mean(0) + 1 / size) / 2
+    scores = np.log((1 - BACKGROUND) * shares + BACKGROUND * background)
     share = scripts / np.maximum(1, scripts.sum(1, keepdims=True))
     return {"langs": packed["lang"].tolist(), "scores": scores.T.astype(np.float32).copy(),
             "scripts": share >= 0.01}
 
 
+def _candidates(model: dict, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of languages that may label words (one row each), and every word's set."""
+    allowed = model["scripts"].T
+    allowed = allowed | ~allowed.any(1, keepdims=True)  # a script that no language uses narrows nothing
+    sets, of_script = np.unique(allowed, axis=0, return_inverse=True)
+    return sets, of_script.ravel()[word_scripts(words)]
+
+
+def _gram_sums(table: np.ndarray, words: list[str]) -> np.ndarray:
+    """Sums of the scores of each word's n-grams, per column of ``table``: the mean over the
+    lengths 2 to 4, so that every letter counts about once."""
+    stretches, owner = _pieces(words)
+    codes = _code_matrix(stretches)
+    total = np.zeros((len(stretches), table.shape[1]), np.float32)
+    for n in (2, 3, 4):
+        grams, real = _grams(codes, n)
+        count = real.sum(1)
+        has = count > 0
+        if has.any():
+            first = np.cumsum(count) - count
+            total[has] += np.add.reduceat(table[grams[real]], first[has], axis=0) / 3
+    if len(stretches) == len(words):
+        return total
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    np.add.at(out, owner, total)
+    return out
+
+
 def score_words(model: dict, words: list[str]) -> np.ndarray:
-    """Score per word and language: mean n-gram score times the word's length, so that
-    every letter counts once; languages outside the word's script are ruled out."""
-    n_langs = len(model["langs"])
-    out = np.zeros((len(words), n_langs), np.float32)
-    for a in range(0, len(words), 10_000):
-        part = words[a:a + 10_000]
-        stretches, owner = _pieces(part)
-        codes = _code_matrix(stretches)
-        total = np.zeros((len(stretches), n_langs), np.float32)
-        for n in (2, 3, 4):
-            grams, real = _grams(codes, n)
-            flat = model["scores"][grams[real]]
-            rows = np.nonzero(real)[0]
-            first = np.searchsorted(rows, np.arange(len(stretches)))
-            has = np.bincount(rows, minlength=len(stretches)) > 0
-            sums = np.zeros_like(total)
-            if len(rows):
-                sums[has] = np.add.reduceat(flat, first[has], axis=0)
-            total += sums / 3
-        np.add.at(out, a + owner, total)
-        allowed = model["scripts"].T[word_scripts(part)]
-        allowed |= ~allowed.any(1, keepdims=True)
-        out[a:a + len(part)] -= np.where(allowed, 0, 40).astype(np.float32)
+    """Score per word and language; languages outside a word's candidates get -inf."""
+    out = np.full((len(words), len(model["langs"])), -np.inf, np.float32)
+    if not words:
+        return out
+    sets, of_word = _candidates(model, words)
+    for k in np.unique(of_word):
+        langs, at = np.flatnonzero(sets[k]), np.flatnonzero(of_word == k)
+        if len(langs) == 1:  # nothing to tell apart
+            out[at, langs] = 0
+            continue
+        table = model["scores"] if len(langs) == len(model["langs"]) else model["scores"][:, langs].copy()
+        for a in range(0, len(at), 10_000):
+            part = at[a:a + 10_000]
+            out[np.ix_(part, langs)] = _gram_sums(table, [words[i] for i in part])
     return out
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
     """Best language per word for many texts at once (``offsets``: each text's first word)."""
+    return viterbi_stretch(scores, offsets, penalty, np.zeros((len(offsets) - 1, scores.shape[1]), np.float32))[0]
+
+
+def viterbi_stretch(scores: np.ndarray, offsets: np.ndarray, penalty: float, start: np.ndarray,
+                    end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the words, every text's state after its last word and the label before its first.
+
+    ``start`` holds the texts' states before their first words, ``end`` the label that the word
+    after the last one came from, if there is one.
+    """
     n_words, n_langs = scores.shape
     lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = offsets[:-1][order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
     came = np.zeros((n_words, n_langs), np.int16)
-    state = np.zeros((len(lengths), n_langs), np.float32)
-    last = np.zeros(len(lengths), np.int64)
+    state = start[order]
     stay = np.arange(n_langs, dtype=np.int16)
     for t, n in enumerate(active):
         rows = starts[:n] + t
-        if t:
-            best = state[:n].argmax(1)
-            top = state[np.arange(n), best] - penalty
-            switch = state[:n] < top[:, None]
-            came[rows] = np.where(switch, best[:, None], stay)
-            state[:n] = np.where(switch, top[:, None], state[:n])
-        state[:n] += scores[rows]
+        best = state[:n].argmax(1)
+        # states are kept relative to the best one, so they stay small however long the text
+        behind = state[:n] - state[np.arange(n), best][:, None]
+        came[rows] = np.where(behind < -penalty, best[:, None], stay)
+        state[:n] = np.maximum(behind, -penalty) + scores[rows]
     labels = np.zeros(n_words, np.int16)
-    last = state.argmax(1)
+    last = state.argmax(1) if end is None else np.full(len(lengths), end)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         rows = starts[:n] + t
         labels[rows] = last[:n]
         last[:n] = came[rows, last[:n]]
-    return labels
+    back = np.argsort(order)
+    return labels, state[back], last[back]
 
 
-def _label_texts(model: dict, texts: list[str | None], penalty: float):
-    """Words of all texts, offsets, labels and letters per word."""
+def _scored_words(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of all words of the texts, offsets, and letters per word."""
     words: list[str] = []
     offsets = [0]
     for text in texts:
@@ -232,16 +297,37 @@ def _label_texts(model: dict, texts: list[str | None], penalty: float):
     codes, unique = pd.factorize(np.array(words, dtype=object))
     unique = list(unique)
     letters = np.array([len(w) if _has_letter(w) else 0 for w in unique], np.int64)
-    scores = score_words(model, unique) if unique else np.zeros((0, len(model["langs"])), np.float32)
+    scores = score_words(model, unique)
     scores[letters == 0] = 0
-    offsets = np.array(offsets)
-    labels = viterbi(scores[codes], offsets, penalty) if len(codes) else np.zeros(0, np.int16)
-    return offsets, labels, letters[codes] if len(codes) else np.zeros(0, np.int64)
+    return scores[codes], np.array(offsets), letters[codes]
+
+
+def _label_texts(model: dict, texts: list[str | None], penalty: float):
+    """Offsets of all texts' words, labels and letters per word."""
+    scores, offsets, letters = _scored_words(model, texts)
+    return offsets, viterbi(scores, offsets, penalty), letters
+
+
+def _label_stretches(model: dict, text: str, penalty: float):
+    """Labels and letters of the words of a long text, a stretch at a time, the last one first."""
+    cuts = [0]
+    states = [np.zeros((1, len(model["langs"])), np.float32)]
+    for stretch in _stretches(text):
+        cuts.append(cuts[-1] + len(stretch))
+        scores, offsets, _ = _scored_words(model, [stretch])
+        states.append(viterbi_stretch(scores, offsets, penalty, states[-1])[1])
+    end = None
+    for i in range(len(cuts) - 2, -1, -1):
+        scores, offsets, letters = _scored_words(model, [text[cuts[i]:cuts[i + 1]]])
+        if len(scores):
+            labels, _, before = viterbi_stretch(scores, offsets, penalty, states[i], end)
+            end = int(before[0])
+            yield labels, letters
 
 
 def text_spans(model: dict, text: str, penalty: float = 8.0) -> list[tuple[int, int, str]]:
     """Spans (first word, past the last word, language) of one text, words as runs of letters."""
-    _, labels, _ = _label_texts(model, [text], penalty)
+    labels = np.concatenate([x for x, _ in _label_stretches(model, text, penalty)][::-1] or [np.zeros(0, np.int16)])
     cuts = np.nonzero(np.diff(labels))[0] + 1
     edges = [0, *cuts.tolist(), len(labels)]
     return [(a, b, model["langs"][labels[a]]) for a, b in zip(edges, edges[1:]) if b > a]
@@ -268,16 +354,23 @@ def predict(docs: DataFrame, model: dict | None, penalty: float = 8.0) -> DataFr
                 while end < len(texts) and (end == start or chars + len(texts[end] or "") <= SLICE_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                offsets, labels, letters = _label_texts(m, texts[start:end], penalty)
                 n = end - start
-                doc = np.repeat(np.arange(n), np.diff(offsets))
-                share = np.bincount(doc * n_langs + labels, letters, n * n_langs).reshape(n, n_langs)
+                if chars > SLICE_CHARS:  # one long text
+                    share, spans, after = np.zeros((1, n_langs)), np.zeros(1, int), None
+                    for labels, letters in _label_stretches(m, texts[start], penalty):
+                        share += np.bincount(labels, letters, n_langs)
+                        spans += (np.diff(labels) != 0).sum() + (labels[-1] != after)
+                        after = labels[0]
+                else:
+                    offsets, labels, letters = _label_texts(m, texts[start:end], penalty)
+                    doc = np.repeat(np.arange(n), np.diff(offsets))
+                    share = np.bincount(doc * n_langs + labels, letters, n * n_langs).reshape(n, n_langs)
+                    changes = np.zeros(len(labels), bool)
+                    changes[1:] = (np.diff(labels) != 0) & (np.diff(doc) == 0)
+                    spans = np.bincount(doc, changes, n) + (np.diff(offsets) > 0)
                 total = share.sum(1)
                 best = np.where(total > 0, share.argmax(1), n_langs)
                 score = np.where(total > 0, share.max(1) / np.maximum(1, total), 0.0)
-                changes = np.zeros(len(labels), bool)
-                changes[1:] = (np.diff(labels) != 0) & (np.diff(doc) == 0)
-                spans = np.bincount(doc, changes, n) + (np.diff(offsets) > 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), pa.array(names[best], pa.string()),
                      pa.array(score.astype(float)), pa.array(spans.astype(np.int32))],

@@ -74,3 +74,62 @@ def test_long_words_count_whole():
     one, two = "x" * 24, "y" * 24
     both = language.score_words(m, [one, two, one + two])
     assert np.allclose(both[2], both[0] + both[1], atol=1e-3)
+
+
+def test_a_language_without_the_script_is_never_chosen(spark):
+    """A language learned from little, in another script, takes no unknown word of a much larger one."""
+    rows = [("the quick brown fox jumps over the lazy dog and runs away " * 400, "en"), ("да нет это он", "ru")]
+    m = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["zqxvkzj zqxvkzj zqxvkzj zqxvkzj zqxvkzj", "zqxvkzj wqqx", "жщъыэ", "дdddd zzq", "жжжd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, m).collect()}
+    assert got == {0: "en", 1: "en", 2: "ru", 3: "en", 4: "ru"}  # most letters name a word's script
+    scores = language.score_words(m, ["zqxvkzj", "жщъыэ", "漢字"])
+    assert np.isneginf(scores[0]).tolist() == [False, True] and np.isneginf(scores[1]).tolist() == [True, False]
+    assert np.isfinite(scores[2]).all()
+
+
+def test_unknown_words_do_not_favour_small_corpora(spark):
+    rows = [("the quick brown fox jumps over the lazy dog and runs away " * 400, "en"), ("vad heter du", "sv")]
+    m = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    en, sv = language.score_words(m, ["zzxxqq"])[0]
+    assert sv - en < 1.0
+
+
+def test_word_scores_equal_a_plain_sum(model):
+    """Scores per word against a loop over its n-grams, each hashed by itself."""
+    words = ["the", "straße", "a", "żółć", "internationalisation"]
+    got = language.score_words(model, words)
+    for i, w in enumerate(words):
+        marked = [1, *map(ord, w), 1]
+        total = np.zeros(len(model["langs"]))
+        for n in (2, 3, 4):
+            for a in range(len(marked) - n + 1):
+                cell, real = language._grams(np.array([marked[a:a + n]], np.uint32), n)
+                assert real.all()
+                total += model["scores"][cell[0, 0]] / 3
+        assert np.allclose(got[i], total, atol=1e-2)
+
+
+def test_long_texts_in_stretches(spark, model, monkeypatch):
+    """A text beyond the slice is labelled as if it were held whole, wherever it is cut."""
+    docs = [r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").filter(
+        "length(text) > 300 and length(text) < 3000").limit(40).collect()]
+    text = "\n".join(docs) + " 　 1234 " * 50
+    _, whole, letters = language._label_texts(model, [text], 8.0)
+    spans = language.text_spans(model, text)
+    want = language.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    for size in (50, 777, 20_000):
+        monkeypatch.setattr(language, "SLICE_CHARS", size)
+        assert "".join(language._stretches(text)) == text
+        parts = list(language._label_stretches(model, text, 8.0))[::-1]
+        assert len(parts) > 1
+        assert np.array_equal(np.concatenate([a for a, _ in parts]), whole)
+        assert np.array_equal(np.concatenate([b for _, b in parts]), letters)
+        assert language.text_spans(model, text) == spans
+    monkeypatch.setattr(language, "SLICE_CHARS", 5_000)
+    # the closure of a local run reads the patched size only where it runs in this process
+    monkeypatch.setattr(language, "map_batches", lambda df, run, schema: df.sparkSession.createDataFrame(
+        [row for b in run(iter(df.toArrow().to_batches())) for row in b.to_pylist()], schema))
+    assert language.predict(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"),
+                            model).filter("doc_id = 1").collect() == want

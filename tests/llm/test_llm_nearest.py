@@ -68,3 +68,32 @@ def test_bounds_hold():
     assert (np.abs(a @ b.T - near) <= error).all() and np.abs(near - a @ b.T).max() > 0
     wide = rng.integers(-127, 128, (2, 3000)).astype(np.int8)
     assert nearest.integer_products(wide, wide)[0, 1] == np.dot(wide[0].astype(int), wide[1].astype(int))
+
+
+def test_extreme_components_take_part(spark):
+    """Finite vectors far from 1 are candidates and queries like any other."""
+    big, tiny = 1e200, 1e-200
+    vectors = {0: [1.0, 2.0], 1: [tiny, tiny], 2: [big, 0.0], 3: [-big, tiny], 4: [5e-324, 0.0], 5: [1e308, 1e308],
+               6: [3.0, -1.0], 7: [1e-60, 1.0], 8: [-1e308, 1e308], 9: [1e308, -1e308]}
+    df = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    found = got(nearest.search(df, F.lit(True), 4, query_block=3, candidate_block=3))
+    for q, rows in found.items():
+        with np.errstate(all="ignore"):
+            scored = [(float(vectors[q][0] * v[0] + vectors[q][1] * v[1]), i) for i, v in vectors.items() if i != q]
+        want_ids = [i for s, i in sorted(scored, key=lambda x: (np.isnan(x[0]), -x[0] if x[0] == x[0] else 0, x[1]))][:4]
+        assert [i for i, _ in rows] == want_ids, q
+    assert len(found) == len(vectors)
+
+
+def test_single_precision_and_lanes(spark, monkeypatch):
+    """Single-precision vectors travel as they are; many lanes and small blocks change nothing."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    packed = nearest.pack(df, 64).collect()
+    assert sum(r["n"] for r in packed) == 400 and all(len(r["vectors"]) == 4 * 24 * r["n"] for r in packed)
+    vectors = {i: v.astype(float) for i, v in enumerate(x)}
+    want_rows = want(vectors, [i for i in vectors if i % 9 == 0], 10)
+    for lane_blocks in (1, 100):
+        monkeypatch.setattr(nearest, "LANE_BLOCKS", lane_blocks)
+        same(got(nearest.search(df.repartition(6), F.col("vec_id") % 9 == 0, 10, 16, 32)), want_rows)

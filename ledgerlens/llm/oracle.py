@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import SKETCH_ERROR, SLACK
+from .quality_rules import FLOOR, SKETCH_ERROR, SPREADS, UNITS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -99,11 +99,18 @@ FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 # 8: base counts, quantile sketches by logarithmic bins, fences per language and source
 _GAMMA = f"ln({1 + SKETCH_ERROR}::DOUBLE / {1 - SKETCH_ERROR}::DOUBLE)"
 _RATIO = f"({1 + SKETCH_ERROR}::DOUBLE / {1 - SKETCH_ERROR}::DOUBLE)"
-_SLACK = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SLACK.items())
-_SHARES = ("n_symbols::DOUBLE / greatest(word_chars, 1)", "n_upper::DOUBLE / greatest(word_chars, 1)",
-           "n_marks::DOUBLE / greatest(word_chars, 1)", "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
-           "n_repeat_words::DOUBLE / greatest(n_words, 1)", "word_chars::DOUBLE / greatest(n_words, 1)")
-_MEASURES = "[" + ", ".join(f"{{'measure': '{k}', 'value': {v}}}" for k, v in zip(SLACK, _SHARES)) + "]"
+_FLOOR = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in FLOOR.items())
+
+
+def _beyond(count: str, measure: str) -> str:
+    return f"greatest({count} - {UNITS[measure]}, 0)::DOUBLE"
+
+
+_SHARES = (_beyond("n_symbols", "symbol_share") + " / greatest(word_chars, 1)", "n_upper::DOUBLE / greatest(word_chars, 1)",
+           _beyond("n_marks", "mark_share") + " / greatest(word_chars, 1)",
+           _beyond("n_dup_lines", "dup_line_share") + " / greatest(n_lines, 1)",
+           _beyond("n_repeat_words", "repeat_share") + " / greatest(n_words, 1)", "word_chars::DOUBLE / greatest(n_words, 1)")
+_MEASURES = "[" + ", ".join(f"{{'measure': '{k}', 'value': {v}}}" for k, v in zip(FLOOR, _SHARES)) + "]"
 
 
 def _fences(name: str, keys: str) -> str:
@@ -111,12 +118,16 @@ def _fences(name: str, keys: str) -> str:
     return f"""{name}0 AS (SELECT {group}, bin, sum(n) AS n FROM sketch GROUP BY {group}, bin),
 {name}1 AS (
   SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {group}) AS total,
-         coalesce(2 * pow({_RATIO}, bin) / ({_RATIO} + 1), 0) AS value FROM {name}0),
+         coalesce(2 * pow({_RATIO}, bin) / ({_RATIO} + 1), 0) AS value,
+         coalesce(sum(n) FILTER (bin IS NULL) OVER (PARTITION BY {group}), 0) AS zeros FROM {name}0),
+{name}2 AS (
+  SELECT {group}, max(total) AS size, max(total - zeros) AS nonzero, min(value) FILTER (upto >= 0.25 * total) AS q25,
+         min(value) FILTER (upto >= 0.75 * total) AS q75,
+         min(value) FILTER (bin IS NOT NULL AND upto - zeros >= 0.25 * (total - zeros)) AS usual
+  FROM {name}1 GROUP BY {group}),
 {name} AS (
-  SELECT {group}, max(total) AS size,
-         min(value) FILTER (upto >= 0.5 * total) + 4 * (min(value) FILTER (upto >= 0.5 * total) - min(value) FILTER (upto >= 0.05 * total))
-         + CASE measure {_SLACK} END AS fence
-  FROM {name}1 GROUP BY {group})"""
+  SELECT {group}, size, q75 + {SPREADS} * CASE WHEN q75 > 0 THEN q75 - q25 ELSE coalesce(nonzero * usual / size, 0) END
+         + CASE measure {_FLOOR} END AS fence FROM {name}2)"""
 
 
 QUALITY_RULES = rf"""WITH w AS (

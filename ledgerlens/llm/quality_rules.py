@@ -8,8 +8,13 @@ measure by plain counting, so sketches add up exactly and do not depend on parti
 Groups with fewer than ``min_group`` documents use the merged sketch of their language, and
 failing that of all documents. Thresholds are then joined back and documents filtered.
 
-The upper fence of a measure is ``median + 4 * (median - 5 % quantile) + slack``: it rests on
-the lower half of the distribution, so up to half of a group may be junk.
+The fence of a measure is ``upper quartile + 4 * spread + FLOOR``: up to a quarter of a group may
+be junk. The spread is the distance of the quartiles. Where the upper quartile is 0, the
+measure's non-zero part tells it: its lower quartile (junk gathers in the non-zero part, so its
+lower end is the safer one) times its share of the group. So what is usual among
+few documents of a group allows little, and what is usual among many allows more. ``FLOOR`` only
+keeps a fence of a group without any spread off its quartile. The first ``UNITS`` occurrences of
+what a measure counts (a repeated line, a few symbols) are no evidence in any group.
 
 All of it is DataFrame and SQL functions.
 
@@ -29,9 +34,12 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, stored, words
 
 SKETCH_ERROR = 0.02
-# slack added to a measure's fence: shares of characters, lines or words
-SLACK = {"symbol_share": 0.05, "upper_share": 0.15, "mark_share": 0.05, "dup_line_share": 0.34, "repeat_share": 0.2,
-         "word_length": 4.0}
+# least distance of a fence from the upper quartile: shares of characters, lines or words
+FLOOR = {"symbol_share": 0.01, "upper_share": 0.02, "mark_share": 0.01, "dup_line_share": 0.02, "repeat_share": 0.02,
+         "word_length": 0.5}
+# symbols, marks, repeated lines and words in repeated windows that a measure does not count
+UNITS = {"symbol_share": 2, "mark_share": 2, "dup_line_share": 1, "repeat_share": 20}
+SPREADS = 4
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -76,10 +84,14 @@ def document_measures(docs: DataFrame) -> DataFrame:
 def _shares() -> dict[str, Column]:
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     count = F.greatest(F.col("n_words"), F.lit(1))
-    return {"symbol_share": F.col("n_symbols") / chars, "upper_share": F.col("n_upper") / chars,
-            "mark_share": F.col("n_marks") / chars,
-            "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-            "repeat_share": F.col("n_repeat_words") / count, "word_length": F.col("word_chars") / count}
+
+    def beyond(count: str, measure: str) -> Column:
+        return F.greatest(F.col(count) - UNITS[measure], F.lit(0))
+
+    return {"symbol_share": beyond("n_symbols", "symbol_share") / chars, "upper_share": F.col("n_upper") / chars,
+            "mark_share": beyond("n_marks", "mark_share") / chars,
+            "dup_line_share": beyond("n_dup_lines", "dup_line_share") / F.greatest(F.col("n_lines"), F.lit(1)),
+            "repeat_share": beyond("n_repeat_words", "repeat_share") / count, "word_length": F.col("word_chars") / count}
 
 
 def sketches(measures: DataFrame) -> DataFrame:
@@ -91,28 +103,35 @@ def sketches(measures: DataFrame) -> DataFrame:
         .groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
-    """Quantiles per ``keys`` and measure from (merged) sketches."""
+def quantiles(sketch: DataFrame, keys: list[str], qs: dict[str, float],
+              nonzero_qs: dict[str, float] | None = None) -> DataFrame:
+    """Quantiles per ``keys`` and measure from (merged) sketches, of all values and of the
+    non-zero ones (null, if there are none)."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "measure")
     up = group.orderBy(F.col("bin").asc_nulls_first())
     ratio = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
     value = F.coalesce(2 * F.pow(F.lit(ratio), F.col("bin")) / (ratio + 1), F.lit(0.0))
     c = (merged.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(group))
+         .withColumn("zeros", F.coalesce(F.max(F.when(F.col("bin").isNull(), F.col("n"))).over(group), F.lit(0)))
          .withColumn("value", value))
+    above = F.col("total") - F.col("zeros")
     return c.groupBy(*keys, "measure").agg(
-        F.max("total").alias("group_size"),
-        *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value"))).alias(name) for name, q in qs.items()])
+        F.max("total").alias("group_size"), F.max(above).alias("n_nonzero"),
+        *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value"))).alias(name) for name, q in qs.items()],
+        *[F.min(F.when(F.col("bin").isNotNull() & (F.col("upto") - F.col("zeros") >= q * above), F.col("value"))).alias(name)
+          for name, q in (nonzero_qs or {}).items()])
 
 
 def thresholds(sketch: DataFrame, min_group: int) -> DataFrame:
     """One row per (lang, source): a fence for every measure."""
-    qs = {"q05": 0.05, "q50": 0.5}
-    slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])
-    fence = F.col("q50") + 4 * (F.col("q50") - F.col("q05")) + slack[F.col("measure")]
+    floor = F.create_map(*[x for k, v in FLOOR.items() for x in (F.lit(k), F.lit(v))])
+    rare = F.coalesce(F.col("n_nonzero") * F.col("usual") / F.col("group_size"), F.lit(0.0))
+    spread = F.when(F.col("q75") > 0, F.col("q75") - F.col("q25")).otherwise(rare)
+    fence = F.col("q75") + SPREADS * spread + floor[F.col("measure")]
 
     def level(keys: list[str], tag: str) -> DataFrame:
-        return quantiles(sketch, keys, qs).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys],
+        return quantiles(sketch, keys, {"q25": 0.25, "q75": 0.75}, {"usual": 0.25}).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys],
                                                   F.col("measure").alias(f"{tag}_measure"),
                                                   F.col("group_size").alias(f"{tag}_size"), fence.alias(f"{tag}_fence"))
 
@@ -123,7 +142,7 @@ def thresholds(sketch: DataFrame, min_group: int) -> DataFrame:
     chosen = (F.when(F.col("own_size") >= min_group, F.col("own_fence"))
               .when(F.col("lang_size") >= min_group, F.col("lang_fence")).otherwise(F.col("all_fence")))
     return t.groupBy(F.col("own_lang").alias("t_lang"), F.col("own_source").alias("t_source")).agg(
-        *[F.max(F.when(F.col("own_measure") == name, chosen)).alias(f"max_{name}") for name in SLACK])
+        *[F.max(F.when(F.col("own_measure") == name, chosen)).alias(f"max_{name}") for name in FLOOR])
 
 
 def judge(docs: DataFrame, min_group: int = 50) -> DataFrame:

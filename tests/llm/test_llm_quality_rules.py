@@ -59,3 +59,36 @@ def test_odd_rows(odd_docs, no_docs):  # noqa: F811
     assert sorted(tuple(r[c] for c in quality_rules.BASE_COLUMNS) for r in rows) == texts
     assert all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] < 10)
     assert quality_rules.judge(no_docs).count() == 0
+
+
+def test_fences_against_plain_quantiles(spark):
+    """Fences of a dense, a rare and an absent measure, against sorted values."""
+    rng = np.random.default_rng(1)
+    values = {"word_length": rng.lognormal(1.6, 0.1, 400), "symbol_share": np.where(rng.random(400) < 0.1, rng.random(400), 0.0),
+              "mark_share": np.zeros(400)}
+    rows = [(m, float(v)) for m, x in values.items() for v in x]
+    gamma = np.log((1 + quality_rules.SKETCH_ERROR) / (1 - quality_rules.SKETCH_ERROR))
+    sketch = spark.createDataFrame(rows, "measure string, v double").select(
+        F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), "measure",
+        F.when(F.col("v") > 0, F.ceil(F.log("v") / gamma)).alias("bin")).groupBy(
+        "lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    got = quality_rules.thresholds(sketch, 50).first()
+    assert got["t_lang"] == "en" and got["t_source"] is None
+    for m, x in values.items():
+        low, high = np.quantile(x, [0.25, 0.75], method="inverted_cdf")
+        some = x[x > 0]
+        spread = high - low if high > 0 else len(some) / len(x) * np.quantile(some, 0.25, method="inverted_cdf") if len(some) else 0
+        exact = high + quality_rules.SPREADS * spread + quality_rules.FLOOR[m]
+        assert abs(got[f"max_{m}"] - exact) <= 0.15 * spread * quality_rules.SPREADS + 0.021 * 7 * high + 1e-12
+
+
+def test_first_occurrences_are_no_evidence(spark):
+    """One repeated line passes where none is usual; many do not."""
+    lines = [" ".join(f"{chr(97 + i % 26)}w{i}x{j}" for j in range(8)) for i in range(20)]
+    rows = [(i, "\n".join(f"d{i} {x}" for x in lines), "en", "a") for i in range(100)]
+    rows += [(500, "\n".join([*lines, "end of it", "end of it"]), "en", "a"),
+             (501, "\n".join([*lines, *["end of it"] * 8]), "en", "a")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0]["kept"] and got[500]["kept"] and not got[501]["kept"]
+    assert "dup_line_share" in got[501]["broken_rules"]

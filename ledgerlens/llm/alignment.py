@@ -13,7 +13,8 @@
    more pairs are looked up in several rounds of their own, then added up per document.
 
 Texts are plain text: strings of special tokens in them have no meaning. A task holds about one
-megabyte of texts, or one text, at a time; texts over ``LONG_TEXT`` go to B in stretches cut at
+megabyte of texts, or one text, at a time, and afterwards the arrays of ``SLICE_TOKENS`` tokens,
+or of one text; texts over ``LONG_TEXT`` go to B in stretches cut at
 a space behind another character, which no piece of the model spans (checked on its pieces,
 else the text goes whole).
 
@@ -43,7 +44,7 @@ from .hashing import text_slices
 
 BATCH_BYTES = 1_000_000
 LONG_TEXT = 200_000
-SLICE_ROWS = 250
+SLICE_TOKENS = 200_000
 PENDING_PAIRS = 1_000_000
 BROADCAST_PAIRS = 2_000_000
 SPACE_MARK = "▁"
@@ -211,7 +212,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
         _ALIGNERS.clear()
         parts, held = [], 0
-        for batch in _slices(batches):
+        for batch in _slices(batches, [0, 1]):
             links, _ = batch_links(*[batch.column(i) for i in range(4)])
             if not len(links):
                 continue
@@ -258,10 +259,14 @@ LINKS = ("n_links", "n_best", "count_sum")
 DIGESTS = ("n_a", "n_b", "n_groups", "groups_sha256")
 
 
-def _slices(batches):
+def _slices(batches, lists: list[int]):
+    """Batches cut into slices of ``SLICE_TOKENS`` tokens of both sides, or of one text; ``lists``
+    are the places of the id lists."""
     for whole in batches:
-        for k in range(0, whole.num_rows, SLICE_ROWS):
-            yield whole.slice(k, SLICE_ROWS)
+        tokens = sum(pa.compute.fill_null(pa.compute.list_value_length(whole.column(i)), 0).to_numpy(zero_copy_only=False)
+                     for i in lists[:2])
+        for a, b in text_slices(tokens, SLICE_TOKENS):
+            yield whole.slice(a, b - a)
 
 
 def _digest_schema(columns) -> T.StructType:
@@ -294,7 +299,7 @@ def link_strength(aligned: DataFrame, counts: DataFrame, broadcast_pairs: int =
             _ALIGNERS.clear()
             pair, n, best = sent.value
             spelled: dict = {}
-            for batch in _slices(batches):
+            for batch in _slices(batches, lists):
                 columns = [batch.column(i) for i in lists]
                 links, first = batch_links(*columns)
                 at = np.minimum(np.searchsorted(pair, links), max(len(pair) - 1, 0))
@@ -330,7 +335,7 @@ def group_digests(aligned: DataFrame) -> DataFrame:
 
     def run(batches):
         spelled: dict = {}
-        for batch in _slices(batches):
+        for batch in _slices(batches, lists):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + batch_digests([batch.column(i) for i in lists], spelled),
                                              names=[*kept, *DIGESTS])
 

@@ -3,6 +3,8 @@
 A group's members are linked by a test on their payloads; what is wanted are the connected
 components. A task searches breadth first through one chunk of a group, comparing a found
 member only with those not found yet, so near-duplicate groups cost about their size.
+Members are searched by their number, so a component's edges go to its smallest member and the
+edges of groups with the same members are the same ones.
 Groups larger than a chunk are dealt over several, each of which also holds the group's pivots
 (some tens of members picked by hash), which connects the chunks' large components. Then only
 members outside a group's largest component are compared with all others, block by block;
@@ -135,7 +137,7 @@ def link(members: DataFrame, payload: Callable[[DataFrame], DataFrame], linker:
                 yield _edges(a, b)
 
     rows = payload(spread).select("g", "chunk", "node", "payload")
-    first = stored(map_batches(rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk"), link_chunks, EDGES).distinct())
+    first = stored(map_batches(rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "node"), link_chunks, EDGES).distinct())
     large = dealt.filter("chunks > 1")
     if not large.take(1):
         return first

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from llm_fixtures import SMALL, no_docs, odd_docs  # noqa: F401
@@ -103,3 +104,12 @@ def test_connected_components(spark, edges):
         for x in merged:
             want[x] = merged
     assert got == {x: min(s) for x, s in want.items()}
+
+
+def test_groups_of_the_same_members_give_the_same_edges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(n), 1) for g in range(30) for n in rng.permutation(200)]
+    members = spark.createDataFrame(rows, "g long, node long, weight int").repartition(7)
+    edges = components.link(members, lambda df: df.withColumn("payload", F.lit(bytes(2 * minhash.K))),
+                            minhash.SignatureLinker(minhash.K), 10_000)
+    assert sorted(map(tuple, edges.collect())) == [(0, n) for n in range(1, 200)]

@@ -2,8 +2,8 @@
 
 1. Each text is encoded whole by a byte-level BPE file (A, on a space and the text) and a
    sentence-piece model (B, which adds that space itself). Token lengths in bytes add up to
-   ends; a dictionary per side leads from an end to its token, the ends in both are the
-   intersection of their key sets, and the sorted common ends slice both id lists into groups.
+   ends, which ascend; B's ends are looked up among A's, and the ends that both have slice both
+   id lists into groups.
    Output: ids of both sides and the number of tokens of every group, in order.
 2. A link is a pair of one A and one B token that end together: the last tokens of a group
    (no token is empty). Links are counted by id pair over the whole corpus, pre-aggregated in
@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,12 +117,13 @@ class TokenBytes:
 
 
 def common_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each side up to each common end, from the ends of both sides: a dictionary leads
-    from A's ends to their tokens, B's ends, in order, are looked up in it."""
-    where_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
-    found = np.fromiter(map(where_a.get, ends_b.tolist(), repeat(0)), np.int32, len(ends_b))
-    common = np.flatnonzero(found)
-    return found[common], (common + 1).astype(np.int32)
+    """Tokens of each side up to each common end, from the ends of both sides, which ascend: B's
+    ends are looked up among A's."""
+    if not len(ends_a):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    found = np.minimum(np.searchsorted(ends_a, ends_b), len(ends_a) - 1)
+    common = np.flatnonzero(ends_a[found] == ends_b)
+    return (found[common] + 1).astype(np.int32), (common + 1).astype(np.int32)
 
 
 class Aligner:

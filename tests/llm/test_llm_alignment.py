@@ -116,3 +116,18 @@ def test_groups_are_the_texts(spark):
         assert mine == b"".join(table_b[x] for x in r["ids_b"][j:j + b])
         text, i, j = text + mine, i + a, j + b
     assert text.decode() == " The naïve café: 12345 tokens, <|endoftext|>!" and i == len(r["ids_a"]) and j == len(r["ids_b"])
+
+
+def test_common_groups_are_found_in_arrays(monkeypatch):
+    # no Python object per token: that is what the step cost
+    monkeypatch.setattr(alignment, "dict", None, raising=False)
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        total = int(rng.integers(1, 40))
+        a, b = (np.unique(np.append(rng.integers(1, total + 1, rng.integers(0, 20)), total)) for _ in range(2))
+        upto_a, upto_b = alignment.common_groups(a, b)
+        want = sorted(set(a.tolist()) & set(b.tolist()))
+        assert upto_a.tolist() == [a.tolist().index(e) + 1 for e in want]
+        assert upto_b.tolist() == [b.tolist().index(e) + 1 for e in want]
+    assert all(len(x) == 0 for x in alignment.common_groups(a[:0], b))
+    assert all(len(x) == 0 for x in alignment.common_groups(a, b[:0]))

@@ -220,13 +220,17 @@ def multi_colour_products(sales: DataFrame) -> DataFrame:
     return c.where(F.col("colours") > 1).orderBy("product")
 
 
-def _colour_stats(df: DataFrame, keys: list) -> DataFrame:
-    g = df.groupBy(*keys).agg(
+def _colour_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+    # an order counts at its first line in a group: a sort holds the lines' few columns once, where
+    # a distinct count keeps a table of all (group, order) pairs with their sums on both sides of a shuffle
+    lines = df.select(*keys, "invoice_no", "total_price", "qty")
+    first = F.row_number().over(Window.partitionBy("invoice_no", *keys).orderBy(F.lit(0))) == 1
+    g = lines.withColumn("_first", first & F.col("invoice_no").isNotNull()).groupBy(*keys).agg(
         F.sum("total_price").alias("_revenue"),
         LF.exact_total("qty").alias("units_sold"),
-        F.count_distinct("invoice_no").alias("orders"))
+        F.count_if("_first").alias("orders"))
     return g.select(
-        *g.columns[:len(keys)],
+        *keys,
         LF.money_out("_revenue").alias("revenue"),
         "units_sold",
         "orders",
@@ -245,7 +249,7 @@ def colour_breakdown_all(sales: DataFrame) -> DataFrame:
     is never joined. The source's per-product table is a filter of this one.
     """
     coloured = has_colour(sales).where(F.col("short_description").isNotNull())
-    stats = _colour_stats(coloured, [F.col("short_description").alias("product"), "colour"])
+    stats = _colour_stats(coloured.withColumn("product", F.col("short_description")), ["product", "colour"])
     n_colours = F.count(F.lit(1)).over(Window.partitionBy("product"))
     return stats.withColumn("_colours", n_colours).where(F.col("_colours") > 1).drop("_colours")
 

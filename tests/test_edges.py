@@ -307,3 +307,10 @@ def test_feature_table_has_shift_and_rolling_semantics(spark, n):
     want["month"], want["quarter"], want["months_since_start"] = months.month, months.quarter, np.arange(n)
     for name, values in want.items():
         assert got[name].to_numpy() == pytest.approx(np.asarray(values, float), rel=1e-9, abs=1e-9), name
+
+
+def test_orders_of_repeated_and_null_invoices(spark):
+    rows = [dict(invoice_no=n, short_description="p", colour=c) for n, c in
+            [(1, "red"), (1, "red"), (2, "red"), (None, "red"), (None, "red"), (1, "blue"), (None, "green")]]
+    got = {r["colour"]: (r["orders"], r["units_sold"]) for r in R.colour_breakdown_all(make(spark, rows)).collect()}
+    assert got == {"red": (2, 5.0), "blue": (1, 1.0), "green": (0, 1.0)}

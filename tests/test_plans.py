@@ -72,3 +72,10 @@ def test_colour_breakdown_aggregates_one_product(spark):
     p = plan(df)
     assert "ExistingRDD" not in p and "subquery" in p.lower()  # nothing was checkpointed to build it
     assert df.count() > 1
+
+
+def test_colour_breakdown_keeps_no_table_of_orders(spark):
+    """Orders are counted from sorted lines: no aggregate is keyed by the order."""
+    p = plan(R.colour_breakdown_all(sources.sales(spark, SMALL)))
+    keys = [line.split("functions=")[0] for line in p.splitlines() if "Aggregate(keys=" in line]
+    assert "Window" in p and keys and not [k for k in keys if "invoice_no" in k]

@@ -275,3 +275,32 @@ def test_unchanged_exports_are_not_compared(spark, folder):
     assert corrections.apply_corrections(spark, f"{folder}/in", f"{folder}/snap") == (0, 0)
     assert corrections.apply_corrections(spark, f"{folder}/absent", f"{folder}/snap") == (0, 0)
     assert corrections.apply_corrections(spark, f"{folder}/in", f"{folder}/none") == (0, 0)
+
+
+def test_a_merge_that_is_merged_again_is_not_written_between(spark, folder):
+    for i in range(4):
+        storage.append_part(spark.range(i * 10, i * 10 + 10).withColumn("year", F.lit(2000 + i % 2)), folder, ("s", i))
+        assert compaction.compact(spark, folder, fan_in=2, smallest=1) == (0, 1, 0, 2)[i]
+    parts = storage.read_manifest(spark, folder)["parts"]
+    assert [(p["rows"], p["merges"]) for p in parts] == [(40, 2)]
+    assert storage.vacuum(spark, folder, keep_seconds=0) == 5  # the batches and the first two merged
+    assert sorted(r["id"] for r in storage.read_snapshot(spark, folder).collect()) == list(range(40))
+
+
+def test_planned_merges_end_as_single_ones_do():
+    for fan_in in (2, 3, 4):
+        one, many = [], []
+        for i in range(60):
+            size = 1 << (i % 7 + 18)
+            for parts in (one, many):
+                parts.append({"name": f"p{i}", "bytes": size, "seq": i})
+            while group := compaction.plan_merge(one, fan_in):
+                names = {p["name"] for p in group}
+                one = [p for p in one if p["name"] not in names] + [{
+                    "name": f"m{i}-{group[0]['name']}", "bytes": sum(p["bytes"] for p in group), "seq": i,
+                    "merges": max(p.get("merges", 0) for p in group) + 1}]
+            while planned := compaction.plan_merges(many, fan_in):
+                names = {p["name"] for p in planned[0]["of"]}
+                many = [p for p in many if p["name"] not in names] + [{
+                    "name": f"m{i}-{planned[0]['of'][0]['name']}", "bytes": planned[0]["bytes"], "seq": i, "merges": planned[0]["merges"]}]
+            assert sorted((p["bytes"], p.get("merges", 0)) for p in one) == sorted((p["bytes"], p.get("merges", 0)) for p in many)

@@ -123,3 +123,35 @@ def test_merges_keep_rollups_right(spark):
     assert left == {f"part={p['name']}" for p in storage.read_manifest(spark, f"{base}/snap")["parts"]}
     storage.append_part(spark.range(2), f"{base}/other")
     assert storage.read_rollups(spark, f"{base}/other", storage.read_manifest(spark, f"{base}/other")) is None
+
+
+def test_merged_parts_have_the_sum_of_their_rollups(spark, monkeypatch):
+    """No line is rolled up again by a merge, also where a correction took lines out."""
+    base = tempfile.mkdtemp(prefix="ll-roll-")
+    lines = sources.sales_lines(spark, SMALL).limit(600).cache()
+    for i in range(3):
+        storage.export_csv(lines.where(F.col("invoice_no") % 3 == i), f"{base}/in/e{i}")
+        refresh_snapshot(spark, f"{base}/in", f"{base}/snap", f"{base}/ckpt")
+    time.sleep(0.01)
+    storage.export_csv(lines.where("invoice_no % 3 = 1 AND invoice_no % 2 = 0"), f"{base}/in/e1")
+    refresh_snapshot(spark, f"{base}/in", f"{base}/snap", f"{base}/ckpt")
+    roll_up = rollups.roll_up
+    with monkeypatch.context() as m:
+        m.setattr(rollups, "roll_up", lambda *a: pytest.fail("lines rolled up again"))
+        assert compaction.compact(spark, f"{base}/snap", fan_in=2, keep_seconds=0) > 0
+    rows = lambda df: sorted(map(str, df.select(*rollups.KEYS, *rollups.MEASURES).collect()))
+    parts = storage.read_manifest(spark, f"{base}/snap")["parts"]
+    assert len(parts) == 1 and rows(rollup_of(spark, f"{base}/snap")) == rows(roll_up(storage.read_snapshot(spark, f"{base}/snap")))
+
+
+def test_parts_of_other_columns_are_rolled_up_anew(spark):
+    base = tempfile.mkdtemp(prefix="ll-roll-")
+    lines = sources.clean_sales(sources.sales_lines(spark, SMALL).limit(50))
+    for _ in range(2):
+        storage.append_part(lines.withColumn("product_category", F.lit("Furniture")), f"{base}/snap")
+    storage.write_snapshot(lines, f"{base}/snap")
+    now = storage.read_manifest(spark, f"{base}/snap")
+    assert storage.parts_rollup(spark, f"{base}/snap", now, storage.export_parts(now)) is None
+    assert compaction.compact(spark, f"{base}/snap", fan_in=2, keep_seconds=0) == 1
+    rows = lambda df: sorted(map(str, df.select(*rollups.KEYS, *rollups.MEASURES).collect()))
+    assert rows(rollups.merged(rollup_of(spark, f"{base}/snap"))) == rows(rollups.roll_up(storage.read_snapshot(spark, f"{base}/snap")))

@@ -304,3 +304,11 @@ def test_planned_merges_end_as_single_ones_do():
                 many = [p for p in many if p["name"] not in names] + [{
                     "name": f"m{i}-{planned[0]['of'][0]['name']}", "bytes": planned[0]["bytes"], "seq": i, "merges": planned[0]["merges"]}]
             assert sorted((p["bytes"], p.get("merges", 0)) for p in one) == sorted((p["bytes"], p.get("merges", 0)) for p in many)
+
+
+def test_an_export_is_named_without_regular_expressions(spark, folder):
+    put(f"{folder}/in/a b.csv", corrected(range(3)))
+    files = exports.drift(spark, exports.list_exports(spark, f"{folder}/in"))
+    rows = exports.read_csv_exports(spark, files, with_export=True)
+    assert {r["_export"] for r in rows.collect()} == {f["export"] for f in files}
+    assert "regexp" not in rows._jdf.queryExecution().toString().lower().replace("rlike", "")  # one key per line

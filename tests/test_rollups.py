@@ -3,6 +3,7 @@
 import os
 import tempfile
 import time
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ledgerlens import sources
 from ledgerlens.operators import kpis, reports, rollups
 from ledgerlens.operators.filters import SalesFilter
 from ledgerlens.plans import catalog
-from ledgerlens.sources import compaction, storage
+from ledgerlens.sources import compaction, corrections, storage
 from ledgerlens.streaming.refresh import refresh_snapshot
 
 from conftest import SMALL
@@ -155,3 +156,37 @@ def test_parts_of_other_columns_are_rolled_up_anew(spark):
     assert compaction.compact(spark, f"{base}/snap", fan_in=2, keep_seconds=0) == 1
     rows = lambda df: sorted(map(str, df.select(*rollups.KEYS, *rollups.MEASURES).collect()))
     assert rows(rollups.merged(rollup_of(spark, f"{base}/snap"))) == rows(rollups.roll_up(storage.read_snapshot(spark, f"{base}/snap")))
+
+
+def test_sums_are_exact_and_built_in_whole_numbers(spark):
+    """Amounts of up to 24 digits and six decimals, of both signs; the sums are of longs."""
+    texts = ["123456789012345678901234.654321", "-999999999999999999999999.999999", "999999999999.999999", "1000000000000.000000",
+             "-1000000000000.000001", "-0.000001", "0.015625", "-7.250000", "0", None]
+    amounts = [None if t is None else Decimal(t) for t in texts]
+    rows = [(f"k{i % 3}", a, 1.5 * i) for i, a in enumerate(amounts * 3)] + [("none", None, 0.0)]
+    lines = spark.createDataFrame(rows, "type string, total_price decimal(30,6), qty double").withColumn(
+        "invoice_date", F.lit("2020-01-02").cast("timestamp"))
+    rollup = rollups.roll_up(lines)
+    got = {(r["dimension"], r["value"]): (r["revenue"], r["units"], r["lines"], r["cells"]) for r in rollup.collect()}
+    with localcontext(prec=60):
+        for key in ("k0", "k1", "k2", "none"):
+            own = [r for r in rows if r[0] == key]
+            paid = [r[1] for r in own if r[1] is not None]
+            assert got["type", key] == (sum(paid) if paid else None, Decimal(sum(r[2] for r in own)), len(own), len(own) - len(paid))
+    assert "sum(revenue_low" in rollup._jdf.queryExecution().toString()
+
+
+def test_a_correction_reads_its_exports_once_and_sorts_by_hash(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="ll-roll-")
+    lines = sources.sales_lines(spark, SMALL).limit(200).cache()
+    storage.export_csv(lines, f"{base}/in/e")
+    refresh_snapshot(spark, f"{base}/in", f"{base}/snap", f"{base}/ckpt")
+    time.sleep(0.01)
+    storage.export_csv(lines.where("invoice_no % 3 = 1"), f"{base}/in/e")
+    plans, write = [], corrections.write_part
+    monkeypatch.setattr(corrections, "write_part", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or write(df, *a))
+    refresh_snapshot(spark, f"{base}/in", f"{base}/snap", f"{base}/ckpt")
+    assert len(plans) == 1 and "FileScan csv" not in plans[0] and "Join LeftSemi, ((_h1" in plans[0].replace("(((", "((")
+    check = storage.read_snapshot(spark, f"{base}/snap")
+    assert check.count() == lines.where("invoice_no % 3 = 1").count()
+    same(rollups.item_type_counts(rollup_of(spark, f"{base}/snap")), reports.item_type_counts(check))

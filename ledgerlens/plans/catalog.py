@@ -161,12 +161,12 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.refresh import refresh_snapshot
     configure(spark)
     base = scratch_dir(spark, "incremental")
-    lines, cats = sources.sales_lines(spark, sf_dir), sources.categories(spark, sf_dir)
+    lines, cats = sources.sales_lines(spark, sf_dir), sources.stored_categories(spark, sf_dir)
     third = F.col("invoice_no") % 3
     snapshot = f"{base}/snapshot"
     storage.write_snapshot(sources.with_category(sources.clean_sales(lines.where(third == 0)), cats), snapshot)
     for batch in (1, 2):
-        storage.export_csv(lines.where(third == batch), f"{base}/incoming/batch-{batch}")
+        storage.export_csv(lines.where(third == batch), f"{base}/incoming/batch-{batch}", "gzip")
         refresh_snapshot(spark, f"{base}/incoming", snapshot, f"{base}/checkpoint", cats)
     return row_output(storage.read_snapshot(spark, snapshot, storage.SNAPSHOT_COLUMNS))
 
